@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import pieces, sentences
+from . import containers, mixture, pieces, sentences
 
 QUERIES = {
     "p1_found": sentences.p1_found,
     "p1_sentence_counts": sentences.p1_sentence_counts,
     "p7_found": pieces.p7_found,
     "p7_pieces": pieces.p7_pieces,
+    "p8_containers": containers.p8_containers,
+    "p8_small_containers": containers.p8_small_containers,
+    "p8_fill": containers.p8_fill,
+    "p9_mixture": mixture.p9_mixture,
+    "p9_shares": mixture.p9_shares,
 }
 
 SQL = {
