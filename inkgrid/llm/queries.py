@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containers, language, lookalikes, mixture, pieces, sentences
+from . import containers, language, lookalikes, mixture, pieces, sentences, truncation
 
 QUERIES = {
     "p1_found": sentences.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p5_canonical": lookalikes.p5_canonical,
     "p7_found": pieces.p7_found,
     "p7_pieces": pieces.p7_pieces,
+    "p10_found": truncation.p10_found,
+    "p10_sources": truncation.p10_sources,
     "p8_containers": containers.p8_containers,
     "p8_small_containers": containers.p8_small_containers,
     "p8_fill": containers.p8_fill,
