@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import containers, language, lookalikes, mixture, pieces, sentences, truncation
+from . import containers, language, lookalikes, mixture, neighbours, pieces, sentences, truncation
 
 QUERIES = {
     "p1_found": sentences.p1_found,
     "p1_sentence_counts": sentences.p1_sentence_counts,
     "p2_found": language.p2_found,
     "p2_languages": language.p2_languages,
+    "p4_found": neighbours.p4_found,
+    "p4_neighbours": neighbours.p4_neighbours,
     "p5_found": lookalikes.p5_found,
     "p5_canonical": lookalikes.p5_canonical,
     "p7_found": pieces.p7_found,
