@@ -16,8 +16,6 @@ themselves; with too few documents no length is significant and endings alone de
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -75,88 +73,90 @@ def _open_quote(unit: str) -> bool:
     return unit.count('"') % 2 == 1
 
 
-def unit_counts(documents: DataFrame) -> DataFrame:
-    """(kind, key, n, bare, last_bare): over the units of all documents, how many there are by each key, how many end without
-    a terminator, and how many of those are the last of their document. Kinds: 2 and 1 beginnings, W whole short units,
-    Z ends of finished ones, E endings in scripts without terminators. Tasks count before the shuffle."""
-
-    def count(batches):
-        def flush(c):
-            ks = list(c)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks]), pa.array([k[1] for k in ks]), *[pa.array([c[k][i] for k in ks], pa.int64()) for i in range(3)]], names=["kind", "key", "n", "bare", "last_bare"])
-
-        c: dict[tuple[str, str], list[int]] = {}
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                starts, ends = sentence_spans(text)
-                for i, (a, e) in enumerate(zip(starts, ends)):
-                    u = text[a:e]
-                    last = i + 1 == len(starts)
-                    done = bool(_TERMINATED.search(u[-24:]))
-                    if last and done:
-                        continue  # says nothing that units before it don't say better
-                    k2, k1 = _keys(u)
-                    keys = [("2", k2), ("1", k1)]
-                    if not last:
-                        tail = _tail(u)
-                        keys += [("W", _whole(u))] if not done else [("Z", _close(u)), ("Z1", _close(u).rsplit(" ", 1)[-1])]
-                        keys += [("E", tail)] if tail else []
-                    for k in keys:
-                        if not k[1]:
-                            continue
-                        v = c.get(k)
-                        if v is None:
-                            v = c[k] = [0, 0, 0]
-                        v[0] += 1
-                        v[1] += not done
-                        v[2] += last and not done
-            if len(c) > 200_000:
-                yield flush(c)
-                c = {}
-        yield flush(c)
-
-    raw = documents.select("text").mapInArrow(count, "kind string, key string, n bigint, bare bigint, last_bare bigint")
-    return raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.sum("last_bare").alias("last_bare"))
-
-
-def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, n_chars, n_bytes, ending, k2, k1, whole, token, tail) of each document with text. ending: done, mark (an
-    ellipsis or another mark after an unfinished unit), open (an unclosed quotation, an abbreviation), bare."""
-    schema = "doc_id bigint, source string, text_hash bigint, n_chars int, n_bytes int, ending string, k2 string, k1 string, whole string, close string, tail string, long boolean, close1 string"
-
-    def judge(batches):
-        for b in batches:
-            out: list[list] = [[] for _ in range(13)]
-            for i, s, text, th in zip(*(c.to_pylist() for c in b.columns)):
-                if not text or text.isspace():
-                    continue
-                body = text.rstrip()
-                m = _CUT_MARK.search(body[-80:])
-                mark = m is not None and m.start() > 0
-                if mark:
-                    body = body[: len(body) - len(body[-80:]) + m.start()].rstrip()
-                starts, ends = sentence_spans(body)
-                u = body[starts[-1] :] if starts else body
-                done = bool(u) and bool(_TERMINATED.search(u[-24:]))
-                paragraph = body[body.rfind("\n\n") + 1 :]
-                if _open_quote(paragraph):
-                    kind = "open"
-                elif done and not mark and u[-1] == "." and not _full_stop(u, 0, len(u) - 1, len(u), "A", False):
-                    kind = "open"
-                elif done:
-                    kind = "done"
+_DOC = ["doc_id", "source", "text_hash", "n_chars", "n_bytes", "ending", "k2", "k1", "whole", "close", "close1", "tail", "long"]
+_DOC_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 7, pa.bool_()]
+_COUNT = ["kind", "key", "n", "bare", "last_bare"]
+_COUNT_TYPES = [pa.string(), pa.string(), *[pa.int64()] * 3]
+_SCHEMA = "doc_id bigint, source string, text_hash bigint, n_chars int, n_bytes int, ending string, k2 string, k1 string, whole string, close string, close1 string, tail string, long boolean, kind string, key string, n bigint, bare bigint, last_bare bigint"
+
+
+def _scan(batches):
+    """One pass over the texts: a row for each document and, from each task, the counts over its units."""
+
+    def flush(c):
+        ks = list(c)
+        cols = [pa.nulls(len(ks), t) for t in _DOC_TYPES] + [pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.string()), *[pa.array([c[k][i] for k in ks], pa.int64()) for i in range(3)]]
+        return pa.RecordBatch.from_arrays(cols, names=_DOC + _COUNT)
+
+    counts: dict[tuple[str, str], list[int]] = {}
+
+    def add(kind: str, key: str, bare: bool, last: bool) -> None:
+        if key:
+            v = counts.get((kind, key))
+            if v is None:
+                v = counts[kind, key] = [0, 0, 0]
+            v[0] += 1
+            if bare:
+                v[1] += 1
+                v[2] += last
+
+    for b in batches:
+        out: list[list] = [[] for _ in _DOC]
+        for i, s, text, th in zip(*(c.to_pylist() for c in b.columns)):
+            if not text or text.isspace():
+                continue
+            body = text.rstrip()
+            m = _CUT_MARK.search(body[-80:])
+            mark = m is not None and m.start() > 0
+            if mark:
+                body = body[: len(body) - len(body[-80:]) + m.start()].rstrip()
+            starts, ends = sentence_spans(body)
+            for a, e in zip(starts[:-1], ends[:-1]):
+                u = body[a:e]
+                bare = not _TERMINATED.search(u[-24:])
+                k2, k1 = _keys(u)
+                add("2", k2, bare, False)
+                add("1", k1, bare, False)
+                if bare:
+                    add("W", _whole(u), True, False)
+                    add("E", _tail(u), True, False)
                 else:
-                    kind = "mark" if mark else "bare"
-                k2, k1 = _keys(u) if u else ("", "")
-                row = (i, s, th, len(text), len(text.encode("utf-8", "surrogatepass")), kind, k2, k1, _whole(u), _close(u), _tail(u) if u else "", _long(u), _close(u).rsplit(" ", 1)[-1])
-                for c, v in zip(out, row):
-                    c.append(v)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "source", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(judge, schema)
+                    z = _close(u)
+                    add("Z", z, False, False)
+                    add("Z1", z.rsplit(" ", 1)[-1], False, False)
+            u = body[starts[-1] :] if starts else body
+            done = bool(u) and bool(_TERMINATED.search(u[-24:]))
+            k2, k1 = _keys(u) if u else ("", "")
+            if not done:
+                add("2", k2, True, True)
+                add("1", k1, True, True)
+            if _open_quote(body[body.rfind("\n\n") + 1 :]) or (done and not mark and u[-1] == "." and not _full_stop(u, 0, len(u) - 1, len(u), "A", False)):
+                kind = "open"
+            else:
+                kind = "done" if done else "mark" if mark else "bare"
+            z = _close(u)
+            row = (i, s, th, len(text), len(text.encode("utf-8", "surrogatepass")), kind, k2, k1, _whole(u), z, z.rsplit(" ", 1)[-1], _tail(u) if u else "", _long(u))
+            for c, v in zip(out, row):
+                c.append(v)
+        n = len(out[0])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _DOC_TYPES)] + [pa.nulls(n, t) for t in _COUNT_TYPES], names=_DOC + _COUNT)
+        if len(counts) > 200_000:
+            yield flush(counts)
+            counts.clear()
+    yield flush(counts)
+
+
+def scan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The endings of all documents with text, and the counts over the units of all documents.
+
+    Endings: ending is done, mark (an ellipsis or another mark after an unfinished unit), open (an unclosed quotation, an
+    abbreviation) or bare; the other columns are the keys of the last unit. Counts: for each key how many units have it, how many
+    end without a terminator, and how many of those are the last of their document. Kinds: 2 and 1 beginnings, W whole short units, Z
+    and Z1 how finished units close, E endings in scripts without terminators.
+    """
+    rows = cut(documents.select(F.col("doc_id").cast("bigint"), "source", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_scan, _SCHEMA))
+    counts = rows.filter(F.col("kind").isNotNull()).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.sum("last_bare").alias("last_bare"))
+    return rows.filter(F.col("kind").isNull()).select(*_DOC), cut(counts)
 
 
 def length_spikes(ends: DataFrame, reach: int = 40, q: float = 0.01, least: int = 4) -> DataFrame:
@@ -213,8 +213,7 @@ def incompleteness(e: DataFrame, counts: DataFrame) -> DataFrame:
 
 def truncated(documents: DataFrame, odds_elsewhere: float = 0.03, slack: int = 4, q: float = 0.01) -> DataFrame:
     """(doc_id, source, n_chars, n_bytes, ending, evidence, limit_unit, limit_length, cut) of each document with text."""
-    e = cut(endings(documents))
-    counts = cut(unit_counts(documents))
+    e, counts = scan(documents)
     spikes = length_spikes(e, q=q)
     # a limit in bytes or one before trailing space was trimmed leaves texts a few below it
     odds = (F.col("n") - F.col("expected")) / F.greatest(F.col("expected"), F.lit(0.01))
