@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import containers, language, lookalikes, mixture, neighbours, pieces, sentences, truncation
+from . import containers, language, lookalikes, mixture, neighbours, pieces, scans, sentences, truncation
 
 QUERIES = {
     "p1_found": sentences.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p4_neighbours": neighbours.p4_neighbours,
     "p5_found": lookalikes.p5_found,
     "p5_canonical": lookalikes.p5_canonical,
+    "p6_found": scans.p6_found,
+    "p6_paragraphs": scans.p6_paragraphs,
     "p7_found": pieces.p7_found,
     "p7_pieces": pieces.p7_pieces,
     "p10_found": truncation.p10_found,
