@@ -299,9 +299,18 @@ def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[in
 
 
 def training_sample(documents: DataFrame, rows: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled documents, by the hash of their id, with the ISO code of their label."""
-    d = documents.filter(F.col("text").isNotNull() & (F.length("lang") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    got = d.orderBy("h", "doc_id").limit(rows).select("lang", "text").collect()
+    """About ``rows`` labelled documents and never more than 1.25 times as many, with the ISO code of their label.
+
+    Those of the least id hashes are taken by a threshold that follows from the number of labelled documents, so a task sends its
+    share of the sample and not a sample of its own.
+    """
+    named = documents.filter(F.length("lang") > 0)
+    n = named.select("lang").count()
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)  # 40 bits
+    share = min(1.0, 1.1 * rows / max(1, n))
+    d = named.filter(h < F.lit(math.ceil(share * (1 << 40)))).filter(F.length("text") > 0).select("lang", "text", h.alias("h"), "doc_id")
+    got = d.limit(math.ceil(1.25 * rows)).select("lang", "text", "h", "doc_id").collect()
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
     return [(iso_code(r["lang"]), r["text"]) for r in got if iso_code(r["lang"])]
 
 
