@@ -1,16 +1,338 @@
-"""Queries of the core operators and their SQL, by name."""
+"""Queries of the core operators by name; their SQL is in core_sql."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import messages
-from .runtime import table
+from .core_sql import SQL  # noqa: F401
+from .functions import text as T
+from .operators import dedup, keywords, lines, lsh, messages, metrics, providers, quality, search, segment, store, structure
+from .runtime import cut, table
+from .streaming import events as ev
+
+C = F.col
+SPLIT_TIME = "2030-05-01 00:00:00"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned uploads, each once."""
+    return table(spark, d, "extracted_lines").groupBy("document_id", "line_no").agg(F.max("page").alias("page"), F.coalesce(F.max("text"), F.lit("")).alias("text"))
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(C("text").isNotNull())
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(table(spark, d, "vectors"), "id", "created_at")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(table(spark, d, "chunks"), "id", "created_at")
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    r = table(spark, d, "vectors").filter(search.usable(C("embedding"), C("dimensions")) & (C("dimensions") == 64)).select("id", "embedding").orderBy("id").first()
+    return list(r["embedding"])
+
+
+def _search(spark, d, k, tenant="", least=0.18):
+    uploads = store.latest(table(spark, d, "uploads"), "id", "updated_at")
+    r = search.search(_chunks(spark, d), _vectors(spark, d), uploads, _query_vector(spark, d), k, least, tenant)
+    return r.select("chunk_id", "document_id", "document_name", "file_key", "vector_id", C("index").alias("chunk_index"), "similarity", "model_version")
+
+
+def similarity_search(spark, d):
+    return _search(spark, d, 10)
+
+
+def similarity_search_tenant(spark, d):
+    return _search(spark, d, 10, "default")
+
+
+def similarity_threshold_count(spark, d):
+    q = _query_vector(spark, d)
+    v = _vectors(spark, d).filter(search.usable(C("embedding"), C("dimensions")) & (F.size("embedding") == len(q)))
+    s = v.select(F.round(search.cosine(C("embedding"), q), 6).alias("s"))
+    return s.select(F.explode(F.array(*[F.lit(x) for x in (0.18, 0.3, 0.5)])).alias("threshold"), "s").groupBy("threshold").agg(F.count_if(C("s") >= C("threshold")).alias("n"))
+
+
+def similarity_all_pairs_topk(spark, d):
+    e = table(spark, d, "embeddings").select(C("vec_id").alias("id"), "embedding")
+    return search.exact_neighbours(e.filter(C("id") % 50 == 0), e, 5).select("query_id", "row_id", "similarity", "rank")
+
+
+def vector_codec(spark, d):
+    v = _vectors(spark, d).filter(search.usable(C("embedding"), C("dimensions")))
+    back = T.parse_vector(T.format_vector(C("embedding")))
+    return v.select("id", (back == C("embedding")).alias("same"), F.size(back).alias("n"))
+
+
+def canonical_hash(spark, d):
+    return _docs(spark, d).select("doc_id", T.canonical_hash(C("text")).alias("hash"))
+
+
+def canonical_hash_dups(spark, d):
+    h = canonical_hash(spark, d).filter("hash <> ''")
+    return h.groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+def document_checksum_dedup(spark, d):
+    u = _docs(spark, d).withColumn("checksum", T.checksum(C("text")))
+    return dedup.new_documents(u.select("doc_id", "tenant_id", "checksum"), None, ["doc_id"])
+
+
+def dedup_anti_join(spark, d):
+    u = _docs(spark, d).select("doc_id", T.checksum(C("text")).alias("checksum"))
+    return dedup.anti(u.filter("doc_id % 2 = 1"), u.filter("doc_id % 2 = 0"), "checksum")
+
+
+def dedup_semi_join(spark, d):
+    u = _docs(spark, d).select("doc_id", T.checksum(C("text")).alias("checksum"))
+    return dedup.semi(u.filter("doc_id % 2 = 1"), u.filter("doc_id % 2 = 0"), "checksum")
+
+
+def chunk_dedup(spark, d):
+    c = _chunks(spark, d)
+    v = _vectors(spark, d).filter(C("created_at") < F.lit(SPLIT_TIME).cast("timestamp"))
+    r = dedup.dedup_chunks(c, v, ["document_id", "chunk_index", "id"])
+    dups, fresh = dedup.split_duplicates(r)
+    return dups.select("id", "known_vector_id", "first_id", F.lit("duplicate").alias("kind")).unionByName(fresh.select("id", "known_vector_id", "first_id", F.lit("embed").alias("kind")))
+
+
+def _upserted(spark, d):
+    v = _vectors(spark, d)
+    old = C("created_at") < F.lit(SPLIT_TIME).cast("timestamp")
+    return store.upsert_vectors(v.filter(old), v.filter(~old))
+
+
+def vector_upsert(spark, d):
+    return _upserted(spark, d).select("id", "hash", "model_version", "dimensions", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+def vector_id_remap(spark, d):
+    return store.surviving_ids(_upserted(spark, d).select("id", "hash"), _chunks(spark, d).select("id", "hash", "vector_id")).select("id", "vector_id")
+
+
+def recent_hashes_topn(spark, d):
+    return dedup.recent_hashes(_vectors(spark, d), 200).select("id", "hash")
+
+
+def chunk_append_idempotent(spark, d):
+    c = table(spark, d, "chunks").select("id", "document_id", "chunk_index", "created_at")
+    old = C("created_at") < F.lit(SPLIT_TIME).cast("timestamp")
+    return store.append_chunks(c.filter(old), c).select("id", "document_id", "chunk_index")
+
+
+def document_lookup(spark, d):
+    u = table(spark, d, "uploads")
+    first = u.agg(F.min("checksum").alias("c"), F.min("id").alias("i"), F.min("file_key").alias("f")).first()
+    a = store.document_by_checksum(u, first["c"]).select(F.lit("checksum").alias("by"), "id")
+    b = store.point_lookup(u, "id", first["i"]).select(F.lit("id").alias("by"), "id")
+    return a.unionByName(b).unionByName(store.point_lookup(u, "file_key", first["f"]).select(F.lit("file_key").alias("by"), "id"))
+
+
+def strip_control(spark, d):
+    return _docs(spark, d).select("doc_id", T.strip_control(F.concat("text", F.lit("\r\x07a\tb"))).alias("clean"))
+
+
+def collapse_ws(spark, d):
+    return _docs(spark, d).select("doc_id", T.collapse_ws(C("text")).alias("clean"))
+
+
+def normalize_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalize_text(C("text")).alias("clean"))
+
+
+def clean_chunk_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.clean_chunk_text(C("text")).alias("clean"))
+
+
+def query_prefix(spark, d):
+    return table(spark, d, "uploads").filter(C("name").isNotNull()).select("id", T.query_text(C("name")).alias("query")).distinct()
+
+
+def fnv_hash(spark, d):
+    return table(spark, d, "mix_targets").select("source", T.fnv1a64(C("source")).cast("string").alias("hash"))
+
+
+def metadata_fields(spark, d):
+    m = F.from_json(T.metadata_json(C("metadata")), "struct<document_id:string,language:string,token_count:int,entities:array<string>>")
+    return _chunks(spark, d).select("id", m.alias("m")).select("id", "m.document_id", "m.language", "m.token_count", C("m.entities").isNull().alias("no_entities"))
+
+
+def recurring_lines_removed(spark, d):
+    return lines.remove_running_lines(_lines(spark, d))
+
+
+def page_split(spark, d):
+    t = _docs(spark, d).select(C("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n\n"), F.lit("\n\f")).alias("text"))
+    return lines.split_pages(t, "doc_id", "text").groupBy("id").agg(F.count("*").cast("bigint").alias("lines"), F.max("page").cast("bigint").alias("pages"), F.sum(F.length("text")).alias("chars"))
 
-_UUID_SQL = """
-    SELECT *, CASE WHEN regexp_full_match(h, '[0-9a-f]{32}') THEN h WHEN length(t) > 0 THEN 'raw:' || t END AS message_key FROM (
-        SELECT *, replace(regexp_replace(lower(t), '^\\{|\\}$|^urn:uuid:', '', 'g'), '-', '') AS h FROM (
-            SELECT *, trim(event_id) AS t FROM events_in))"""
+
+def char_ratios(spark, d):
+    t = C("text")
+    return _docs(spark, d).select("doc_id", F.round(T.letter_share(t), 6).alias("letters"), F.round(T.digit_share(t), 6).alias("digits"), F.round(T.space_share(t), 6).alias("spaces"), F.round(T.upper_share(t), 6).alias("uppers"))
+
+
+def char_entropy(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(T.entropy(C("text")), 6).alias("entropy"))
+
+
+def quality_score(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(quality.quality_score(C("text")), 6).alias("score"))
+
+
+def quality_gate(spark, d):
+    return _docs(spark, d).select("doc_id", quality.passes_gate(C("text")).alias("passes"))
+
+
+def boilerplate_filter(spark, d):
+    p = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("para_no", "text"))
+    return lines.drop_boilerplate(p).select("doc_id", "para_no", "text")
+
+
+def doc_profile(spark, d):
+    p = quality.with_profile(_docs(spark, d).select("doc_id", "text"), "text").drop("text")
+    return p.select("doc_id", "sentence_count", F.round("avg_sentence_len", 6).alias("avg_sentence_len"), F.round("lexical_diversity", 6).alias("lexical_diversity"), F.round("digit_ratio", 6).alias("digit_ratio"), F.round("uppercase_ratio", 6).alias("uppercase_ratio"), "token_count")
+
+
+def language_id(spark, d):
+    return providers.apply_provider(_docs(spark, d).select("doc_id", "text"), "language", "text", "language").select("doc_id", "language")
+
+
+def entities(spark, d):
+    e = providers.apply_provider(_docs(spark, d).select("doc_id", "text"), "entities", "text", "entities")
+    return e.select("doc_id", T.entity_labels(C("entities")).alias("labels"))
+
+
+def keywords_topn(spark, d):
+    return keywords.top_keywords(_docs(spark, d), "doc_id", "text").select(C("id").alias("doc_id"), "rank", "keyword", F.round("score", 6).alias("score"))
+
+
+def word_scores(spark, d):
+    s = keywords.word_scores(keywords.phrase_rows(_docs(spark, d), "doc_id", "text"))
+    return s.select(C("id").alias("doc_id"), "word", "freq", "degree", F.round("score", 6).alias("score"))
+
+
+def phrase_counts(spark, d):
+    p = keywords.phrase_rows(_docs(spark, d), "doc_id", "text")
+    return p.select(C("id").alias("doc_id"), F.array_join("words", " ").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+def sentence_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(segment.sentences(C("text"))).alias("sentence_no", "sentence"))
+
+
+def sentence_units(spark, d):
+    return segment.sentence_units(_lines(spark, d)).select("document_id", "unit_no", "text")
+
+
+def paragraph_units(spark, d):
+    return segment.paragraph_units(_lines(spark, d)).select("document_id", "unit_no", "text")
+
+
+def token_windows(spark, d):
+    return segment.token_windows(_lines(spark, d), 100, 20).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "content")
+
+
+def char_windows(spark, d):
+    return segment.char_windows(_lines(spark, d), 100, 20).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "content", C("start_char_offset").cast("bigint").alias("a"), C("end_char_offset").cast("bigint").alias("e"))
+
+
+def chunk_paragraph(spark, d):
+    return segment.pack_units(segment.paragraph_units(_lines(spark, d)), 100, 20).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "first_unit", "last_unit", "content", "start_char_offset", "end_char_offset")
+
+
+def chunk_sentence(spark, d):
+    return segment.pack_units(segment.sentence_units(_lines(spark, d)), 60, 15).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "first_unit", "last_unit", "content", "start_char_offset", "end_char_offset")
+
+
+def chunk_strategies(spark, d):
+    out = None
+    for s in ("exact", "paragraph", "sentence", "character-based", "other"):
+        c = segment.chunk_documents(_lines(spark, d), s).groupBy("parser_version").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")).withColumn("strategy", F.lit(s))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def shingle_jaccard_pairs(spark, d):
+    docs = cut(_docs(spark, d).select("doc_id", "text"))
+    copies = lsh.copy_classes(docs, "doc_id", "text")
+    reps = docs.join(copies.filter("id = class_id").select(C("id").alias("doc_id")), "doc_id", "left_semi")
+    return lsh.similar_pairs(reps, "doc_id", "text")
+
+
+def copy_classes(spark, d):
+    return lsh.copy_classes(_docs(spark, d), "doc_id", "text")
+
+
+def near_dup_clusters(spark, d):
+    return lsh.near_duplicate_classes(cut(_docs(spark, d).select("doc_id", "text")), "doc_id", "text")
+
+
+def minhash_signature(spark, d):
+    return lsh.signatures(_docs(spark, d), "doc_id", "text")
+
+
+def lsh_candidates(spark, d):
+    return lsh.probe(cut(lsh.buckets(lsh.signatures(_docs(spark, d), "doc_id", "text"))))
+
+
+def structure_elements(spark, d):
+    return structure.structure(_docs(spark, d), "doc_id", "text")
+
+
+def embed_documents(spark, d):
+    e = providers.embed(_docs(spark, d).select("doc_id", "text"), "text")
+    return e.select("doc_id", "dimensions", F.round(search.dot(C("embedding"), C("embedding")), 4).alias("norm"))
+
+
+def event_parse_dlq(spark, d):
+    e = table(spark, d, "events_in")
+    good = F.to_json(F.struct("event_id", "event_type", "document_id", "tenant_id", "name", "file_key", "file_size", "content_type", "timestamp"))
+    raw = e.select("delivery_seq", F.coalesce("_corrupt_record", good).alias("value"))
+    return ev.route(ev.decode(raw)).select("delivery_seq", "event_id", "target", "error_reason")
+
+
+def dead_letters(spark, d):
+    e = ev.route(table(spark, d, "events_in"))
+    return ev.dead_letters(e, "2031-01-01 00:00:00").select("raw_payload", "error_reason", "attempt_count")
+
+
+def retry_backoff_plan(spark, d):
+    e = table(spark, d, "events_in").filter(C("_corrupt_record").isNull()).select("delivery_seq", (C("delivery_seq") % 7).alias("attempt_count"))
+    return ev.backoff_plan(e).select("delivery_seq", "action", "delay_seconds")
+
+
+def request_counters(spark, d):
+    return metrics.counters(table(spark, d, "events"), ["event_type"])
+
+
+def latency_histogram(spark, d):
+    h = metrics.latency_histogram(table(spark, d, "events"), "value", [1.0, 5.0, 10.0, 25.0, 50.0, 100.0], ["event_type"])
+    return h.select("event_type", "bucket", "n", F.round("total", 4).alias("total"), "upper_edge")
+
+
+def health(spark, d):
+    return metrics.health(spark).select("status")
+
+
+def stream_dedup_replay(spark, d):
+    """The feed as a stream in micro-batches, run twice into the same folders; readers merge the batches."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = (base.removeprefix("file://") if base else "") or tempfile.gettempdir()
+    os.makedirs(base, exist_ok=True)
+    work = tempfile.mkdtemp(prefix="stream-", dir=base)
+    e = table(spark, d, "events_in")
+    for attempt in range(2):
+        s = spark.readStream.schema(e.schema).parquet(f"{d}/events_in.parque[t]")
+        ev.run(s, lambda df, i: messages.keep_one(df, keep_unidentified=False), f"{work}/out", f"{work}/state{attempt}").awaitTermination()
+    return messages.keep_one(spark.read.parquet(f"{work}/out/main"), keep_unidentified=False).select("delivery_seq", "message_key")
 
 
 def p3_found(spark, d):
@@ -19,12 +341,21 @@ def p3_found(spark, d):
 
 def p3_kept(spark, d):
     kept = messages.keep_one(table(spark, d, "events_in"))
-    return kept.select("delivery_seq", "message_key", "document_id", F.col("timestamp").cast("string").alias("sent_at"))
-
+    return kept.select("delivery_seq", "message_key", "document_id", C("timestamp").cast("string").alias("sent_at"))
 
-QUERIES = {"p3_found": p3_found, "p3_kept": p3_kept}
 
-SQL = {
-    "p3_found": f"SELECT delivery_seq FROM (SELECT delivery_seq, row_number() OVER (PARTITION BY message_key ORDER BY delivery_seq) AS n FROM ({_UUID_SQL}) WHERE message_key IS NOT NULL) WHERE n > 1",
-    "p3_kept": f"SELECT delivery_seq, message_key, document_id, rtrim(rtrim(strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS sent_at FROM (SELECT *, row_number() OVER (PARTITION BY message_key ORDER BY delivery_seq) AS n FROM ({_UUID_SQL})) WHERE message_key IS NULL OR n = 1",
-}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        similarity_search, similarity_search_tenant, similarity_threshold_count, similarity_all_pairs_topk, vector_codec,
+        canonical_hash, canonical_hash_dups, document_checksum_dedup, dedup_anti_join, dedup_semi_join, chunk_dedup,
+        vector_upsert, vector_id_remap, recent_hashes_topn, chunk_append_idempotent, document_lookup,
+        strip_control, collapse_ws, normalize_text, clean_chunk_text, query_prefix, fnv_hash, metadata_fields,
+        recurring_lines_removed, page_split, char_ratios, char_entropy, quality_score, quality_gate, boilerplate_filter, doc_profile,
+        language_id, entities, keywords_topn, word_scores, phrase_counts, sentence_split, sentence_units, paragraph_units,
+        token_windows, char_windows, chunk_paragraph, chunk_sentence, chunk_strategies,
+        shingle_jaccard_pairs, copy_classes, near_dup_clusters, minhash_signature, lsh_candidates, structure_elements, embed_documents,
+        event_parse_dlq, dead_letters, retry_backoff_plan, request_counters, latency_histogram, health, stream_dedup_replay,
+        p3_found, p3_kept,
+    )
+}
