@@ -1,10 +1,9 @@
 """Filling fixed-capacity containers (problem 8).
 
-The plan is made from the histogram of lengths, which has at most ``capacity`` rows whatever the size of the corpus:
-patterns of few items are enumerated, their repeat counts fitted to the histogram by non-negative least squares and
-rounded down, and what remains is packed best-fit-decreasing on counts. Items far shorter than a container are first grouped
-the same way into parts of a quarter of the capacity, so that few-item patterns stay enough. Items then only need their
-rank within their length to find their container.
+The plan is made from the histogram of lengths, which has at most ``capacity`` rows whatever the size of the corpus: all
+patterns of up to three items (in bins of lengths) that fill a container are enumerated, their repeat counts fitted to the
+histogram by non-negative least squares, and rounded down. What remains is packed best-fit-decreasing on counts, into what the
+patterns leave free and into new containers. Items then only need their rank within their length to find their container.
 
 Defined results: null and empty texts have no tokens and no container; an item above the capacity is split into pieces
 of exactly the capacity and a remainder; nothing else is split; an empty table gives no containers; repeated rows of one
@@ -56,14 +55,12 @@ class Level:
     classes: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)  # class -> (rank start, base, per)
     ranks: dict[int, int] = field(default_factory=dict)  # class -> items placed so far
     containers: int = 0
-    fills: list[tuple[int, int]] = field(default_factory=list)  # (containers, fill of each)
 
     def place(self, pattern: dict[int, int], repeats: int, lengths: dict[int, int]) -> None:
         for c, per in pattern.items():
             start = self.ranks.get(c, 0)
             self.classes.setdefault(c, []).append((start, self.containers, per))
             self.ranks[c] = start + per * repeats
-        self.fills.append((repeats, sum(lengths[c] * k for c, k in pattern.items())))
         self.containers += repeats
 
 
@@ -100,11 +97,20 @@ def _take(pattern_bins: np.ndarray, repeats: int, members: dict[int, list[list[i
     return out
 
 
-def plan_level(lengths: dict[int, int], counts: dict[int, int], capacity: int, bins: int = 64, depth: int = 4) -> Level:
+def plan_level(lengths: dict[int, int], counts: dict[int, int], capacity: int, bins: int = 128, depth: int = 3) -> Level:
     """Places every item of every class into containers; classes are numbers with a length each."""
     lv = Level()
     width = max(1, -(-capacity // bins))
     n_bins = capacity // width
+    open_: dict[int, list[list]] = {}  # space left -> [pattern, containers]
+    spaces: list[int] = []
+
+    def put(space: int, pat: dict[int, int], k: int) -> None:
+        if not open_.get(space):
+            open_[space] = []
+            bisect.insort(spaces, space)
+        open_[space].append([pat, k])
+
     members: dict[int, list[list[int]]] = {}
     for c in sorted(counts, key=lambda c: -lengths[c]):
         if counts[c] > 0:
@@ -117,24 +123,19 @@ def plan_level(lengths: dict[int, int], counts: dict[int, int], capacity: int, b
         fit = [b for b in members if b * width <= capacity or all(lengths[c] <= capacity for c, _ in members[b])]
         usable = pats[(pats[:, [b for b in range(n_bins + 1) if b not in fit]] == 0).all(axis=1)]
         if len(usable):
-            x = np.floor(nnls(usable.T, hist) + 1e-6).astype(np.int64)
+            weight = np.arange(n_bins + 1, dtype=np.float64)[:, None]  # long items are harder to place
+            x = np.floor(nnls(usable.T * weight, hist * weight[:, 0]) + 1e-6).astype(np.int64)
             for i in np.argsort(-x, kind="stable"):
                 if x[i] <= 0:
                     break
                 for pat, k in _take(usable[i], int(x[i]), members):
-                    if sum(lengths[c] * m for c, m in pat.items()) <= capacity:
-                        lv.place(pat, k, lengths)
+                    fill = sum(lengths[c] * m for c, m in pat.items())
+                    if fill <= capacity:
+                        put(capacity - fill, pat, k)  # bins round up: what is left over can still take a small item
                     else:  # bins are rounded up, so this only guards odd capacities
                         for c, m in pat.items():
                             next(y for y in members[min(n_bins, -(-lengths[c] // width))] if y[0] == c)[1] += m * k
     residual = sorted(((lengths[c], c, k) for m in members.values() for c, k in m if k > 0), reverse=True)
-    open_: dict[int, list[list]] = {}  # space left -> [pattern, containers]
-    spaces: list[int] = []
-    def put(space: int, pat: dict[int, int], k: int) -> None:
-        if space not in open_ or not open_[space]:
-            open_[space] = []
-            bisect.insort(spaces, space)
-        open_[space].append([pat, k])
 
     for length, c, k in residual:
         while k > 0:
@@ -166,63 +167,26 @@ def plan_level(lengths: dict[int, int], counts: dict[int, int], capacity: int, b
 
 @dataclass
 class Plan:
-    """Levels from the smallest parts to the containers; class numbers below ``1 << 20`` are lengths of items."""
+    """Where items go, by their length and their rank among the items of that length."""
 
     capacity: int
-    levels: list[tuple[Level, list[tuple[int, int, int]]]]  # level, (first group, its class above, rank offset there)
+    level: Level
 
     def locate(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Container of each item given its length and its rank among items of that length."""
-        cls, rk = length.astype(np.int64), rank.astype(np.int64)
-        out = np.full(len(cls), -1, np.int64)
-        for i, (lv, up) in enumerate(self.levels):
-            here = np.full(len(cls), -1, np.int64)
-            for c in np.unique(cls[out < 0]):
-                if int(c) not in lv.classes:
-                    continue
-                sel = (cls == c) & (out < 0)
-                iv = np.array(lv.classes[int(c)], np.int64)
-                k = np.searchsorted(iv[:, 0], rk[sel], "right") - 1
-                here[sel] = iv[k, 1] + (rk[sel] - iv[k, 0]) // iv[k, 2]
-            done = here >= 0
-            if i + 1 == len(self.levels):
-                out[done] = here[done]
-                break
-            if not up:
-                continue
-            table_ = np.array(up, np.int64)
-            k = np.searchsorted(table_[:, 0], here[done], "right") - 1
-            cls[done] = table_[k, 1]
-            rk[done] = table_[k, 2] + here[done] - table_[k, 0]
+        """Container of each item."""
+        out = np.full(len(length), -1, np.int64)
+        for c in np.unique(length):
+            sel = length == c
+            iv = np.array(self.level.classes[int(c)], np.int64)
+            r = rank[sel].astype(np.int64)
+            k = np.searchsorted(iv[:, 0], r, "right") - 1
+            out[sel] = iv[k, 1] + (r - iv[k, 0]) // iv[k, 2]
         return out
 
 
-def make_plan(histogram: dict[int, int], capacity: int, bins: int = 64, depth: int = 4, least_part: int = 64) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, bins: int = 128, depth: int = 3) -> Plan:
     """Plan for a histogram length -> count with lengths 1..capacity."""
-    parts = [capacity]
-    while parts[-1] // 4 >= least_part:
-        parts.append(parts[-1] // 4)
-    levels, carried_len, carried_cnt = [], {}, {}
-    for j, cap in enumerate(reversed(parts)):
-        last = j + 1 == len(parts)
-        below = parts[len(parts) - j] if j else 0
-        own = {n: k for n, k in histogram.items() if below < n <= cap}
-        lengths = {n: n for n in own} | carried_len
-        counts = own | carried_cnt
-        lv = plan_level(lengths, counts, cap, bins, depth)
-        if last:
-            levels.append((lv, []))
-            break
-        up, by_len, at = [], {}, 0
-        for k, fill in lv.fills:
-            cls = (1 << 20) * (j + 1) + fill
-            up.append((at, cls, by_len.get(cls, 0)))
-            by_len[cls] = by_len.get(cls, 0) + k
-            at += k
-        carried_len = {c: c & ((1 << 20) - 1) for c in by_len}
-        carried_cnt = dict(by_len)
-        levels.append((lv, up))
-    return Plan(capacity, levels)
+    return Plan(capacity, plan_level({n: n for n in histogram}, dict(histogram), capacity, bins, depth))
 
 
 def split_over(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -233,7 +197,7 @@ def split_over(sizes: DataFrame, capacity: int) -> DataFrame:
     return s.select("doc_id", "piece_no", start.alias("token_start"), F.least(start + capacity, n).alias("token_end")).withColumn("n_tokens", (F.col("token_end") - F.col("token_start")).cast("int"))
 
 
-def pack_items(sizes: DataFrame, capacity: int, bins: int = 64, depth: int = 4, shards: int = 64, seed: int = 7) -> DataFrame:
+def pack_items(sizes: DataFrame, capacity: int, bins: int = 128, depth: int = 3, shards: int = 64, seed: int = 7) -> DataFrame:
     """Container of every piece of every item of ``sizes`` (doc_id, n_tokens).
 
     Ranks within a length come from sharded windows, so a length that a third of all items have is no single task;

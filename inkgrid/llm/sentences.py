@@ -35,7 +35,7 @@ ABBREVIATIONS = {
     "hi": "डॉ श्री प्रो पं सु",
 }
 #: They end a sentence if what follows begins one.
-ENDING_ABBREVIATIONS = "etc usw ltd inc corp co gmbh llc bros jr sr a.m p.m u.s u.k e.u usf т.д т.п г гг руб коп др в вв млн млрд тыс u.s.w u.a.m ltda cía s.a c.v"
+ENDING_ABBREVIATIONS = "etc usw ltd inc corp co gmbh llc bros jr a.m p.m u.s u.k e.u usf т.д т.п г гг руб коп др в вв млн млрд тыс u.s.w u.a.m ltda cía s.a c.v"
 #: Before a number with a full stop they make it an ordinal.
 ORDINAL_BEFORE = "der die das den dem des am vom zum zur im ab bis seit jeder jede jedes bericht"
 
@@ -89,6 +89,7 @@ _TERM_RUN = re.compile(rf"[{_TERMINATORS}]+")
 _HAS_GAPS = regex.compile(rf"[{_SPACED_UNITS}]{_W}")
 _CLOSERS = regex.compile(r"[\p{Cf}\p{Pe}\p{Pf}\"'”’»]*")
 _SPACES = regex.compile(r"[\s\p{Cf}]*")
+_WHITE = regex.compile(r"\s*")
 _DENSE_CHAR = regex.compile(rf"[{_DENSE}]")
 _SPACED_CHAR = regex.compile(rf"[{_SPACED_UNITS}]")
 _LATIN_DIGIT = regex.compile(r"[\p{Latin}\p{N}]")
@@ -127,11 +128,11 @@ def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool) ->
         if not word:
             return not nxt.islower()
     if nxt.islower():  # a continuation, unless a common word ended and a name in lower case begins
-        return not closed and len(raw) >= 3 and raw.isalpha() and raw.islower() or not closed and len(raw) >= 4 and raw.replace("-", "").isalpha() and not raw.isupper() and bool(_NAME_LIKE.match(text, e))
+        return not closed and raw.isalpha() and raw.islower() and (len(raw) >= 5 or bool(_NAME_LIKE.match(text, e)))
     return True
 
 
-_NAME_LIKE = regex.compile(r"[\s\p{Cf}]+\p{Ll}+[\s\p{Cf}]+v?\d+[.\d]*")
+_NAME_LIKE = regex.compile(r"[\s\p{Cf}]+\p{Ll}+[\s\p{Cf}]+[vｖ]?\d+[.\d]*")
 
 
 def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[int], out_e: list[int]) -> int:
@@ -200,7 +201,7 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
             if right < e and not _LATIN_DIGIT.match(text[right]) and (_SPACED_CHAR.match(left) or (_SPACED_CHAR.match(text[right]) and not _LATIN_DIGIT.match(left) and left not in ",;:–—-.!?…")):
                 out_a.append(start)
                 out_e.append(at)
-                start = body = right
+                start = body = _WHITE.match(text, at, e).end()
                 stack.clear()
             pos = right
             continue
@@ -259,8 +260,7 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
             continue
         out_a.append(start)
         out_e.append(close)
-        start = gap
-        body = gap
+        start = body = _WHITE.match(text, close, e).end()
         stack.clear()
         pos = gap
     if start < e:
