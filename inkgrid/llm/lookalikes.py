@@ -160,6 +160,8 @@ class Rewriter:
         if rules:
             self.automaton.make_automaton()
         firsts = "".join(sorted({x[0] for x in rules if len(x) == 1}))
+        plain = "".join(x for x in rules if len(x) == 1 and x.isascii())
+        self.ascii_rules = regex.compile(f"[{regex.escape(plain)}]|  | \n|\r\n") if plain else regex.compile("  | \n|\r\n")
         self.single = regex.compile(f"[{regex.escape(firsts)}]|  | \n|\r\n|\\p{{M}}") if firsts else None
 
     def once(self, text: str) -> str:
@@ -176,7 +178,7 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if not text or self.single is None:
             return text
-        if text.isascii() and "  " not in text and " \n" not in text and "\t" not in text and "\r" not in text:
+        if text.isascii() and not self.ascii_rules.search(text):
             return text.rstrip(" ")
         for _ in range(6):
             new = self.once(text)
