@@ -96,7 +96,7 @@ _LATIN_DIGIT = regex.compile(r"[\p{Latin}\p{N}]")
 _PAIR = {"„": "“”", "“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "〈": "〉", "《": "》", "【": "】", "〔": "〕", "（": "）)", "(": ")）", "[": "]", "{": "}", '"': '"', "»": "«"}
 _BEFORE = regex.compile(r"[^\s(\[{“”\"„«»'‘]*$")
 _SHORT_PART = regex.compile(r"(?<![\p{L}\p{N}])(\p{L}{1,2})\.[\s\p{Cf}]+$")
-_WORD_BEFORE = regex.compile(r"(\p{L}+)[\s\p{Cf}]+$")
+_WORD_BEFORE = regex.compile(r"([\p{L}\p{M}][\p{L}\p{M}\p{Cf}]*)[\s\p{Cf}]+$")
 
 
 def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool) -> bool:
@@ -233,7 +233,7 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
             break
         nxt = text[gap]
         spaced = any(c.isspace() for c in text[close:gap])
-        dense = any(c in "。！？｡︒﹒﹗﹖．" for c in term)
+        dense = any(c in "。！？｡︒﹒﹗﹖．" for c in term) or (not spaced and any(c in "」』" for c in visible) and bool(_DENSE_CHAR.match(nxt)))
         if term.startswith("…") or "..." in term or ".." in term and len(term) > 1 and term.count(".") == len(term):
             continue  # an ellipsis with text after it ends nothing
         if visible and (nxt in ",;:，、；：" or nxt in "—–-"):
