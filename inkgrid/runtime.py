@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     base = DEFAULT_CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory, "spark.ui.enabled": "false"}
     for k, v in (base | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return attach(b.getOrCreate())
+
+
+def attach(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors of a session, once: their Python workers need not have it installed.
+
+    The archive is served by the driver; nothing is read from a path on the executors.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_inkgrid_attached", False):
+        root = Path(__file__).resolve().parent
+        if root.is_dir():
+            archive = Path(tempfile.mkdtemp(prefix="inkgrid-")) / "inkgrid_package.zip"
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+                for f in sorted(root.rglob("*.py")):
+                    z.write(f, str(f.relative_to(root.parent)))
+            sc.addPyFile(str(archive))
+        sc._inkgrid_attached = True
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    attach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
