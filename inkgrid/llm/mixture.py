@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import sharded_position
@@ -88,11 +88,10 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats, max_repeats) of every target."""
     per_doc = mixed.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
     per = per_doc.groupBy("source").agg(F.sum("t").alias("tokens"), F.count("*").alias("documents"), F.max("k").alias("most_repeats"))
-    total = per.agg(F.sum("tokens").alias("all_tokens"))
+    per = per.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # no more rows than targets
     return (
         targets.filter(F.col("source").isNotNull())
         .join(per, "source", "left")
-        .join(F.broadcast(total))  # one row
         .select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")
     )
 
