@@ -56,3 +56,9 @@ def split_duplicates(deduped: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recent_hashes(vectors: DataFrame, n: int = 10_000) -> DataFrame:
     """The n latest non-empty hashes; planned as a top-n, never a full sort."""
     return vectors.filter(F.length("hash") > 0).select("hash", "id", "created_at").orderBy(F.desc("created_at"), "hash", "id").limit(n)
+
+
+def within_ttl(index: DataFrame, at: str, days: int = 7, seen: str = "created_at") -> DataFrame:
+    """The entries of an index seen within the last days before a moment; older ones have expired. A null time has expired."""
+    t = F.lit(at).cast("timestamp")
+    return index.filter((F.col(seen) > t - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(seen) <= t))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..functions import text as T
 #: Version labels of the strategies.
 PARSER_VERSIONS = {"exact": "tiktoken-exact-1.0", "sentence": "tiktoken-sentence-1.0", "paragraph": "tiktoken-paragraph-1.0", "character-based": "character-based-1.0"}
 FALLBACK_VERSION = "paragraph-1.0"
+#: Fixed value: the pattern that splits text before byte pairs are merged.
+BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def paragraph_units(lines: DataFrame) -> DataFrame:
@@ -127,6 +131,39 @@ def token_windows(lines: DataFrame, budget: int = 450, overlap: int = 80) -> Dat
     return x.select("document_id", "chunk_index", F.array_join(F.slice("w", F.col("_a") + 1, budget), " ").alias("content"), "start_page", "end_page", F.lit(0).alias("start_char_offset"), F.lit(0).alias("end_char_offset"))
 
 
+def load_bpe(ranks: bytes):
+    """A byte-pair encoder of a public rank file (lines of base64 token and rank)."""
+    import base64
+
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=BPE_PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def bpe_windows(lines: DataFrame, ranks: bytes, budget: int = 450, overlap: int = 80) -> DataFrame:
+    """As :func:`token_windows` with the tokens of a byte-pair vocabulary; a character cut by a window's end is replaced.
+
+    The rank file travels with the task; every worker builds its encoder once for a batch stream.
+    """
+    d = _document_text(lines, " ", True)
+    schema = "document_id string, chunk_index int, content string, start_page int, end_page int, start_char_offset int, end_char_offset int"
+
+    def windows(batches):
+        enc, step = load_bpe(ranks), step_of(budget, overlap)
+        for b in batches:
+            rows = []
+            for doc, t, a, e in zip(*(c.to_pylist() for c in b.columns)):
+                tok = enc.encode_ordinary(t)
+                n = 1 if len(tok) <= budget else 1 + -(-(len(tok) - budget) // step)
+                rows += [(doc, k, enc.decode(tok[k * step : k * step + budget]), a, e, 0, 0) for k in range(n if tok else 0)]
+            cols = list(zip(*rows)) or [[]] * 7
+            types = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return d.select("document_id", "text", "start_page", "end_page").mapInArrow(windows, schema)
+
+
 def char_windows(lines: DataFrame, budget: int = 450, overlap: int = 80, chars_per_token: int = 4) -> DataFrame:
     """Chunks of ``budget * chars_per_token`` code points that overlap; offsets count code points."""
     d = _document_text(lines, "\n", False)
@@ -136,20 +173,29 @@ def char_windows(lines: DataFrame, budget: int = 450, overlap: int = 80, chars_p
     return x.select("document_id", "chunk_index", content.alias("content"), "start_page", "end_page", F.col("_a").alias("start_char_offset"), (F.col("_a") + F.length(content)).alias("end_char_offset"))
 
 
-def chunk_documents(lines: DataFrame, strategy: str = "paragraph", budget: int = 450, overlap: int = 80, config: EngineConfig | None = None) -> DataFrame:
+def chunk_documents(lines: DataFrame, strategy: str = "paragraph", budget: int = 450, overlap: int = 80, config: EngineConfig | None = None, ranks_file: str | None = None) -> DataFrame:
     """Chunks of lines by a strategy (exact, paragraph, sentence, character-based; any letter case, others are paragraph).
 
     Adds id (derived from document and index), language, parser_version and token_count. Limits that are not positive become the defaults.
+    With ``ranks_file`` exact windows count the tokens of that vocabulary; if it cannot be loaded, paragraphs are chunked instead.
     """
     cfg = config or EngineConfig()
     budget = budget if budget > 0 else cfg.chunk_budget
     overlap = overlap if overlap > 0 else cfg.chunk_overlap
     s = strategy.strip().lower()
     s = s if s in PARSER_VERSIONS else "paragraph"
+    version = PARSER_VERSIONS[s]
+    ranks = None
+    if s == "exact" and ranks_file:
+        try:
+            ranks = Path(ranks_file).read_bytes()
+            load_bpe(ranks)
+        except Exception:
+            s, version = "paragraph", FALLBACK_VERSION
     if s == "exact":
-        c = token_windows(lines, budget, overlap)
+        c = bpe_windows(lines, ranks, budget, overlap) if ranks else token_windows(lines, budget, overlap)
     elif s == "character-based":
         c = char_windows(lines, budget, overlap, cfg.chars_per_token)
     else:
         c = pack_units(paragraph_units(lines) if s == "paragraph" else sentence_units(lines), budget, overlap).drop("first_unit", "last_unit")
-    return c.withColumn("id", T.stable_id(F.col("document_id"), F.col("chunk_index"))).withColumn("language", F.lit(cfg.default_language)).withColumn("parser_version", F.lit(PARSER_VERSIONS[s])).withColumn("token_count", T.word_count(F.col("content")))
+    return c.withColumn("id", T.stable_id(F.col("document_id"), F.col("chunk_index"))).withColumn("language", F.lit(cfg.default_language)).withColumn("parser_version", F.lit(version)).withColumn("token_count", T.word_count(F.col("content")))

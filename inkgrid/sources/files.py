@@ -17,6 +17,17 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return o.select(F.col("path").alias("file_key"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def write_objects(objects: DataFrame, path: str) -> None:
+    """Stores the content of objects under their key, as a table that :func:`stored_objects` reads; a key is written once."""
+    objects.select("file_key", "content").dropDuplicates(["file_key"]).write.mode("append").parquet(path)
+
+
+def stored_objects(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """(file_key, content) of stored objects, of some keys or of all."""
+    o = spark.read.schema("file_key string, content binary").parquet(path)
+    return o if keys is None else o.join(keys.select("file_key").distinct(), "file_key", "left_semi")
+
+
 def extract_lines(objects: DataFrame, id_col: str = "file_key", extractor: str = "default") -> DataFrame:
     """Lines with pages of each object, by the extractor provider; an object that gives no text has no lines."""
     t = providers.apply_provider(objects.select(id_col, "content"), "extractor", "content", "text", extractor)

@@ -200,3 +200,36 @@ def test_metrics(spark):
     o.collect()
     assert seen.get == {"rows": 3, "nulls": 1}
     assert metrics.health(spark).first()["status"] == "ok"
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def test_bpe_windows(spark):
+    import os
+
+    d = spark.createDataFrame([("d", i, 1, f"word{i} and more words of the line") for i in range(60)], "document_id string, line_no int, page int, text string")
+    broken = segment.chunk_documents(d, "exact", ranks_file="/nowhere")
+    assert broken.first()["parser_version"] == "paragraph-1.0"
+    if not os.path.exists(TOKENIZER):
+        pytest.skip("no vocabulary here")
+    whole = segment.chunk_documents(d, "exact", 10_000, 20, ranks_file=TOKENIZER).collect()
+    parts = segment.chunk_documents(d, "exact", 100, 20, ranks_file=TOKENIZER).orderBy("chunk_index").collect()
+    enc = segment.load_bpe(open(TOKENIZER, "rb").read())
+    tok = enc.encode_ordinary(whole[0]["content"])
+    assert len(whole) == 1 and [enc.encode_ordinary(p["content"]) for p in parts][0] == tok[:100]
+    assert "".join(enc.decode(tok[80 * k : 80 * k + (80 if k + 1 < len(parts) else 100)]) for k in range(len(parts))) == whole[0]["content"]
+
+
+def test_ttl(spark):
+    d = spark.sql("select * from values ('a', timestamp'2030-01-01'), ('b', timestamp'2030-01-09'), ('c', cast(null as timestamp)) t(hash, created_at)")
+    assert [r["hash"] for r in dedup.within_ttl(d, "2030-01-10 00:00:00").collect()] == ["b"]
+
+
+def test_stored_objects(spark, tmp_path):
+    from inkgrid.sources import files
+
+    o = spark.createDataFrame([("k1", bytearray(b"x")), ("k1", bytearray(b"x")), ("k2", bytearray(b"y"))], "file_key string, content binary")
+    files.write_objects(o, str(tmp_path / "objects"))
+    assert files.stored_objects(spark, str(tmp_path / "objects")).count() == 2
+    assert [bytes(r["content"]) for r in files.stored_objects(spark, str(tmp_path / "objects"), o.filter("file_key = 'k2'")).collect()] == [b"y"]
