@@ -124,6 +124,7 @@ def search(tree: Tree, proj: np.ndarray, vec: np.ndarray, q_proj: np.ndarray, q_
     p_sorted, v_sorted = proj[tree.order], vec[tree.order]
     p_norm = (p_sorted * p_sorted).sum(1)
     out_q, out_p, out_d = [], [], []
+    passing = 0.0  # share of points that passed the projected test lately
     for s in range(0, len(q_proj), block):
         qp, qv, limit = q_proj[s : s + block], q_vec[s : s + block], bound[s : s + block].astype(np.float32).copy()
         own = skip[s : s + block] if skip is not None else None
@@ -146,22 +147,26 @@ def search(tree: Tree, proj: np.ndarray, vec: np.ndarray, q_proj: np.ndarray, q_
             for a, e in zip(starts, np.r_[starts[1:], len(by)]):
                 g = active[by[a:e]]
                 lo, hi = tree.bounds[leaf[by[a]]]
-                d2 = qn[g, None] + p_norm[None, lo:hi] - 2 * (qp[g] @ p_sorted[lo:hi].T)
-                mask = d2 <= chi * limit[g, None]
-                hits = int(mask.sum())
-                if not hits:
-                    continue
-                r, c = np.nonzero(mask)
-                if hits * 8 > mask.size:
-                    t = 2 - 2 * (qv[g] @ v_sorted[lo:hi].T)
-                    t = t[r, c]
+                if passing > 0.125:  # most points pass the projected test here: verify the whole leaf by one product
+                    near_ = qv[g] @ v_sorted[lo:hi].T
+                    r, c = np.nonzero(near_ >= (1 - limit[g] / 2)[:, None])
+                    t = np.maximum(2 - 2 * near_[r, c], 0)
+                    ok = slice(None)
+                    passing *= 0.98
                 else:
-                    t = 2 - 2 * np.einsum("ij,ij->i", qv[g[r]], v_sorted[lo + c])
-                t = np.maximum(t, 0)
-                ok = t <= limit[g[r]]
+                    d2 = qn[g, None] + p_norm[None, lo:hi] - 2 * (qp[g] @ p_sorted[lo:hi].T)
+                    r, c = np.nonzero(d2 <= chi * limit[g, None])
+                    passing = 0.8 * passing + 0.2 * len(r) / d2.size
+                    if not len(r):
+                        continue
+                    t = np.maximum(2 - 2 * np.einsum("ij,ij->i", qv[g[r]], v_sorted[lo + c]), 0)
+                    ok = t <= limit[g[r]]
+                    t = t[ok]
+                if not len(t):
+                    continue
                 new_q.append(g[r[ok]])
                 new_p.append(tree.order[lo + c[ok]])
-                new_d.append(t[ok])
+                new_d.append(t)
             if not new_q:
                 continue
             nq, np_, nd = np.concatenate(new_q), np.concatenate(new_p), np.concatenate(new_d)
