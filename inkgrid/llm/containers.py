@@ -7,7 +7,7 @@ patterns leave free and into new containers. Items then only need their rank wit
 
 Defined results: null and empty texts have no tokens and no container; an item above the capacity is split into pieces
 of exactly the capacity and a remainder; nothing else is split; an empty table gives no containers; repeated rows of one
-id are separate items only if the caller keeps them (``pack_items`` makes ids unique first).
+id count once, with their largest size.
 """
 
 from __future__ import annotations
@@ -203,7 +203,8 @@ def pack_items(sizes: DataFrame, capacity: int, bins: int = 128, depth: int = 3,
     Ranks within a length come from sharded windows, so a length that a third of all items have is no single task;
     the plan's intervals (no more than lengths times patterns) travel with the task closure.
     """
-    pieces = cut(split_over(sizes, capacity))
+    once = sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    pieces = cut(split_over(once, capacity))
     hist = {int(r["n_tokens"]): int(r["k"]) for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("k")).collect()}  # at most capacity rows
     plan = make_plan(hist, capacity, bins, depth)
     ranked = sharded_position(pieces, ["n_tokens"], F.xxhash64("doc_id", "piece_no", F.lit(seed)), ["doc_id", "piece_no"], shards=shards, rank="_rank")

@@ -38,7 +38,7 @@ def test_plan_places_every_item_within_capacity(cap, n):
 
 
 def test_frame(spark):
-    d = spark.createDataFrame([(i, int(x)) for i, x in enumerate([5, 5, 5, 250, 100, 0, 99, 1, 33, 33, 33, 5])], "doc_id int, n_tokens int")
+    d = spark.createDataFrame([(i, int(x), 0) for i, x in enumerate([5, 5, 5, 250, 100, 0, 99, 1, 33, 33, 33, 5])] + [(4, 100, 1), (1, None, 1), (99, None, 0)], "doc_id int, n_tokens int, container_id int")
     got = C.pack_items(d, 100).collect()
     used = Counter()
     for r in got:
