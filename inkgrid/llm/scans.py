@@ -17,13 +17,15 @@ document's start: after); null document ids or line numbers are left out; an emp
 
 from __future__ import annotations
 
+import itertools
 import math
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
@@ -502,68 +504,118 @@ def _match_case(token: str, correction: str) -> str:
     return correction[:1].upper() + correction[1:] if token[:1].isupper() else correction
 
 
+def _body_lines(t: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripped texts, whether they end a sentence, and the line's kind: 0 body, 1 blank, 2 furniture."""
+    for b in t:
+        doc, no, page, text, furn = b.columns
+        s = [x.strip() for x in text.to_pylist()]
+        kind = [2 if f else 0 if x else 1 for x, f in zip(s, furn.to_pylist())]
+        done = [bool(_TERMINAL.search(x)) for x in s]
+        yield pa.RecordBatch.from_arrays([doc, no, page, pa.array(s, pa.string()), pa.array(kind, pa.int32()), pa.array(done, pa.bool_())], names=["document_id", "line_no", "page", "text", "kind", "done"])
+
+
+def paragraph_starts(lines: DataFrame) -> DataFrame:
+    """(document_id, block, line_no, text, paragraph) of the body lines; a paragraph is named by its first line.
+
+    A line starts a paragraph by what lies between it and the body line before, however far back that is: windows run inside
+    blocks, and the small table of block totals hands each block what came before it.
+    """
+    x = lines.select("document_id", "line_no", "page", "text", "furniture").mapInArrow(_body_lines, "document_id string, line_no int, page int, text string, kind int, done boolean")
+    x = cut(x.withColumn("block", F.floor(F.col("line_no") / F.lit(BLOCK)).cast("int")))
+    body, blank, furn = (F.when(F.col("kind") == k, v) for k, v in ((0, F.struct("line_no", "page", "done")), (1, F.col("line_no")), (2, F.col("line_no"))))
+    past = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("document_id", "block").orderBy("line_no")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy("document_id", "block").agg(F.max(body).alias("b"), F.max(blank).alias("e"), F.max(furn).alias("f"))
+    carry = totals.select("document_id", "block", *[F.max(c).over(past).alias(f"_{c}") for c in "bef"])
+    x = x.withColumn("b", F.max(body).over(before)).withColumn("e", F.max(blank).over(before)).withColumn("f", F.max(furn).over(before)).filter("kind = 0")
+    x = x.join(carry, ["document_id", "block"]).withColumn("b", F.coalesce("b", "_b"))
+    after = lambda c: F.coalesce(F.greatest(c, f"_{c}") > F.col("b.line_no"), F.lit(False))
+    crossing = after("f") | (F.col("page") != F.col("b.page"))
+    starts = F.col("b").isNull() | (after("e") & (~crossing | F.col("b.done")))
+    x = x.withColumn("start", F.when(starts, F.col("line_no")))
+    x = cut(x.select("document_id", "block", "line_no", "text", F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("start")))
+    last = x.groupBy("document_id", "block").agg(F.max("start").alias("s")).select("document_id", "block", F.max("s").over(past).alias("_s"))
+    return x.join(last, ["document_id", "block"]).select("document_id", "block", "line_no", "text", F.coalesce("start", "_s").alias("paragraph"))
+
+
+def _repair(s: str, fixes: list[tuple[str, str]]) -> str:
+    for a, c in dict.fromkeys(fixes):
+        s = regex.sub(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(a)}(?![\p{{L}}\p{{N}}])", _match_case(a, c).replace("\\", ""), s)
+    return s
+
+
+_FIXES = "array<struct<token:string,correction:string>>"
+_PART_SCHEMA = f"document_id string, paragraph int, block int, last_line int, head string, text string, tail string, joins boolean, head_fixes {_FIXES}, tail_fixes {_FIXES}"
+
+
+def _parts(t: pa.Table) -> pa.Table:
+    """The parts of paragraphs that lie in a block, repaired; the words at their ends stay as they are, for the block's border may cut them."""
+    t = t.take(pa.array(np.argsort(t.column("line_no").to_numpy(), kind="stable")))
+    out: list[tuple] = []
+    rows = t.to_pylist()
+    for start, group in itertools.groupby(rows, lambda r: r["paragraph"]):
+        g = list(group)
+        fixes = [[(f["token"], f["correction"]) for f in r["fixes"] or []] for r in g]
+        buf, join = "", None
+        for r in g:
+            buf = r["text"] if not buf else (buf[:-1] if join else buf) + r["text"] if join is not None else f"{buf} {r['text']}"
+            join = r["joins"]
+        head, tail = "", ""
+        if start < g[0]["line_no"]:  # goes on from the block before
+            head = regex.match(r"\S*", buf).group()
+            buf = buf[len(head) :]
+        if join is not None and g[-1] is rows[-1]:  # may go on in the next block
+            tail = regex.search(r"\S*$", buf).group()
+            buf = buf[: len(buf) - len(tail)]
+        fix = lambda x: [{"token": a, "correction": c} for a, c in x]
+        out.append((g[0]["document_id"], start, g[0]["block"], g[-1]["line_no"], head, _repair(buf, [f for x in fixes for f in x]), tail, join, fix(fixes[0]), fix(fixes[-1])))
+    cols = list(zip(*out)) or [[]] * 10
+    pairs = pa.list_(pa.struct([("token", pa.string()), ("correction", pa.string())]))
+    types = [pa.string(), *[pa.int32()] * 3, *[pa.string()] * 3, pa.bool_(), pairs, pairs]
+    return pa.table({x: pa.array(c, ty) for x, c, ty in zip(("document_id", "paragraph", "block", "last_line", "head", "text", "tail", "joins", "head_fixes", "tail_fixes"), cols, types)})
+
+
+def _whole(parts: list[dict]) -> str:
+    """The text of a paragraph from its parts in the order of blocks; words at borders are joined and repaired here."""
+    out: list[str] = []
+    word, fixes, join = "", [], None
+    for k, p in enumerate(parts):
+        of = lambda c: [(f["token"], f["correction"]) for f in p[c]]  # noqa: E731, B023
+        if k and join is None:
+            out += [_repair(word, fixes), " "]
+            word, fixes = "", []
+        elif k and join:
+            word = word[:-1]
+        word, fixes, join = word + p["head"], fixes + of("head_fixes"), p["joins"]
+        if p["text"] or p["tail"]:
+            out += [_repair(word, fixes), p["text"]]
+            word, fixes = p["tail"], []
+        fixes = fixes + of("tail_fixes")
+    return unicodedata.normalize("NFC", "".join([*out, _repair(word, fixes)]))
+
+
 def paragraphs(found: dict[str, DataFrame]) -> DataFrame:
     """(document_id, paragraph, first_line, last_line, text): the repaired text of each document, in paragraphs.
 
     A paragraph is named by its first line. Blank lines around furniture and a page's end only end a paragraph where the text
-    before is finished. The repair of a block needs that block's lines, breaks and corrections only.
+    before is finished. Paragraphs are numbered over all lines first; the parts that lie in a block are repaired with that block's
+    lines, breaks and corrections only, and put together by paragraph, over any number of blocks.
     """
-    lines = in_blocks(found["lines"])
-    b = found["broken"].select("document_id", "line_no", "joins")
-    corr = found["uses"].join(found["corrections"], "token").select("document_id", "line_no", "line_no2", "token", "correction")
-    fixes = corr.groupBy("document_id", "line_no").agg(F.collect_set(F.struct("token", "correction")).alias("fixes"))
-    x = found["lines"].join(b.groupBy("document_id", "line_no").agg(F.max("joins").alias("joins")), ["document_id", "line_no"], "left").join(fixes, ["document_id", "line_no"], "left")
-    del lines
-
-    def build(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column("line_no").to_numpy(), kind="stable")))
-        rows = t.to_pylist()
-        block = rows[0]["block"]
-        out: list[tuple] = []
-        buf, first, last, open_, join, fix = "", None, None, False, None, []
-
-        def close() -> None:
-            nonlocal buf, first, open_, join, fix
-            if first is not None and block * BLOCK <= first < (block + 1) * BLOCK:
-                s = buf
-                for a, c in fix:
-                    s = regex.sub(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(a)}(?![\p{{L}}\p{{N}}])", _match_case(a, c).replace("\\", ""), s)
-                out.append((rows[0]["document_id"], first, first, last, unicodedata.normalize("NFC", s)))
-            buf, first, open_, join, fix = "", None, False, None, []
-
-        blank = near_furniture = False
-        page = rows[0]["page"]
-        for r in rows:
-            s = r["text"].strip()
-            if r["furniture"]:
-                near_furniture = True
-                continue
-            if not s:
-                blank = True
-                continue
-            crossing = near_furniture or r["page"] != page
-            done = bool(_TERMINAL.search(buf)) if buf else True
-            if first is not None and blank and (not crossing or done):
-                close()
-            elif first is not None and crossing and done and not blank and s[:1].isupper() and len(buf) and buf[-1] in ".!?" and join is None and False:
-                close()
-            if first is None:
-                first, buf = r["line_no"], s
-            elif join is not None:
-                buf = (buf[:-1] if join else buf) + s
-            else:
-                buf += " " + s
-            last = r["line_no"]
-            join = bool(r["joins"]) if r["joins"] is not None else None
-            fix += [(f["token"], f["correction"]) for f in (r["fixes"] or [])]
-            blank = near_furniture = False
-            page = r["page"]
-        close()
-        cols = list(zip(*out)) or [[]] * 5
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        return pa.table({k: pa.array(c, ty) for k, c, ty in zip(("document_id", "paragraph", "first_line", "last_line", "text"), cols, types)})
-
-    return in_blocks(x).groupBy("document_id", "block").applyInArrow(build, "document_id string, paragraph int, first_line int, last_line int, text string")
+    b = found["broken"].groupBy("document_id", "line_no").agg(F.max("joins").alias("joins"))
+    corr = found["uses"].join(found["corrections"], "token").select("document_id", "line_no", "token", "correction")
+    fixes = corr.groupBy("document_id", "line_no").agg(F.sort_array(F.collect_set(F.struct("token", "correction"))).alias("fixes"))
+    x = paragraph_starts(found["lines"]).join(b, ["document_id", "line_no"], "left").join(fixes, ["document_id", "line_no"], "left")
+    parts = x.groupBy("document_id", "block").applyInArrow(_parts, _PART_SCHEMA)
+    part = F.struct("block", "head", "text", "tail", "joins", "head_fixes", "tail_fixes")
+    p = parts.groupBy("document_id", "paragraph").agg(F.max("last_line").alias("last_line"), F.sort_array(F.collect_list(part)).alias("parts"))
+
+    def build(batches):
+        for t in batches:
+            doc, start, last, of = t.columns
+            yield pa.RecordBatch.from_arrays([doc, start, start, last, pa.array([_whole(x) for x in of.to_pylist()], pa.string())], names=["document_id", "paragraph", "first_line", "last_line", "text"])
+
+    return p.mapInArrow(build, "document_id string, paragraph int, first_line int, last_line int, text string")
 
 
 def p6_found(spark, d):

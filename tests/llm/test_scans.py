@@ -73,6 +73,24 @@ def test_paragraphs(found):
     assert len(p) == 12 * 3 * 4 and all(x["text"].endswith(".") and "- " not in x["text"] and "@" not in x["text"] for x in p)
 
 
+def test_paragraph_over_blocks(spark):
+    n = 2 * S.BLOCK + 900
+    text = {i: f"w{i} goes on" for i in range(1, n + 1)}
+    text[S.BLOCK - 1], text[S.BLOCK] = "the mess-", "@ge, went on"  # a misread word broken at a block's border
+    text[2 * S.BLOCK - 1], text[2 * S.BLOCK] = "a well-", "known man"  # a compound there
+    want = " ".join(text[i] for i in range(1, n + 1)).replace("mess- @ge", "message").replace("well- known", "well-known")
+    after = 3 * S.BLOCK + 500  # ends in an empty block: the paragraph is finished, so the next line is another one
+    rows = [("d", i, i // 40, x, False) for i, x in text.items()] + [("d", n + 1, n // 40, "end.", False)] + [("d", i, n // 40, "", False) for i in range(n + 2, after)] + [("d", after, n // 40 + 1, "Next", False)]
+    found = {
+        "lines": spark.createDataFrame(rows, "document_id string, line_no int, page int, text string, furniture boolean"),
+        "broken": spark.createDataFrame([("d", S.BLOCK - 1, True), ("d", 2 * S.BLOCK - 1, False)], "document_id string, line_no int, joins boolean"),
+        "uses": spark.createDataFrame([("d", S.BLOCK - 1, "mess@ge")], "document_id string, line_no int, token string"),
+        "corrections": spark.createDataFrame([("mess@ge", "message")], "token string, correction string"),
+    }
+    got = sorted((r["first_line"], r["last_line"], r["text"]) for r in S.paragraphs(found).collect())
+    assert got == [(1, n + 1, want + " end."), (after, after, "Next")]
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "document_id string, line_no int, page int, text string")
     f = S.scan_findings(d)
