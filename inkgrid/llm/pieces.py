@@ -74,8 +74,8 @@ def split_text(text: str, max_tokens: int, max_chars: int, overlap_tokens: int,
     """(start, end, tokens, overlap tokens with the piece before) of each piece; tokens are white-space words.
 
     Every piece holds at most max_tokens words and max_chars code points; the cut lies in the last ``1 - least`` of the
-    permissible length. The overlap is overlap_tokens words; where the words are so long (scripts without spaces) that this would be
-    over half of a piece, it is the same share of max_chars, cut at the strongest boundary there. Pieces always advance.
+    permissible length. The overlap is overlap_tokens words; where a piece holds no more words than that (scripts without spaces), it is the
+    same share of max_chars, at most half of the piece, cut at the strongest boundary there. Every piece ends after the one before.
     """
     n = len(text)
     words = [m.span() for m in _WORDS.finditer(text)]
@@ -88,40 +88,49 @@ def split_text(text: str, max_tokens: int, max_chars: int, overlap_tokens: int,
             return 0
         return int(np.searchsorted(w_start, b, "left") - np.searchsorted(w_end, a, "right"))
 
+    def reach(a: int) -> int:
+        """Where a piece that starts at a has to end at the latest."""
+        first = int(np.searchsorted(w_end, a, "right"))
+        far = min(n_end, a + max_chars)
+        return min(far, int(w_start[first + max_tokens])) if first + max_tokens < len(words) else far
+
     if n <= max_chars and len(words) <= max_tokens:
         return [(0, n, len(words), 0)]
     if not words:
         return [(0, 0, 0, 0)]
     table = RangeMax(strengths(text))
-    out, a, back = [], int(w_start[0]) if len(w_start) else 0, 0
+    out, a, back, past = [], int(w_start[0]) if len(w_start) else 0, 0, 0
     n_end = int(w_end[-1]) if len(w_end) else n
     while True:
-        far = min(n_end, a + max_chars)
-        first = int(np.searchsorted(w_end, a, "right"))
-        if first + max_tokens < len(words):
-            far = min(far, int(w_start[first + max_tokens]))
+        far = reach(a)
         if far >= n_end:
             out.append((a, n_end, count(a, n_end), back))
             return out
-        lo = max(a + int((far - a) * least), out[-1][1] + 1 if out else a + 1)
+        lo = max(a + int((far - a) * least), past + 1 if out else a + 1)
         cut = table.argmax(min(lo, far), far)
-        if cut <= (out[-1][1] if out else a) or table.rows[0][cut] >> 32 == NEVER:
+        if cut <= (past if out else a) or table.rows[0][cut] >> 32 == NEVER:
             cut = far  # no boundary in the window: e.g. a single huge grapheme
         end = cut
         while end > a and text[end - 1].isspace():
             end -= 1
         out.append((a, end, count(a, end), back))
         if overlap_tokens <= 0:
-            a, back = cut, 0
+            a, back, past = cut, 0, cut
             continue
         i = int(np.searchsorted(w_start, cut, "left")) - overlap_tokens
+        past = int(w_start[i + overlap_tokens]) if text[cut].isspace() else cut  # where the text after this piece begins
         nxt = int(w_start[i]) if i >= 0 else -1
-        if nxt <= a or cut - nxt > (cut - a) // 2:
+        while a < nxt < past and reach(nxt) <= past:  # wide spaces: no word of the next piece would be new
+            i += 1
+            nxt = int(w_start[i])
+        if nxt <= a:
             room = min(int(max_chars * overlap_tokens / max_tokens), (cut - a) // 2)
             nxt = table.argmax(cut - room, cut - room // 2) if room > 1 else cut
             if table.rows[0][nxt] >> 32 == NEVER:
                 nxt = cut
         nxt = nxt if nxt > a else cut
+        if nxt < past and reach(nxt) <= past:
+            nxt = past
         a, back = nxt, count(nxt, end)
 
 

@@ -118,3 +118,19 @@ def test_oversized_frame(spark):
     assert first == {"a": (100, "stored"), "b": (3, "located"), "f": (None, "unknown")}
     assert len([r for r in got if r["chunk_id"] == "a"]) == len(split_text(big, 450, 1800, 80))
     assert oversized_pieces(c.limit(0), 450, 1800, 80).count() == 0
+
+
+@pytest.mark.parametrize("word", ["eleven-char", "fifteen-letters"])
+def test_overlap_of_long_words_is_whole(word):
+    t = " ".join(f"{word}{i % 7}" + (".\n\n" if i % 50 == 49 else "") for i in range(600))
+    p = split_text(t, 450, 1800, 80)
+    assert len(p) > 2 and all(x[3] == 80 for x in p[1:]) and all(b - a <= 1800 for a, b, _, _ in p)
+    assert all(x[1] < y[1] and x[0] < y[0] <= x[1] for x, y in zip(p, p[1:])) and p[-1][1] == len(t.rstrip())
+
+
+@pytest.mark.parametrize("gap", [1700, 1799, 1800, 4000])
+def test_pieces_advance_over_wide_gaps(gap):
+    t = ("ab " * 100 + " " * gap) * 4 + "字" * 2500 + " " * gap + "end"
+    p = split_text(t, 450, 1800, 80)
+    assert all(x[1] < y[1] for x, y in zip(p, p[1:])) and all(b - a <= 1800 for a, b, _, _ in p)
+    assert not "".join(t[x[1] : y[0]] for x, y in zip(p, p[1:])).strip() and p[-1][1] == len(t)
