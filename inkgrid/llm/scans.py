@@ -265,21 +265,25 @@ def judge_breaks(tokens: DataFrame, words: DataFrame, compounds: DataFrame, samp
         share = min(1.0, sample_rows / max(1, total))
         return {r["word"]: int(r["n"]) for r in d.filter(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).limit(2 * sample_rows).collect()}
 
-    ws, cs = sample(words.filter("n >= 3 and length(word) >= 4")), sample(compounds)
+    def counts(keys: set[str], d: DataFrame) -> dict[str, int]:
+        """Full counts of the parts of the sampled words."""
+        k = tokens.sparkSession.createDataFrame([(x,) for x in sorted(keys)], "word string")
+        return {r["word"]: int(r["n"]) for r in d.join(k, "word").select("word", "n").collect()}
+
+    cuts = [(w[:i], w[i:], n) for w, n in sorted(sample(words.filter("n >= 3 and length(word) >= 4")).items()) if w.isalpha() for i in range(2, len(w) - 1, 2)]
+    halves = [(*w.replace("‐", "-").partition("-")[::2], n) for w, n in sorted(sample(compounds).items())]
+    halves = [(l, r, n) for l, r, n in halves if r and l.isalpha() and r.isalpha()]
+    ws = counts({x for l, r, _ in cuts for x in (l, r)} | {x for l, r, _ in halves for x in (l, r, l + r)}, words)
+    cs = counts({f"{l}-{r}" for l, r, _ in cuts}, compounds)
     x, y = [], []
-    for word, n in ws.items():
-        if word.isalpha():
-            for i in range(2, len(word) - 1, 2):
-                l, r = word[:i], word[i:]
-                for soft in (False, True):
-                    x.append(_join_features(n, cs.get(f"{l}-{r}", 0), ws.get(l, 0), ws.get(r, 0), soft, True))
-                    y.append(1)
-    for word, n in cs.items():
-        l, _, r = word.replace("‐", "-").partition("-")
-        if r and l.isalpha() and r.isalpha():
-            for _ in range(4):
-                x.append(_join_features(ws.get(l + r, 0), n, ws.get(l, 0), ws.get(r, 0), False, True))
-                y.append(0)
+    for l, r, n in cuts:
+        for soft in (False, True):
+            x.append(_join_features(n, cs.get(f"{l}-{r}", 0), ws.get(l, 0), ws.get(r, 0), soft, True))
+            y.append(1)
+    for l, r, n in halves:
+        for _ in range(4):
+            x.append(_join_features(ws.get(l + r, 0), n, ws.get(l, 0), ws.get(r, 0), False, True))
+            y.append(0)
     model = Boosted(rounds=40).fit(np.array(x, np.float64).reshape(-1, JOIN_FEATURES), np.array(y, np.float64))
     sent = tokens.sparkSession.sparkContext.broadcast(model)
 

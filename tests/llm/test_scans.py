@@ -84,7 +84,7 @@ def test_paragraph_over_blocks(spark):
     found = {
         "lines": spark.createDataFrame(rows, "document_id string, line_no int, page int, text string, furniture boolean"),
         "broken": spark.createDataFrame([("d", S.BLOCK - 1, True), ("d", 2 * S.BLOCK - 1, False)], "document_id string, line_no int, joins boolean"),
-        "uses": spark.createDataFrame([("d", S.BLOCK - 1, "mess@ge")], "document_id string, line_no int, token string"),
+        "uses": spark.createDataFrame([("d", S.BLOCK - 1, "mess@ge", S.BLOCK)], "document_id string, line_no int, token string, line_no2 int"),
         "corrections": spark.createDataFrame([("mess@ge", "message")], "token string, correction string"),
     }
     got = sorted((r["first_line"], r["last_line"], r["text"]) for r in S.paragraphs(found).collect())
@@ -114,3 +114,19 @@ def test_boosting_learns_and_generalises():
     m = Boosted().fit(x[:2000], y[:2000])
     assert ((m.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
     assert len(Boosted().fit(np.zeros((0, 4)), np.zeros(0)).score(x[:3])) == 3
+
+
+def test_hyphen_training_uses_counts_of_the_whole_corpus(spark, monkeypatch):
+    seen = []
+
+    fit = Boosted.fit
+    monkeypatch.setattr(Boosted, "fit", lambda m, x, y: seen.append((x, y)) or fit(m, x, y))
+    letters = "abcdefghijklmnopqrst"
+    whole = [(f"{a}x{b}y", 5) for a in letters for b in letters]
+    words = spark.createDataFrame(whole + [(f"{a}{c}", 900) for a in letters for c in "xy"], "word string, n long")
+    compounds = spark.createDataFrame([(f"{a}x-{b}y", 7) for a in letters for b in letters], "word string, n long")
+    tokens = spark.createDataFrame([("ax", "by", "-")], "token string, right string, hyphen string")
+    S.judge_breaks(tokens, words, compounds, sample_rows=40)
+    (x, y), = seen
+    assert 20 < (y == 1).sum() < 400 and np.allclose(x[:, 2], np.log1p(900))
+    assert np.allclose(x[:, 0], np.log1p(5)) and np.allclose(x[:, 1], np.log1p(7))
