@@ -180,10 +180,9 @@ class Rewriter:
             return text
         if text.isascii() and not self.ascii_rules.search(text):
             return text.rstrip(" ")
-        for _ in range(6):
-            new = self.once(text)
-            if new == text:
-                break
+        seen = {text}
+        while (new := self.once(text)) not in seen:  # a run of spaces halves in each pass
+            seen.add(new)
             text = new
         return text.rstrip(" ")
 

@@ -56,3 +56,9 @@ def test_counts(spark):
 def test_hot_text(spark, rules):
     d = spark.range(6000).selectExpr("concat('k', id) id", "if(id % 3 = 0, 'same text', concat('t ', id)) content").unionByName(spark.createDataFrame([("odd", "samе text")], "id string, content string"))
     assert L.look_alike_pairs(L.rewrite(d, rules, hashes_only=True)).count() == 2000
+
+
+def test_runs_of_spaces_of_any_length():
+    r = L.Rewriter(L.rewrite_rules({x: 10 for x in "ab \n "}))
+    for n in (2, 64, 65, 127, 1000, 100_001):
+        assert r("a" + " " * n + "b") == "a b" and r("a" + "  " * n + "b") == "a b" and r("a" + " " * n + "\nb") == "a\nb"
