@@ -157,7 +157,7 @@ def query_prefix(spark, d):
 
 
 def fnv_hash(spark, d):
-    return table(spark, d, "mix_targets").select("source", T.fnv1a64(C("source")).cast("string").alias("hash"))
+    return _docs(spark, d).select("doc_id", T.fnv1a64(C("text")).cast("string").alias("hash"))
 
 
 def metadata_fields(spark, d):
