@@ -1,15 +1,23 @@
 """Languages of documents and of the stretches of mixed-language texts (problem 2).
 
-The scripts of a sentence narrow the candidates. Where several trained languages share a script, every word (in Han and kana every
-character) has a score in each; Viterbi over the words with a switching penalty, which is infinite inside a sentence, labels
-the text: stretches are therefore runs of whole sentences, and foreign words inside a sentence do not count.
+The scripts of a sentence narrow the candidates. Where several languages share a script, every word (in Han and kana every
+character) has a score in each trained one; Viterbi over the words with a switching penalty, which is infinite inside a sentence,
+labels the text: stretches are therefore runs of whole sentences, and foreign words inside a sentence do not count. Words
+that hold digits or are joined to them (identifiers, hexadecimal numbers) are no words of a language; a sentence without words
+says nothing and goes with its neighbours.
 
 Word scores are fitted on a bounded sample of labelled documents (``sample_rows``, by hash of the id). Stored labels may be
 wrong, so the sample's sentences are labelled anew by the model and fitted again; a label whose sentences mostly go to other
-languages is not a language of the corpus and is dropped.
+languages is not a language of the corpus and is dropped. A stretch few of whose words the chosen language is known to
+have is in a language that the sample does not have; the odds of that follow from how many words of a document other documents of
+its language have, too.
 
-Defined results: null, empty and blank texts give no record; a text without letters gets language ``und`` and confidence 0 and
-is no case; labels are compared as ISO 639-1 codes, whatever their spelling or region; repeated rows of an id count once.
+The confidence of a stretch is the probability of its language against the second best and against an unknown language, the
+evidence of words damped (``DAMPING``), for words of one text do not come independently.
+
+Defined results: null, empty and blank texts give no record; a text without letters gets ``zxx`` (no linguistic content), confidence 0, and
+is no case; a text in a language or script that is not known gets ``und`` and is a case; labels are compared as
+ISO 639-1 codes, whatever their spelling or region; repeated rows of an id count once.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .letters import TO_LATIN
 from .sentences import sentence_spans
 
 # ISO 639-1 code, ISO 639-2 codes, names.
@@ -38,7 +48,7 @@ da dan danish|no nor nb nn norwegian|fi fin finnish|tr tur turkish|vi vie vietna
 """
 _CODE = {name: row.split()[0] for row in LANGUAGES.replace("\n", "|").split("|") if row.strip() for name in row.split()}
 
-#: Scripts and the languages written in them. Only trained ones compete; a script without one falls to its first language.
+#: Scripts and the languages written in them, the commonest first. Of those only trained ones compete; a script without a trained one falls to its first.
 SCRIPTS = {
     "Latin": "en de fr es pt it nl pl cs sv da no fi tr vi id ro hu",
     "Cyrillic": "ru uk",
@@ -47,43 +57,67 @@ SCRIPTS = {
     "Hangul": "ko",
     "Thai": "th",
     "Lao": "lo",
-    "Devanagari": "hi ne",
+    "Devanagari": "hi ne mr",
     "Arabic": "ar fa ur",
     "Hebrew": "he",
     "Greek": "el",
+    "Armenian": "hy",
+    "Georgian": "ka",
+    "Ethiopic": "am ti",
+    "Bengali": "bn as",
+    "Gurmukhi": "pa",
+    "Gujarati": "gu",
+    "Oriya": "or",
+    "Tamil": "ta",
+    "Telugu": "te",
+    "Kannada": "kn",
+    "Malayalam": "ml",
+    "Sinhala": "si",
+    "Khmer": "km",
+    "Myanmar": "my",
+    "Tibetan": "bo dz",
+    "Mongolian": "mn",
+    "Thaana": "dv",
 }
-_NAMES = list(SCRIPTS)
-_BY_SCRIPT = {s: v.split() for s, v in SCRIPTS.items()}
+#: Letters of every other script.
+OTHER = "Other"
+_NAMES = [*SCRIPTS, OTHER]
+_BY_SCRIPT = {s: v.split() for s, v in SCRIPTS.items()} | {OTHER: []}
+#: What a text is in if it has letters of no known language, and if it has none at all.
+UNKNOWN, NO_LANGUAGE = "und", "zxx"
 
-# Letters of Latin, Cyrillic and Greek that look like each other; alone they don't tell the script.
-_LATIN_LIKE = "aeopcxyisjABEKMHOPCTXIvuZNY"
-_OTHER_LIKE = "аеорсхуіѕјАВЕКМНОРСТХІοαινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-_TO_LATIN = str.maketrans("аеорсхуіѕјАВЕКМНОРСТХІοανινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"[:22] + "οαινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyisjABEKMHOPCTXI" + "oaivpuABEZHIKMNOPTYX")
-_TO_CYRILLIC = str.maketrans("aeopcxyABEKMHOPCTX", "аеорсхуАВЕКМНОРСТХ")
+_WEAK = 64
 
 
 def _class_table() -> np.ndarray:
-    """Script number + 1 by code point; look-alike letters have 16 added; 0: no letter."""
+    """Script number + 1 by code point; letters that look like those of another script have 64 added; 0: no letter."""
     t = np.zeros(0x30000, np.uint8)
     all_ = "".join(c for c in map(chr, range(0x30000)) if not "\ud800" <= c <= "\udfff")
-    for i, s in enumerate(_NAMES):
+    for c in regex.findall(r"\p{L}", all_):
+        t[ord(c)] = len(_NAMES)
+    for i, s in enumerate(SCRIPTS):
         p = r"[\p{Hiragana}\p{Katakana}ー]" if s == "Kana" else rf"[\p{{{s}}}&&[\p{{L}}\p{{M}}\p{{So}}]]"
         for c in regex.findall(p, all_, flags=regex.V1):
             t[ord(c)] = i + 1
-    for c in _LATIN_LIKE + _OTHER_LIKE:
-        t[ord(c)] += 16
+    t[[*TO_LATIN, *{ord(c) for c in TO_LATIN.values()}]] += _WEAK
     return t
 
 
 _TABLE = _class_table()
 _FOREIGN_FORM = regex.compile(r"[\p{Cf}\p{M}ﬀ-ﭏ＀-￯]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b(?<!\d-)[^\W\d_]+\b(?!-\d)")
+_WITH_DIGITS = re.compile(r"[0-9][0-9A-Za-z_]*")
 _DENSE_CHARS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_FIELD, _MASK = 24, (1 << 24) - 1
+#: Bits of a sum of scores: a text has fewer than 2^31 words of at most _MOST units, so no sum reaches the next field.
+_FIELD, _MASK = 40, (1 << 40) - 1
 _UNIT = 64  # score units in a natural log
 _MOST = 6 * _UNIT  # a word's most
 _BACKGROUND = 20.0  # words of the whole sample that every language's counts are smoothed by
-_FAR = 1 << 22  # a language that the script excludes
+_FAR = math.inf  # a language that the script excludes
+#: The evidence of words counts this much in a confidence.
+DAMPING = 0.5
+#: Share of a text's words that an unknown language of the same script has in common with a trained one, and the odds against an unknown one.
+SHARED_WORDS, KNOWN_ODDS = 0.1, 99.0
 
 
 def iso_code(label: str | None) -> str | None:
@@ -95,16 +129,22 @@ def iso_code(label: str | None) -> str | None:
 
 
 def sentence_scripts(text: str, starts: list[int], ends: list[int]) -> list[str | None]:
-    """The deciding script of each sentence."""
+    """The deciding script of each sentence; letters of words with digits do not count."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = _TABLE[np.minimum(codes, len(_TABLE) - 1)]
+    for m in _WITH_DIGITS.finditer(text):
+        a = m.start()
+        while a and (text[a - 1].isascii() and text[a - 1].isalpha() or text[a - 1] in "-_"):  # the letters before the digits
+            a -= 1
+        if m.end() - a > 1:
+            cls[a : m.end()] = 0
     n = len(starts)
     which = np.repeat(np.arange(n), np.array(ends) - np.array(starts))
     pick = np.concatenate([cls[a:e] for a, e in zip(starts, ends)]) if n > 1 or starts[0] or ends[0] < len(cls) else cls
-    counts = np.bincount(which * 32 + pick, minlength=32 * n).reshape(n, 32)
-    strong, weak = counts[:, 1:16].astype(np.float64), counts[:, 17:32]
+    counts = np.bincount(which * 128 + pick, minlength=128 * n).reshape(n, 128)
+    strong, weak = counts[:, 1:_WEAK].astype(np.float64), counts[:, _WEAK + 1 :]
     out: list[str | None] = []
-    lat, cyr, gre, han, kana = (_NAMES.index(x) for x in ("Latin", "Cyrillic", "Greek", "Han", "Kana"))
+    han, kana = (_NAMES.index(x) for x in ("Han", "Kana"))
     strong[:, han] *= 2.5
     strong[:, kana] *= 2.5
     dense = strong[:, han] + strong[:, kana]
@@ -122,29 +162,51 @@ def sentence_scripts(text: str, starts: list[int], ends: list[int]) -> list[str
     return out
 
 
+class Evidence(NamedTuple):
+    """What a sentence says: the penalty of each candidate language (the least is the best), its words, how many each candidate is known to have."""
+
+    penalty: dict[str, float]
+    words: int
+    known: dict[str, int]
+
+
 class WordScores:
-    """Penalties of words by language, packed into one integer each so that a sentence is one sum."""
+    """Penalties of words by language and whether it has them, packed into one integer each so that a sentence is one sum."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int]):
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], typical: dict[str, float] | None = None):
         self.langs = langs
         self.index = {x: i for i, x in enumerate(langs)}
-        self.by_script = {s: [x for x in v if x in self.index] or v[:1] for s, v in _BY_SCRIPT.items()}
+        self.by_script = {s: [x for x in v if x in self.index] for s, v in _BY_SCRIPT.items()}
         self.words = _Lookup(words)
         self.words.grams, self.words.n = grams, len(langs)
+        self.typical = typical or {}
 
-    def sentence(self, s: str, script: str) -> dict[str, int]:
-        """Penalty of each candidate language; the least is the best."""
+    def sentence(self, s: str, script: str) -> Evidence | None:
         cand = self.by_script[script]
-        if len(cand) == 1:
-            return {cand[0]: 0}
+        if not cand or len(_BY_SCRIPT[script]) == 1:
+            return Evidence({(cand or _BY_SCRIPT[script] or [UNKNOWN])[0]: 0}, 0, {})
         if not s.isascii() and (script in ("Latin", "Cyrillic")):
             if _FOREIGN_FORM.search(s):
                 s = unicodedata.normalize("NFKC", regex.sub(r"\p{Cf}+", "", s))
             if script == "Latin":
-                s = s.translate(_TO_LATIN)
+                s = s.translate(TO_LATIN)
         found = _DENSE_CHARS.findall(s) if script in ("Han", "Kana") else _WORD.findall(s.lower())
+        if not found:
+            return None
         total = sum(map(self.words.__getitem__, found))
-        return {x: (total >> (_FIELD * self.index[x])) & _MASK for x in cand}
+        up = _FIELD * len(self.langs)
+        return Evidence(
+            {x: (total >> (_FIELD * self.index[x])) & _MASK for x in cand} if len(cand) > 1 else {cand[0]: 0},
+            len(found),
+            {x: (total >> (up + _FIELD * self.index[x])) & _MASK for x in cand},
+        )
+
+    def known_odds(self, lang: str, words: int, known: int) -> float:
+        """Log odds of a trained language against an unknown one, from the words that it is known to have; infinite where that says nothing."""
+        t = min(0.6, self.typical.get(lang, 0.0))
+        if not words or t <= 1.5 * SHARED_WORDS:
+            return math.inf
+        return DAMPING * (known * math.log(t / SHARED_WORDS) + (words - known) * math.log((1 - t) / (1 - SHARED_WORDS))) + math.log(KNOWN_ODDS)
 
 
 class _Lookup(dict):
@@ -169,8 +231,9 @@ def _trigrams(w: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
-def _penalties(counts: dict[str, Counter], langs: list[str], least: int) -> dict[str, int]:
-    """Packed penalties from counts by language: log likelihood below the best language's, limited."""
+def _penalties(counts: dict[str, Counter], langs: list[str], least: int, known: int = 0) -> dict[str, int]:
+    """Packed penalties from counts by language: log likelihood below the best language's, limited. With ``known``, a further field for
+    each language says whether it has the word at least so often."""
     total = {x: sum(counts[x].values()) + 1.0 for x in langs}
     both = Counter()
     for x in langs:
@@ -183,6 +246,8 @@ def _penalties(counts: dict[str, Counter], langs: list[str], least: int) -> dict
         logs = [math.log((counts[x][w] + 1e-3 + _BACKGROUND * k / everything) / (total[x] + _BACKGROUND)) for x in langs]
         top = max(logs)
         out[w] = sum(min(_MOST, round((top - v) * _UNIT)) << (_FIELD * i) for i, v in enumerate(logs))
+        if known:
+            out[w] += sum(1 << (_FIELD * (len(langs) + i)) for i, x in enumerate(langs) if counts[x][w] >= known)
     return out
 
 
@@ -218,17 +283,17 @@ def fit_word_scores(labelled: list[tuple[str, str]], rounds: int = 2, least_rows
     rows = Counter(x for x, _ in labelled)
     langs = sorted(x for x in rows if rows[x] >= least_rows)
     sents = []
-    for lab, text in labelled:
+    for doc, (lab, text) in enumerate(labelled):
         a, e = sentence_spans(text)
         if lab in langs and a:
-            sents += [(lab, sc, _tokens(text[p:q], sc), text[p:q]) for p, q, sc in zip(a, e, sentence_scripts(text, a, e)) if sc]
-    langs = _own_languages(sents, langs)
+            sents += [(lab, sc, _tokens(text[p:q], sc), text[p:q], doc) for p, q, sc in zip(a, e, sentence_scripts(text, a, e)) if sc]
+    langs = _own_languages([x[:4] for x in sents], langs)
     labels = [x[0] if x[0] in langs else "" for x in sents]
     model = WordScores(langs, {}, {})
     for r in range(rounds + 1):
         counts: dict[str, Counter] = defaultdict(Counter)
         grams: dict[str, Counter] = defaultdict(Counter)
-        for lab, (_, sc, toks, _s) in zip(labels, sents):
+        for lab, (_, sc, toks, *_s) in zip(labels, sents):
             if lab in _BY_SCRIPT[sc]:
                 counts[lab].update(toks)
         langs = [x for x in langs if counts[x]]
@@ -236,19 +301,37 @@ def fit_word_scores(labelled: list[tuple[str, str]], rounds: int = 2, least_rows
             for w, k in counts[x].items():
                 for g in _trigrams(w):
                     grams[x][g] += k
-        model = WordScores(langs, _penalties(counts, langs, 2), _penalties(grams, langs, 3))
+        model = WordScores(langs, _penalties(counts, langs, 2, 2), _penalties(grams, langs, 3))
         if r == rounds:
             break
         new = []
-        for (lab, sc, _toks, s), _old in zip(sents, labels):
-            pen = model.sentence(s, sc)
+        for lab, sc, _toks, s, _doc in sents:
+            found = model.sentence(s, sc)
+            pen = dict(found.penalty) if found else {"": 0}
             if lab in pen:  # the stored label weighs a little
                 pen[lab] -= _UNIT
             new.append(min(pen, key=lambda x: (pen[x], x)))
         labels = new
+    model.typical = _typical(sents, labels)
     return model
 
 
+def _typical(sents: list, labels: list[str]) -> dict[str, float]:
+    """By language, the share of the words of a document that another document of the language has, too."""
+    docs: dict[str, dict[str, int]] = defaultdict(dict)  # word -> the one document that has it, -1: several have it
+    for lab, (_, sc, toks, _s, doc) in zip(labels, sents):
+        if lab in _BY_SCRIPT[sc]:
+            d = docs[lab]
+            for w in toks:
+                d[w] = doc if d.get(w, doc) == doc else -1
+    seen, hit = Counter(), Counter()
+    for lab, (_, sc, toks, _s, _doc) in zip(labels, sents):
+        if lab in _BY_SCRIPT[sc]:
+            seen[lab] += len(toks)
+            hit[lab] += sum(docs[lab][w] < 0 for w in toks)
+    return {x: hit[x] / seen[x] for x in seen if seen[x]}
+
+
 def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the longest runs of whole sentences in one language."""
     starts, ends = sentence_spans(text)
@@ -256,13 +339,48 @@ def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[in
         return []
     scripts = sentence_scripts(text, starts, ends)
     emit = [model.sentence(text[a:e], sc) if sc else None for a, e, sc in zip(starts, ends, scripts)]
-    langs = sorted({x for m in emit if m for x in m})
+    langs = sorted({x for m in emit if m for x in m.penalty})
     if not langs:
-        return [(starts[0], ends[-1], "und", 0.0)]
-    if len(langs) == 1:
-        return [(starts[0], ends[-1], langs[0], 1.0 - 0.5 ** sum(1 for m in emit if m))]
-    pen = round(switch * _UNIT)
-    cost = {x: 0 for x in langs}
+        return [(starts[0], ends[-1], NO_LANGUAGE, 0.0)]
+    path = _viterbi(emit, langs, round(switch * _UNIT)) if len(langs) > 1 else langs * len(emit)
+    runs: list[list] = []  # start, end, language, penalties of the languages that all its sentences may be in, words, known words
+    for i, x in enumerate(path):
+        if not runs or runs[-1][2] != x:
+            runs.append([starts[i], ends[i], x, None, 0, 0])
+        r = runs[-1]
+        r[1] = ends[i]
+        if (m := emit[i]) is not None:
+            r[3] = m.penalty if r[3] is None else {k: v + r[3][k] for k, v in m.penalty.items() if k in r[3]}
+            r[4] += m.words
+            r[5] += m.known.get(x, 0)
+    out: list[list] = []
+    for a, e, x, pen, words, known in runs:
+        odds = model.known_odds(x, words, known)
+        untrained = x not in model.index and len(rivals := _rivals(x)) > 1  # the script's first language stands for all
+        others = [DAMPING * (v - pen[x]) / _UNIT for k, v in (pen or {}).items() if k != x]
+        p = 1 / (1 + sum(math.exp(-max(-700.0, g)) for g in (*others, odds)))
+        if odds < 0:
+            x, p = UNKNOWN, 1 - 1 / (1 + math.exp(-max(-700.0, odds)))
+        elif untrained:
+            p = 1 / len(rivals)
+        elif x == UNKNOWN:
+            p = 0.0
+        if out and out[-1][2] == x:
+            n, k = out[-1][1] - out[-1][0], e - a
+            out[-1][3] = (out[-1][3] * n + p * k) / max(1, n + k)
+            out[-1][1] = e
+        else:
+            out.append([a, e, x, p])
+    return [tuple(x) for x in out]
+
+
+def _rivals(lang: str) -> list[str]:
+    return next((v for v in _BY_SCRIPT.values() if lang in v), [lang])
+
+
+def _viterbi(emit: list[Evidence | None], langs: list[str], pen: int) -> list[str]:
+    """The cheapest language of each sentence, with a penalty for each change."""
+    cost: dict[str, float] = {x: 0 for x in langs}
     back: list[dict[str, str] | None] = []
     for m in emit:
         if m is None:
@@ -276,7 +394,7 @@ def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[in
             frm[x] = x
             if through < c:
                 c, frm[x] = through, low
-            nxt[x] = c + m.get(x, _FAR)
+            nxt[x] = c + m.penalty.get(x, _FAR)
         base = min(nxt.values())
         cost = {x: c - base for x, c in nxt.items()}
         back.append(frm)
@@ -284,18 +402,9 @@ def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[in
     cur = min(cost, key=lambda x: (cost[x], x))
     for i in range(len(emit) - 1, -1, -1):
         path[i] = cur
-        if back[i] is not None:
-            cur = back[i][cur]
-    out: list[list] = []
-    for i, x in enumerate(path):
-        m = emit[i]
-        gap = min((v for k, v in m.items() if k != x), default=_MOST) - m.get(x, _FAR) if m else 0
-        if out and out[-1][2] == x:
-            out[-1][1] = ends[i]
-            out[-1][3] += gap
-        else:
-            out.append([starts[i], ends[i], x, gap])
-    return [(a, e, x, 1 / (1 + math.exp(-max(-700, min(40.0, g / _UNIT))))) for a, e, x, g in out]
+        if (b := back[i]) is not None:
+            cur = b[cur]
+    return path
 
 
 def training_sample(documents: DataFrame, rows: int) -> list[tuple[str, str]]:
@@ -323,7 +432,7 @@ def language_segments(df: DataFrame, model: WordScores, id_col: str, text_col: s
     it, and its stretches. ``label`` is an expression for the stored label; its ISO code is given back. Narrow: no shuffle."""
     seg = "array<struct<start:int,end:int,lang:string,confidence:double>>"
     schema = f"rec_id string, stored string, lang string, confidence double, segments {seg}"
-    sent = df.sparkSession.sparkContext.broadcast((model.langs, dict(model.words), model.words.grams))  # bounded by the sample
+    sent = df.sparkSession.sparkContext.broadcast((model.langs, dict(model.words), model.words.grams, model.typical))  # bounded by the sample
 
     def label_batches(batches):
         scores = WordScores(*sent.value)
@@ -349,7 +458,7 @@ def language_segments(df: DataFrame, model: WordScores, id_col: str, text_col: s
 def language_cases(records: DataFrame) -> DataFrame:
     """(rec_id, seg_start, lang) of the stretches of records with several languages or a label that is not theirs."""
     case = (F.size(F.array_distinct("segments.lang")) > 1) | ~F.col("stored").eqNullSafe(F.col("lang"))
-    bad = records.filter((F.col("lang") != "und") & case)
+    bad = records.filter((F.col("lang") != NO_LANGUAGE) & case)
     once = bad.groupBy("rec_id").agg(F.min("segments").alias("segments"))
     return once.select("rec_id", F.explode("segments").alias("s")).select("rec_id", F.col("s.start").alias("seg_start"), F.col("s.lang").alias("lang"))
 
