@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sharded_position(df: DataFrame, group: list[str], order_hash: Column, tie: list[str], value: str | None = None, shards: int = 64, rank: str = "rank", total: str | None = None) -> DataFrame:
+def sharded_position(df: DataFrame, group: list[str], order_hash: Column, tie: list[str], value: str | None = None, shards: int | None = None, rank: str = "rank", total: str | None = None) -> DataFrame:
     """Adds to each row its 0-based rank in its group (and, with ``value``, the sum of value over the rows before it).
 
     The order is that of ``order_hash`` (a bigint), ties by the columns of ``tie``: shards are ranges of the
     hash, so the order over shards is the order of the hash. Null group values form a group. A null ``value`` counts 0.
+    There are four shards for each shuffle partition of the session unless ``shards`` says otherwise, so they grow with what a
+    cluster is set up for; the result does not depend on their number.
     """
+    shards = shards or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shard = F.shiftrightunsigned(order_hash, 33)  # 31 bits, not negative
     d = df.withColumn("_oh", F.shiftrightunsigned(order_hash, 1)).withColumn("_shard", F.floor(shard * F.lit(shards) / F.lit(1 << 31)).cast("int"))
     keys = [*group, "_shard"]
