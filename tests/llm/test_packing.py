@@ -134,3 +134,22 @@ def test_pieces_advance_over_wide_gaps(gap):
     p = split_text(t, 450, 1800, 80)
     assert all(x[1] < y[1] for x, y in zip(p, p[1:])) and all(b - a <= 1800 for a, b, _, _ in p)
     assert not "".join(t[x[1] : y[0]] for x, y in zip(p, p[1:])).strip() and p[-1][1] == len(t)
+
+
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    have, w, slots, b = M.plan_mixture({"big": (10**13, 10**9), "mid": (10**12, 10**8), "tiny": (100, 3)}, {"big": (0.6, 1), "mid": (0.3, 1), "tiny": (0.1, 4)})
+    assert slots * b >= 0.5 * 1.1e13 and b <= 65_536
+    tokens = {s: x * slots * b for s, x in zip(have, w)}
+    assert tokens["tiny"] == pytest.approx(400, abs=b) and tokens["mid"] == pytest.approx(10**12) and tokens["big"] <= 10**13 + b
+    assert M.plan_mixture({"a": (1000, 9), "b": (1000, 9)}, {"a": (0.5, 2), "b": (0.5, 2)}, total_tokens=600)[1:] == ([0.5, 0.5], 600, 1)
+    rows = [(i, "big", 10) for i in range(3000)] + [(10_000 + i, "tiny", 10) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    t = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 3)], "source string, target_share double, max_repeats int")
+    r = {x["source"]: x for x in M.share_report(M.mixture(d, t), t).collect()}
+    assert r["tiny"]["tokens"] == pytest.approx(150, abs=40) and r["tiny"]["most_repeats"] <= 3 and r["big"]["tokens"] == pytest.approx(14_900, rel=0.02)
+
+
+@pytest.mark.parametrize("size", [10, 100, 300, 999])
+def test_quotas(size):
+    q = M.quotas([50.0, 500.0, 30.0], [0.2, 0.5, 0.3], size)
+    assert sum(q) == pytest.approx(min(size, 580)) and all(a <= c + 1e-9 for a, c in zip(q, [50, 500, 30]))
