@@ -2,7 +2,7 @@
 
 Look-alike classes are the connected components, by union-find, of strings and code points that are drawn alike: letter
 widths and presentation forms, ligatures, composed and combining accents, kinds of spaces, invisible characters, and
-letters shared by the Latin, Cyrillic and Greek alphabets. The commonest member in the corpus represents its class, and
+letters that several alphabets share (``letters.SAME_LETTERS``). The commonest member in the corpus represents its class, and
 a multi-pattern automaton rewrites every other member, leftmost and longest first, until nothing changes.
 
 Letter case, accents, digits and line breaks make a difference and are never rewritten into each other.
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .letters import SAME_LETTERS
 
-# Letters that are drawn alike, one class each.
-SAME_LETTERS = "aаα AАΑ BВΒ cс CС eе EЕΕ gɡ hһ HНΗ iіι IІΙ jјϳ JЈ KКΚ lӏ MМΜ NΝ oоοօ OОΟ pрρ PРΡ qԛ sѕ SЅ TТΤ uυս vνѵ wԝ WԜ xхχ XХΧ yу YУΥ ZΖ"
 #: Decomposition tags of forms that look like what they decompose into; not among them: super, sub, circle, square, fraction.
 _ALIKE_TAGS = frozenset("wide narrow compat noBreak font initial medial final isolated vertical small".split())
 _SPACES = regex.compile(r"[\p{Zs}\t]")
@@ -125,27 +124,22 @@ def rewrite_rules(counts: dict[str, int]) -> dict[str, str]:
             n = min(n, counts.get(x[1], 0))
         return (-n, len(x), x)
 
-    rules = {}
-    for cls in uf.classes():
-        if len(cls) < 2:
-            continue
-        if "" in cls:
-            rep = ""
-        elif "\n" in cls:
-            rep = "\n"
-        else:
-            rep = min(cls, key=weight)
-        rules.update({x: rep for x in cls if x != rep and x})
-    for _ in range(4):  # representatives are spelled with representatives
-        for x, rep in list(rules.items()):
-            new = "".join(rules.get(c, c) for c in rep) if len(rep) > 1 else rep
-            if new in rules and new != x:
-                new = rules[new]
-            if new == x:
-                del rules[x]
-            else:
-                rules[x] = new
-    return rules
+    class_of = {x: cls for cls in uf.classes() if len(cls) > 1 for x in cls}
+    reps: dict[str, str] = {}
+
+    def rep_of(x: str) -> str:
+        """The representative of x's class: the commonest member, where members of several characters are spelled with representatives."""
+        cls = class_of.get(x)
+        if cls is None:
+            return x
+        name = min(cls)
+        if name not in reps:
+            reps[name] = x  # what is asked for while the class is worked on
+            fixed = next((r for r in ("", "\n") if r in cls), None)
+            reps[name] = fixed if fixed is not None else min((y if len(y) == 1 else "".join(map(rep_of, y)) for y in cls), key=weight)
+        return reps[name]
+
+    return {x: rep_of(x) for x in class_of if x and x != rep_of(x)}
 
 
 class Rewriter:

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .letters import TO_LATIN
+
 # Abbreviations by language, without their last full stop, in lower case.
 #: They never end a sentence.
 ABBREVIATIONS = {
@@ -41,8 +43,6 @@ ORDINAL_BEFORE = "der die das den dem des am vom zum zur im ab bis seit jeder je
 
 _ORDINAL_AFTER = regex.compile(r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Lauf|Jahrhundert|Stock|Tag|Mal)\b")
 
-# Letters of other scripts that look like the ASCII letter below them; only used to recognise an abbreviation.
-_LIKE = str.maketrans("аеорсхуіѕјАВЕКМНОРСТХІοαινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyisjABEKMHOPCTXIoaivpuABEZHIKMNOPTYX")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
 
@@ -57,7 +57,7 @@ def _members(prop: str) -> str:
 def _plain(token: str) -> str:
     """The token in ordinary characters and lower case."""
     if not token.isascii():
-        token = unicodedata.normalize("NFKC", _FORMAT.sub("", token)).translate(_LIKE)
+        token = unicodedata.normalize("NFKC", _FORMAT.sub("", token)).translate(TO_LATIN)
     return token.lower()
 
 

@@ -1,6 +1,8 @@
 import itertools
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from inkgrid.llm import lookalikes as L
 
@@ -62,3 +64,23 @@ def test_runs_of_spaces_of_any_length():
     r = L.Rewriter(L.rewrite_rules({x: 10 for x in "ab \n "}))
     for n in (2, 64, 65, 127, 1000, 100_001):
         assert r("a" + " " * n + "b") == "a b" and r("a" + "  " * n + "b") == "a b" and r("a" + " " * n + "\nb") == "a\nb"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aаαeе é\u0301\u0308oοօ \u00a0\u2003\u3000\t\u200b\u00ad\n\rＡAfiﬁ-‐\u0323", max_size=40))
+def test_rewriting_is_idempotent(t):
+    for counts in ({}, {"а": 50, "e": 9}):
+        c = counts | {x: counts.get(x, 0) + 1 for x in t}
+        r = L.Rewriter(L.rewrite_rules(c))
+        assert r(r(t)) == r(t)
+
+
+@pytest.mark.parametrize("gap", [" " * 65, " " * 200, " \u00a0\u2003" * 99, "\u3000" * 70])
+def test_gaps_of_any_width(gap):
+    r = L.Rewriter(L.rewrite_rules({x: 9 for x in "ab\n"} | {x: 1 for x in gap}))
+    assert r(f"a{gap}b") == "a b" and r(f"a{gap}\nb") == "a\nb" and r(r(f"a{gap}b")) == "a b"
+
+
+def test_letters_of_many_alphabets_look_alike():
+    r = L.Rewriter(L.rewrite_rules({x: 50 for x in "CODE code"} | {x: 1 for x in "ᏟОᎠᎬꓚꓳꓓꓰⲤⲞⲥօ"}))
+    assert r("ᏟОᎠᎬ") == r("ꓚꓳꓓꓰ") == "CODE" and r("ⲥօde") == "code"
