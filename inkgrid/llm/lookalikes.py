@@ -135,7 +135,7 @@ def rewrite_rules(counts: dict[str, int]) -> dict[str, str]:
         name = min(cls)
         if name not in reps:
             reps[name] = x  # what is asked for while the class is worked on
-            fixed = next((r for r in ("", "\n") if r in cls), None)
+            fixed = next((r for r in ("", "\n", " ") if r in cls), None)  # runs of white space only shrink to these
             reps[name] = fixed if fixed is not None else min((y if len(y) == 1 else "".join(map(rep_of, y)) for y in cls), key=weight)
         return reps[name]
 
