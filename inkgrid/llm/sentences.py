@@ -2,8 +2,9 @@
 
 The rules follow the standard sentence-break properties: the terminators of all scripts (``STerm``), those that need
 white space after them (``ATerm``), closing punctuation (``Close``), and no break before a lower-case continuation. On
-top of them lie suppression lists of abbreviations by language, quotation and bracket handling, list markers, and the
-spaces of scripts that write no terminators.
+top of them lie suppression lists of abbreviations by language (that of the paragraph, told by its alphabet and its commonest
+words), quotation and bracket handling, list markers, and the spaces of scripts that write no terminators. An abbreviation that is
+also an ordinary word ("no", "art") only suppresses a break before what it would refer to.
 
 Defined results: null, empty and blank texts have no units; a unit never begins or ends with white space; the units of a text
 cover all of it but white space; an extremely long text costs time in proportion to its length.
@@ -23,25 +24,53 @@ from pyspark.sql import functions as F
 from .letters import TO_LATIN
 
 # Abbreviations by language, without their last full stop, in lower case.
-#: They never end a sentence.
+#: Within a sentence: they never end one.
 ABBREVIATIONS = {
-    "en": "mr mrs ms dr prof st rev hon gen col capt lt sgt messrs no nos fig figs sec secs ch vol pp p cf e.g i.e vs viz approx dept est ref al ex eq resp incl",
-    "de": "dr prof hr fr nr abb abs bzw ca vgl z.b d.h u.a s o.ä i.d.r evtl ggf inkl zzgl bd kap str st hrsg sog z.t m.e z bspw",
-    "fr": "m mm mme mlle me dr pr fig art p pp cf env réf éd vol chap p.ex c.-à-d av n",
-    "es": "sr sra srta dr dra ud uds prof núm fig art pág págs cf aprox p.ej ej ref vol cap ee.uu av n.º",
-    "pt": "sr sra dr dra prof profa fig art pág págs cf aprox p.ex ex ref vol cap n núm av",
-    "it": "sig dott prof fig art pag cfr es p.es",
-    "nl": "dhr mevr dr prof nr blz bijv d.w.z ca afb",
-    "ru": "им ул см рис стр гл т.е т.к т.н т.п напр проф акад гр д с п ст",
-    "ar": "د م أ ص ج",
+    "en": "messrs hon gen rev capt lt sgt cf e.g i.e vs viz approx dept resp incl est",
+    "de": "hr fr bzw ca vgl z.b d.h u.a o.ä i.d.r evtl ggf inkl zzgl hrsg sog z.t m.e z bspw st str",
+    "fr": "m mm mme mlle me pr cf env p.ex c.-à-d av éd",
+    "es": "sr sra srta dra ud uds cf aprox p.ej ej av ee.uu",
+    "pt": "sr sra dra profa cf aprox p.ex ex av",
+    "it": "sig dott cfr es p.es",
+    "nl": "dhr mevr bijv d.w.z ca",
+    "ru": "им ул см т.е т.к т.н напр проф акад гр д",
+    "ar": "د م أ",
     "hi": "डॉ श्री प्रो पं सु",
 }
+#: Titles that stand before names in texts of any language of their script.
+TITLES = "mr mrs ms dr prof pr st sr sra srta dra mme mlle dhr mevr sig dott"
+#: Before a number or a letter that counts something, or in a citation; the same word may end a sentence elsewhere ("no", "art", "ex").
+REFERENCES = {
+    "en": "no nos fig figs sec secs ch vol pp p ref eq ex al art cap col",
+    "de": "nr abb abs kap bd s art fig",
+    "fr": "fig art p pp réf vol chap n",
+    "es": "núm fig art pág págs cap ref vol n.º",
+    "pt": "fig art pág págs cap ref vol n núm",
+    "it": "fig art pag cap vol n",
+    "nl": "nr blz afb fig art",
+    "ru": "рис стр гл ст с п",
+    "ar": "ص ج",
+    "hi": "",
+}
 #: They end a sentence if what follows begins one.
 ENDING_ABBREVIATIONS = "etc usw ltd inc corp co gmbh llc bros jr a.m p.m u.s u.k e.u usf т.д т.п г гг руб коп др в вв млн млрд тыс u.s.w u.a.m ltda cía s.a c.v"
-#: Before a number with a full stop they make it an ordinal.
-ORDINAL_BEFORE = "der die das den dem des am vom zum zur im ab bis seit jeder jede jedes bericht"
+#: Before a number with a full stop they make it an ordinal (in German).
+ORDINAL_BEFORE = "der die das den dem des am vom zum zur im ab bis seit jeder jede jedes"
+#: Words that are common in one language: they tell the language of a paragraph, and that a sentence begins after a single letter.
+FUNCTION_WORDS = {
+    "en": "the of and to is was were that it for with they he she we you this these those are not then there when if after before but so our their his her its an from by has had will",
+    "de": "der die das und ist nicht mit den dem des von zu ein eine wurde auf dann es er sie wir ich wenn aber im am nach vor bei für dieser diese dieses auch als wird sind",
+    "fr": "le la les des et est une du que dans pour il elle ils elles sont pas ce cette ces nous vous sur avec mais puis quand après qui au aux",
+    "es": "el la los las del que y en un una por con se no es son para su al esta este pero cuando después fue como lo",
+    "pt": "o os as do da dos das que e em um uma por com não se para ao foi na no mas quando depois este esta são pelo pela",
+    "it": "il lo gli di che e un una per con non del della sono è si da dal nel nella ma quando dopo questo questa",
+    "nl": "de het een en van is dat op te niet met voor zijn er dan maar als wij zij deze dit werd",
+}
 
-_ORDINAL_AFTER = regex.compile(r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Lauf|Jahrhundert|Stock|Tag|Mal)\b")
+#: After a number with a full stop they make it one, too.
+ORDINAL_AFTER = "januar februar märz april mai juni juli august september oktober november dezember quartal jahrhundert stock tag mal"
+#: References that are also ordinary words: a text may well end with them.
+ORDINARY_WORDS = "no art cap ref ex al col"
 
 _FORMAT = regex.compile(r"\p{Cf}+")
 
@@ -61,13 +90,64 @@ def _plain(token: str) -> str:
     return token.lower()
 
 
-_NEVER_ENDS = frozenset(_plain(w) for v in ABBREVIATIONS.values() for w in v.split())
+def _by_language(lists: dict[str, str]) -> dict[str | None, frozenset[str]]:
+    """The lists by language; None: of all languages, for a text whose language does not show."""
+    out: dict[str | None, frozenset[str]] = {x: frozenset(_plain(w) for w in v.split()) for x, v in lists.items()}
+    return out | {None: frozenset().union(*out.values())}
+
+
+_NEVER_ENDS = _by_language({x: f"{v} {TITLES if v.isascii() or x in FUNCTION_WORDS else ''}" for x, v in ABBREVIATIONS.items()})
+_REFERENCE = _by_language(REFERENCES)
 _MAY_END = frozenset(_plain(w) for w in ENDING_ABBREVIATIONS.split())
 _LETTER_ONLY = frozenset(_plain(w) for w in ("г", "руб"))
+#: Every word that some list has: only where one of these stands does the language matter.
+_LISTED = _NEVER_ENDS[None] | _REFERENCE[None]
 #: Ends of abbreviations that are long enough for the fast path.
-_FIVE = frozenset(w[-5:] for w in _NEVER_ENDS | _MAY_END if len(w) >= 5)
-_ORDINAL = frozenset(ORDINAL_BEFORE.split())
-_ORDINAL_AFTER = regex.compile(r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Lauf|Jahrhundert|Stock|Tag|Mal)\b")
+_FIVE = frozenset(w[-5:] for w in _LISTED | _MAY_END if len(w) >= 5)
+_ORDINAL, _ORDINAL_NEXT = frozenset(ORDINAL_BEFORE.split()), frozenset(ORDINAL_AFTER.split())
+_ORDINARY = frozenset(ORDINARY_WORDS.split())
+_FUNCTION = {x: frozenset(v.split()) for x, v in FUNCTION_WORDS.items()}
+_WEIGHT = {w: [x for x, v in _FUNCTION.items() if w in v] for v in _FUNCTION.values() for w in v}
+_ALPHABETS = [("ru", regex.compile(r"\p{Cyrillic}")), ("ar", regex.compile(r"\p{Arabic}")), ("hi", regex.compile(r"\p{Devanagari}"))]
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
+_COUNTED = regex.compile(r"[\s\p{Cf}]*(?:[(\[#§№]|\p{N}|\p{Ll}|\p{Lu}(?!\p{L})|[IVXLC]+(?!\p{L})|\p{Lu}[\p{Lu}\p{Cf}]*[-‐./]?\p{N})")
+_NEXT_WORD = regex.compile(r"[\s\p{Cf}]*([\p{L}\p{M}][\p{L}\p{M}\p{Cf}]*)")
+
+
+#: Characters on either side of an abbreviation that tell the language of its sentence, so that a text costs time in proportion to its length.
+LANGUAGE_WINDOW = 400
+
+
+class _Languages:
+    """The language of sentences and paragraphs of a text, found only where an abbreviation needs it."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def of(self, start: int, at: int, paragraph: tuple[int, int], word: str) -> str | None:
+        """The language whose lists hold for word at text[..at] in the sentence that began at start: that of its alphabet, else that of the
+        commonest words of the sentence, else of the paragraph, else of the text."""
+        for lang, letters in _ALPHABETS:
+            if letters.search(word):
+                return lang
+        a, e = paragraph
+        stop = self.text.find(". ", at + 1, min(e, at + LANGUAGE_WINDOW))
+        for span in ((max(start, at - LANGUAGE_WINDOW), at), (max(start, at - LANGUAGE_WINDOW), stop if stop >= 0 else min(e, at + LANGUAGE_WINDOW)), (a, e), (0, len(self.text))):
+            if span not in self.known:
+                self.known[span] = _language_of(self.text[span[0] : span[1]])
+            if self.known[span]:
+                return self.known[span]
+        return None
+
+
+def _language_of(text: str) -> str | None:
+    score: dict[str, float] = {}
+    for w in _LATIN_WORD.findall(_plain(text)):
+        for x in (of := _WEIGHT.get(w, ())):
+            score[x] = score.get(x, 0.0) + 1 / len(of)
+    best = sorted(score, key=lambda x: -score[x])[:2]
+    return best[0] if best and (len(best) == 1 or score[best[0]] > score[best[1]]) else None
+
 
 #: Scripts written without spaces between words whose space ends a unit.
 _SPACED_UNITS = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
@@ -99,43 +179,87 @@ _SHORT_PART = regex.compile(r"(?<![\p{L}\p{N}])(\p{L}{1,2})\.[\s\p{Cf}]+$")
 _WORD_BEFORE = regex.compile(r"([\p{L}\p{M}][\p{L}\p{M}\p{Cf}]*)[\s\p{Cf}]+$")
 
 
-def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool) -> bool:
-    """Whether the full stop at text[a:e] ends the sentence that began at start; nxt is the next visible character."""
-    token = _BEFORE.search(text, max(start, a - 40), a).group()
+def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool, langs: _Languages | None = None, paragraph: tuple[int, int] | None = None) -> bool:
+    """Whether the full stop at text[a:e] ends the sentence that began at start; nxt is the next visible character, none at the end of a text."""
+    token = _BEFORE.search(text, max(start, a - LONGEST_TOKEN), a).group()
     raw = _FORMAT.sub("", token) if not token.isascii() else token
     word = _plain(token)
     if not closed:
+        before = a - len(token)
         joined = word
-        if "." not in word and len(word) <= 2:  # "p. ej", "т. д", "u. a": the part before belongs to it
-            m = _SHORT_PART.search(text, max(start, a - len(token) - 8), a - len(token))
-            if m:
+        if "." not in word and len(word) <= 3:  # "p. ej", "т. д", "u. a": the part before belongs to it
+            m = _SHORT_PART.search(text, max(start, before - 8), before)
+            if m and (len(word) <= 2 or f"{_plain(m.group(1))}.{word}" in _LISTED):
                 joined = f"{_plain(m.group(1))}.{word}"
-        elif "." not in word and len(word) <= 3:
-            m = _SHORT_PART.search(text, max(start, a - len(token) - 6), a - len(token))
-            if m and f"{_plain(m.group(1))}.{word}" in _NEVER_ENDS:
-                return False
-        ends = nxt.isupper() or nxt.isdigit() or not (nxt.islower() or nxt.isalpha())
-        if joined in _MAY_END or (joined not in _NEVER_ENDS and word in _MAY_END):
-            return ends and not nxt.isdigit() if word in _LETTER_ONLY else ends or (nxt.isalpha() and not nxt.islower())
-        if joined in _NEVER_ENDS or word in _NEVER_ENDS:
+        begins = nxt.isupper() or nxt.isdigit() or not (nxt.islower() or nxt.isalpha())
+        lang = None
+        if joined in _LISTED or word in _LISTED or (len(raw) == 1 and raw.isalpha()):
+            lang = (langs or _Languages(text)).of(start, a, paragraph or (0, len(text)), word)
+        if joined in _MAY_END or (joined not in _NEVER_ENDS[lang] and word in _MAY_END):
+            return begins and not nxt.isdigit() if word in _LETTER_ONLY else begins or (nxt.isalpha() and not nxt.islower())
+        if joined in _NEVER_ENDS[lang] or word in _NEVER_ENDS[lang]:
             return False
-        if len(raw) == 1 and raw.isalpha() and (raw.isupper() or not raw.islower()):  # an initial
-            return bool(_DENSE_CHAR.match(raw))
+        if (joined in _REFERENCE[lang] or word in _REFERENCE[lang]) and (_COUNTED.match(text, e) or (nxt.isalpha() and not nxt.isupper()) or (not nxt and word not in _ORDINARY)):
+            return False
+        if len(raw) == 1 and raw.isalpha() and (raw.isupper() or not raw.islower()):  # an initial, unless a sentence clearly begins
+            m = _NEXT_WORD.match(text, e)
+            return bool(_DENSE_CHAR.match(raw)) or bool(m and len(_plain(m.group(1))) > 1 and _plain(m.group(1)) in (_FUNCTION.get(lang, ()) if lang else _WEIGHT))
         if word.isdigit() and len(word) <= 3:
-            m = _WORD_BEFORE.search(text, max(start, a - len(token) - 24), a - len(token))
-            if m and _plain(m.group(1)) in _ORDINAL or _ORDINAL_AFTER.match(text, e):
+            m = _WORD_BEFORE.search(text, max(start, before - LONGEST_TOKEN), before)
+            after = _NEXT_WORD.match(text, e)
+            if m and _plain(m.group(1)) in _ORDINAL or after and _plain(after.group(1)) in _ORDINAL_NEXT:
                 return False
         if not word:
             return not nxt.islower()
-    if nxt.islower():  # a continuation, unless a common word ended and a name in lower case begins
-        return not closed and raw.isalpha() and raw.islower() and (len(raw) >= 5 or bool(_NAME_LIKE.match(text, e)))
+    if nxt.islower():  # a continuation, unless a word ended and a name in lower case begins
+        return not closed and raw.isalpha() and len(raw) > 1 and bool(_NAME_LIKE.match(text, e))
     return True
 
 
-_NAME_LIKE = regex.compile(r"[\s\p{Cf}]+\p{Ll}+[\s\p{Cf}]+[vｖ]?\d+[.\d]*")
+#: No abbreviation of the lists is longer.
+LONGEST_TOKEN = 40
+#: A name that is written in lower case: with a version number, or with a capital letter inside.
+_NAME_LIKE = regex.compile(r"[\s\p{Cf}]+(?:\p{Ll}+[\s\p{Cf}]+[vｖ]?\d+[.\d]*|\p{Ll}+\p{Lu})")
+
+
+#: closing character -> the characters that it closes
+_CLOSES: dict[str, str] = {}
+for _o, _c in _PAIR.items():
+    for _x in _c:
+        if not (_x == _o == "“"):
+            _CLOSES[_x] = _CLOSES.get(_x, "") + _o
+
+
+class _Open:
+    """Opened quotations and brackets, innermost last, with where each kind stands: any depth in constant time."""
 
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.where: dict[str, list[int]] = {}
 
-def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[int], out_e: list[int]) -> int:
+    def push(self, c: str, at: int) -> None:
+        self.where.setdefault(c, []).append(len(self.stack))
+        self.stack.append((c, at))
+
+    def closed_by(self, c: str, below: int) -> int:
+        """The innermost place under ``below`` that c closes, -1 if there is none."""
+        best = -1
+        for o in _CLOSES.get(c, ""):
+            at = self.where.get(o) or ()
+            for k in reversed(at):
+                if k < below:
+                    best = max(best, k)
+                    break
+        return best
+
+    def cut(self, k: int) -> None:
+        """Forgets what stands from place k on."""
+        for c, _ in self.stack[k:]:
+            self.where[c].pop()
+        del self.stack[k:]
+
+
+def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[int], out_e: list[int], langs: _Languages) -> int:
     """The units of one paragraph or list item text[a:e], which has no white space at its ends.
 
     events: positions of terminators, quotation marks, brackets (and spaces, where these can end units) in the whole
@@ -143,7 +267,8 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
     """
     m = _MARKER.match(text, a, e)
     start, body = a, m.end() if m else a
-    stack: list[tuple[str, int]] = []
+    opened = _Open()
+    stack = opened.stack
     pos = body
     last = len(events)
     while k < last:
@@ -174,22 +299,13 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
                     continue
             pos = _TERM_RUN.match(text, at, e).end()
         if kind == "open":
-            if len(stack) < 16:
-                stack.append((c, at))
+            opened.push(c, at)
             continue
-        if kind == "both":
-            for k in range(len(stack) - 1, -1, -1):
-                if c in _PAIR.get(stack[k][0], "") and not (c == "“" and stack[k][0] == "“"):
-                    del stack[k:]
-                    break
-            else:
-                stack.append((c, at))
-            continue
-        if kind == "close":
-            for k in range(len(stack) - 1, -1, -1):
-                if c in _PAIR.get(stack[k][0], ""):
-                    del stack[k:]
-                    break
+        if kind in ("both", "close"):
+            if (i := opened.closed_by(c, len(stack))) >= 0:
+                opened.cut(i)
+            elif kind == "both":
+                opened.push(c, at)
             continue
         if kind == "gap":
             if stack and stack[-1][0] not in "(（[":
@@ -202,7 +318,7 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
                 out_a.append(start)
                 out_e.append(at)
                 start = body = _WHITE.match(text, at, e).end()
-                stack.clear()
+                opened.cut(0)
             pos = right
             continue
         term = text[at:pos]
@@ -212,21 +328,19 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
         outer = False  # a quotation or bracket that began inside the sentence closes here
         left = len(stack)
         for c in visible:
-            for k in range(left - 1, -1, -1):
-                if c in _PAIR.get(stack[k][0], ""):
-                    outer = outer or stack[k][1] > max(start, body)
-                    left = k
-                    break
+            if (i := opened.closed_by(c, left)) >= 0:
+                outer = outer or stack[i][1] > max(start, body)
+                left = i
         if left:
             if stack[left - 1][1] > e - 2 or _unclosed(text, stack[left - 1], pos, e):
-                del stack[left - 1 :]
+                opened.cut(left - 1)
                 left = len(stack)
             else:
                 if visible:
-                    del stack[left:]
+                    opened.cut(left)
                     pos = close
                 continue
-        del stack[left:]
+        opened.cut(left)
         pos = close
         gap = _SPACES.match(text, close, e).end()
         if gap >= e:
@@ -254,14 +368,14 @@ def _units_of(text: str, a: int, e: int, events: list[int], k: int, out_a: list[
             continue
         if nxt.islower() and not visible and term[-1] in "!?" and stack:
             continue
-        if term in ".．․﹒" and not _full_stop(text, start, at, pos, nxt, bool(visible)):
+        if term in ".．․﹒" and not _full_stop(text, start, at, pos, nxt, bool(visible), langs, (a, e)):
             continue
         if visible and outer and dense:
             continue
         out_a.append(start)
         out_e.append(close)
         start = body = _WHITE.match(text, close, e).end()
-        stack.clear()
+        opened.cut(0)
         pos = gap
     if start < e:
         out_a.append(start)
@@ -291,20 +405,21 @@ def sentence_spans(text: str | None) -> tuple[list[int], list[int]]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _EVENTS_AND_SPACES if _HAS_GAPS.search(text) else _EVENTS
     events = np.flatnonzero(table[np.minimum(codes, len(table) - 1)]).tolist()
+    langs = _Languages(text)
     a = k = 0
     for m in _PARAGRAPH.finditer(text):
-        k = _paragraph(text, a, m.start(), events, k, starts, ends)
+        k = _paragraph(text, a, m.start(), events, k, starts, ends, langs)
         a = m.end()
-    _paragraph(text, a, len(text), events, k, starts, ends)
+    _paragraph(text, a, len(text), events, k, starts, ends, langs)
     return starts, ends
 
 
-def _paragraph(text: str, a: int, e: int, events: list[int], k: int, starts: list[int], ends: list[int]) -> int:
+def _paragraph(text: str, a: int, e: int, events: list[int], k: int, starts: list[int], ends: list[int], langs: _Languages) -> int:
     while a < e and text[a].isspace():
         a += 1
     while e > a and text[e - 1].isspace():
         e -= 1
-    return _units_of(text, a, e, events, k, starts, ends) if a < e else k
+    return _units_of(text, a, e, events, k, starts, ends, langs) if a < e else k
 
 
 def sentence_units(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

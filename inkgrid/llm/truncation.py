@@ -130,7 +130,7 @@ def _scan(batches):
             if not done:
                 add("2", k2, True, True)
                 add("1", k1, True, True)
-            if _open_quote(body[body.rfind("\n\n") + 1 :]) or (done and not mark and u[-1] == "." and not _full_stop(u, 0, len(u) - 1, len(u), "A", False)):
+            if _open_quote(body[body.rfind("\n\n") + 1 :]) or (done and not mark and u[-1] == "." and not _full_stop(u, 0, len(u) - 1, len(u), "", False)):
                 kind = "open"
             else:
                 kind = "done" if done else "mark" if mark else "bare"

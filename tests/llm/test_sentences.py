@@ -32,6 +32,18 @@ def units(t):
         ("(A whole sentence.) Another one (cf. p. 3). Last", ["(A whole sentence.)", "Another one (cf. p. 3).", "Last"]),
         ("J. R. Smith came. pipectl v5.4.8 ran.", ["J. R. Smith came.", "pipectl v5.4.8 ran."]),
         ("Really?! Yes.", ["Really?!", "Yes."]),
+        ("The answer is no. They left early.", ["The answer is no.", "They left early."]),
+        ("She studies modern art. He paints walls.", ["She studies modern art.", "He paints walls."]),
+        ("He wore a cap. It was red.", ["He wore a cap.", "It was red."]),
+        ("Use the ref. It works.", ["Use the ref.", "It works."]),
+        ("Plan B. Then we go.", ["Plan B.", "Then we go."]),
+        ("We bought vitamin C. It helped.", ["We bought vitamin C.", "It helped."]),
+        ("The medic. equipment arrived late.", ["The medic. equipment arrived late."]),
+        ("The answer is in art. 5 and No. 7, see Ref. B and et al. (2020). It is known.", ["The answer is in art. 5 and No. 7, see Ref. B and et al. (2020).", "It is known."]),
+        ("Das ist die Art. Er kam mit Hr. Meier, vgl. Abb. 3. Es war gut.", ["Das ist die Art.", "Er kam mit Hr. Meier, vgl. Abb. 3.", "Es war gut."]),
+        ("Il est dans l'av. Foch avec M. Petit. Elle est venue.", ["Il est dans l'av. Foch avec M. Petit.", "Elle est venue."]),
+        ("The av. Then it was over.", ["The av.", "Then it was over."]),
+        ("It was sold by Dr. Who. iPhone users were glad.", ["It was sold by Dr. Who.", "iPhone users were glad."]),
         ("", []),
         (None, []),
         (" \n\t ", []),
