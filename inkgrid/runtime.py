@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,16 +53,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the one that the session names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster there is no folder that all machines share, which is an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith(("local[", "local-cluster[")) and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="inkgrid-shared-")
+        sc.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/inkgrid-{sc.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        fs, p = _file_system(sc, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)  # by the driver's JVM
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def _file_system(sc, path: str):
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once into the shared checkpoint folder and read it from there.
+    """Writes df once as a compressed table into the shared folder and reads it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) a temporary folder is made. The files survive the loss of executors.
+    The lineage ends at the table: it survives the loss of executors, and later reads take only the columns they need. The
+    tables of an application are deleted when its driver ends, or by :func:`release`.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkgrid-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Deletes the tables of :func:`cut` that nothing reads any more."""
+    for df in cuts:
+        if path := getattr(df, "_cut_path", None):
+            fs, p = _file_system(df.sparkSession.sparkContext, path)
+            fs.delete(p, True)
 
 
 def default_parallelism(spark: SparkSession) -> int:
