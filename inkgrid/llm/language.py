@@ -105,13 +105,16 @@ def _class_table() -> np.ndarray:
 
 _TABLE = _class_table()
 _FOREIGN_FORM = regex.compile(r"[\p{Cf}\p{M}ﬀ-ﭏ＀-￯]")
+_FORMS = np.zeros(0x30000, np.bool_)
+_FORMS[[ord(c) for c in regex.findall(_FOREIGN_FORM.pattern, "".join(c for c in map(chr, range(0x30000)) if not "\ud800" <= c <= "\udfff"))]] = True
 _WORD = re.compile(r"\b(?<!\d-)[^\W\d_]+\b(?!-\d)")
 _WITH_DIGITS = re.compile(r"[0-9][0-9A-Za-z_]*")
 _DENSE_CHARS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-#: Bits of a sum of scores: a text has fewer than 2^31 words of at most _MOST units, so no sum reaches the next field.
-_FIELD, _MASK = 40, (1 << 40) - 1
 _UNIT = 64  # score units in a natural log
 _MOST = 6 * _UNIT  # a word's most
+#: Words are summed in packed fields, so many at a time that no sum reaches the next field; the sums of a longer sentence are added one by one.
+_AT_ONCE, _FIELD, _MASK, _KNOWN = 128, 16, (1 << 16) - 1, 8
+assert _AT_ONCE * _MOST <= _MASK and _AT_ONCE < 1 << _KNOWN
 _BACKGROUND = 20.0  # words of the whole sample that every language's counts are smoothed by
 _FAR = math.inf  # a language that the script excludes
 #: The evidence of words counts this much in a confidence.
@@ -128,10 +131,18 @@ def iso_code(label: str | None) -> str | None:
     return _CODE.get(key) or _CODE.get(key.split("-")[0])
 
 
-def sentence_scripts(text: str, starts: list[int], ends: list[int]) -> list[str | None]:
-    """The deciding script of each sentence; letters of words with digits do not count."""
+def sentence_scripts(text: str, starts: list[int], ends: list[int]) -> tuple[list[str | None], bool]:
+    """The deciding script of each sentence (letters of words with digits do not count), and whether the text holds neither
+    presentation forms nor letters that look like Latin ones."""
+    if text.isascii():
+        return ["Latin"] * len(starts), True
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = _TABLE[np.minimum(codes, len(_TABLE) - 1)]
+    present = np.bincount(cls, minlength=128)
+    others = int(present[_WEAK + 2 :].sum())
+    plain = not others and not _FORMS[np.minimum(codes, len(_FORMS) - 1)].any()
+    if not others and present[1] + present[1 + _WEAK] == present[1:].sum():  # a text all in Latin letters: a sentence without words has no language anyway
+        return ["Latin"] * len(starts), plain
     for m in _WITH_DIGITS.finditer(text):
         a = m.start()
         while a and (text[a - 1].isascii() and text[a - 1].isalpha() or text[a - 1] in "-_"):  # the letters before the digits
@@ -159,7 +170,7 @@ def sentence_scripts(text: str, starts: list[int], ends: list[int]) -> list[str
             w = weak[i]
             best = int(w.argmax())
             out.append(_NAMES[best] if w[best] else None)
-    return out
+    return out, plain
 
 
 class Evidence(NamedTuple):
@@ -181,11 +192,12 @@ class WordScores:
         self.words.grams, self.words.n = grams, len(langs)
         self.typical = typical or {}
 
-    def sentence(self, s: str, script: str) -> Evidence | None:
+    def sentence(self, s: str, script: str, plain: bool = False) -> Evidence | None:
+        """What sentence s says; ``plain``: it holds neither presentation forms nor letters that look like Latin ones."""
         cand = self.by_script[script]
         if not cand or len(_BY_SCRIPT[script]) == 1:
             return Evidence({(cand or _BY_SCRIPT[script] or [UNKNOWN])[0]: 0}, 0, {})
-        if not s.isascii() and (script in ("Latin", "Cyrillic")):
+        if not plain and not s.isascii() and (script in ("Latin", "Cyrillic")):
             if _FOREIGN_FORM.search(s):
                 s = unicodedata.normalize("NFKC", regex.sub(r"\p{Cf}+", "", s))
             if script == "Latin":
@@ -193,13 +205,15 @@ class WordScores:
         found = _DENSE_CHARS.findall(s) if script in ("Han", "Kana") else _WORD.findall(s.lower())
         if not found:
             return None
-        total = sum(map(self.words.__getitem__, found))
+        n, at = len(found), [self.index[x] for x in cand]
         up = _FIELD * len(self.langs)
-        return Evidence(
-            {x: (total >> (_FIELD * self.index[x])) & _MASK for x in cand} if len(cand) > 1 else {cand[0]: 0},
-            len(found),
-            {x: (total >> (up + _FIELD * self.index[x])) & _MASK for x in cand},
-        )
+        pen, known = [0] * len(cand), [0] * len(cand)
+        for k in range(0, n, _AT_ONCE):
+            total = sum(map(self.words.__getitem__, found if n <= _AT_ONCE else found[k : k + _AT_ONCE]))
+            for j, i in enumerate(at):
+                pen[j] += (total >> (_FIELD * i)) & _MASK
+                known[j] += (total >> (up + _KNOWN * i)) & 255
+        return Evidence(dict(zip(cand, pen)) if len(cand) > 1 else {cand[0]: 0}, n, dict(zip(cand, known)))
 
     def known_odds(self, lang: str, words: int, known: int) -> float:
         """Log odds of a trained language against an unknown one, from the words that it is known to have; infinite where that says nothing."""
@@ -247,7 +261,7 @@ def _penalties(counts: dict[str, Counter], langs: list[str], least: int, known:
         top = max(logs)
         out[w] = sum(min(_MOST, round((top - v) * _UNIT)) << (_FIELD * i) for i, v in enumerate(logs))
         if known:
-            out[w] += sum(1 << (_FIELD * (len(langs) + i)) for i, x in enumerate(langs) if counts[x][w] >= known)
+            out[w] += sum(1 << (_FIELD * len(langs) + _KNOWN * i) for i, x in enumerate(langs) if counts[x][w] >= known)
     return out
 
 
@@ -286,7 +300,7 @@ def fit_word_scores(labelled: list[tuple[str, str]], rounds: int = 2, least_rows
     for doc, (lab, text) in enumerate(labelled):
         a, e = sentence_spans(text)
         if lab in langs and a:
-            sents += [(lab, sc, _tokens(text[p:q], sc), text[p:q], doc) for p, q, sc in zip(a, e, sentence_scripts(text, a, e)) if sc]
+            sents += [(lab, sc, _tokens(text[p:q], sc), text[p:q], doc) for p, q, sc in zip(a, e, sentence_scripts(text, a, e)[0]) if sc]
     langs = _own_languages([x[:4] for x in sents], langs)
     labels = [x[0] if x[0] in langs else "" for x in sents]
     model = WordScores(langs, {}, {})
@@ -337,12 +351,18 @@ def segments(text: str, model: WordScores, switch: float = 7.0) -> list[tuple[in
     starts, ends = sentence_spans(text)
     if not starts:
         return []
-    scripts = sentence_scripts(text, starts, ends)
-    emit = [model.sentence(text[a:e], sc) if sc else None for a, e, sc in zip(starts, ends, scripts)]
+    scripts, plain = sentence_scripts(text, starts, ends)
+    emit = [model.sentence(text[a:e], sc, plain) if sc else None for a, e, sc in zip(starts, ends, scripts)]
     langs = sorted({x for m in emit if m for x in m.penalty})
     if not langs:
         return [(starts[0], ends[-1], NO_LANGUAGE, 0.0)]
-    path = _viterbi(emit, langs, round(switch * _UNIT)) if len(langs) > 1 else langs * len(emit)
+    best: set[str] = set(langs)
+    for m in emit:
+        if m:
+            low = min(m.penalty.values())
+            best &= {x for x, v in m.penalty.items() if v == low}
+    # a language that is best in every sentence is best in all, with no change to pay for
+    path = [min(best)] * len(emit) if best else _viterbi(emit, langs, round(switch * _UNIT))
     runs: list[list] = []  # start, end, language, penalties of the languages that all its sentences may be in, words, known words
     for i, x in enumerate(path):
         if not runs or runs[-1][2] != x:
