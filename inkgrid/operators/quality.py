@@ -27,41 +27,36 @@ def stop_ratio(c: Column, stop_words: Sequence[str]) -> Column:
 def quality_score(c: Column, stop_words: Sequence[str] = ()) -> Column:
     """0 for texts under 20 trimmed bytes or 4 words, 0.1 if few letters, 0.2 if the entropy is unusual, else a weighted sum up to 1.
 
-    The cheap tests come first in the ``when`` chain; a null text scores 0.
+    All counts come from one pass over the text; a null text scores 0.
     """
-
-    def of(t: Column) -> Column:
-        alpha = F.regexp_count(t, F.lit(r"\p{L}")) / F.length(t)
-        full = lambda h: F.when((h < 2.2) | (h > 6.8), 0.2).otherwise(F.least(F.lit(1.0), 0.4 * alpha + 0.4 * stop_ratio(t, stop_words) + 0.2 * (h / 7.0)))
-        return (
-            F.when(t.isNull() | (F.octet_length(t) < 20), 0.0)
-            .when(T.word_count(t) < 4, 0.0)
-            .when(alpha < 0.35, 0.1)
-            .otherwise(T.let(T.entropy(t), full))
-        )
-
-    return T.let(T.trim_ws(c), of)
+    t = T.text_stats(c)
+    alpha, h = t["letters"] / t["chars"], t["entropy"]
+    return (
+        F.when(c.isNull() | (t["octets"] < 20), 0.0)
+        .when(t["words"] < 4, 0.0)
+        .when(alpha < 0.35, 0.1)
+        .when((h < 2.2) | (h > 6.8), 0.2)
+        .otherwise(F.least(F.lit(1.0), 0.4 * alpha + 0.4 * stop_ratio(c, stop_words) + 0.2 * (h / 7.0)))
+    )
 
 
 def passes_gate(c: Column) -> Column:
     """The stricter yes-or-no test of chunks; tables of numbers with some words pass early. False for null."""
-
-    def of(t: Column) -> Column:
-        n = F.length(t)
-        alpha, digit = F.regexp_count(t, F.lit(r"\p{L}")) / n, F.regexp_count(t, F.lit(r"\p{Nd}")) / n
-        words = T.word_count(t)
-        legal = F.lit(False)
-        for p in LEGAL_PHRASES:
-            legal = legal | F.contains(F.lower(t), F.lit(p))
-        rest = lambda h: F.when((h < 2.5) | (h > 6.8), False).when(words < 5, False).when(legal & (words < 15), False).otherwise(True)
-        return (
-            F.when(t.isNull() | (F.octet_length(t) < 20), False)
-            .when((digit > 0.4) & (alpha > 0.15), True)
-            .when(alpha < 0.35, False)
-            .otherwise(T.let(T.entropy(t), rest))
-        )
-
-    return T.let(T.trim_ws(c), of)
+    t = T.text_stats(c)
+    alpha, digit, words, h = t["letters"] / t["chars"], t["digits"] / t["chars"], t["words"], t["entropy"]
+    low = F.lower(c)
+    legal = F.lit(False)
+    for p in LEGAL_PHRASES:
+        legal = legal | F.contains(low, F.lit(p))
+    return (
+        F.when(c.isNull() | (t["octets"] < 20), False)
+        .when((digit > 0.4) & (alpha > 0.15), True)
+        .when(alpha < 0.35, False)
+        .when((h < 2.5) | (h > 6.8), False)
+        .when(words < 5, False)
+        .when(legal & (words < 15), False)
+        .otherwise(True)
+    )
 
 
 def profile(c: Column) -> Column:
@@ -69,18 +64,18 @@ def profile(c: Column) -> Column:
 
     Sentences are the pieces between full stops, an empty last one among them.
     """
-    t = T.trim_ws(c)
-    blank = t.isNull() | (t == "")
-    w = T.words_of(t)
-    n, s = F.size(w), F.size(F.split(t, r"\.", -1))
-    distinct = F.size(F.array_distinct(F.transform(w, F.lower)))
-    zero = lambda x, kind: F.when(blank, F.lit(0).cast(kind)).otherwise(x.cast(kind))
+    t = T.text_stats(c)
+    n = F.coalesce(t["words"], F.lit(0))
+    trimmed = T.trim_ws(c)
+    sentences = F.size(F.split(trimmed, r"\.", -1))
+    distinct = F.size(F.array_distinct(F.split(F.lower(trimmed), r"(?U)\s+")))
+    zero = lambda x, kind: F.when(n == 0, F.lit(0).cast(kind)).otherwise(x.cast(kind))
     return F.struct(
-        zero(s, "int").alias("sentence_count"),
-        zero(n / s, "double").alias("avg_sentence_len"),
+        zero(sentences, "int").alias("sentence_count"),
+        zero(n / sentences, "double").alias("avg_sentence_len"),
         zero(distinct / n, "double").alias("lexical_diversity"),
-        zero(T.digit_share(c), "double").alias("digit_ratio"),
-        zero(T.upper_share(c), "double").alias("uppercase_ratio"),
+        zero(t["digits"] / t["chars"], "double").alias("digit_ratio"),
+        zero(t["uppers"] / t["chars"], "double").alias("uppercase_ratio"),
         zero(n, "int").alias("token_count"),
     )
 
