@@ -3,13 +3,16 @@
 Three questions are answered for the lines of every document: which are page furniture, which words are broken only by
 the line's end, and which words hold misrecognised characters.
 
-Line-pair classifiers (gradient-boosted trees) look at lines near a page's edges together with their neighbours, and at the two
-parts of a broken word together with the counts of what they would join to. Correction candidates come from an inverted join
-over character q-grams; how often one string is read as another is counted over all candidates, and a gradient-boosted
-ranking over these counts chooses replacements. All word, q-gram and confusion counts cover all documents; only the
-classifiers are fitted on bounded samples (``sample_rows``).
+Line-pair classifiers (gradient-boosted trees) look at lines near a page's edges together with their neighbours and how often they
+recur, and at the two parts of a broken word together with the counts of what they would join to. Correction candidates come from an
+inverted join over character q-grams, and for words without a commoner likeness from the replacements that these candidates show;
+how often one string is read as another is counted over all candidates, and a gradient-boosted ranking over these counts
+decides. All word, q-gram and confusion counts cover all documents; only the classifiers are fitted on bounded samples
+(``sample_rows``).
 
-Lines are worked on in blocks of a document with some lines of context, so a document of any length is no single task.
+A block of a document's lines, with some lines of context, is one row: lines are shuffled once, as sets, so that repeated rows
+end in the first task, and a document of any length is no single task. Tokens stay in these rows; only their counts, the broken
+words and what looks misread leave them.
 
 Defined results: repeated rows of a line count once; a null text is an empty line; a null page is that of the line before (at a
 document's start: after); null document ids or line numbers are left out; an empty table gives no rows.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ _TOKEN = regex.compile(r"(?:(?<!\S)!(?=\p{Ll}{2}))?[\p{L}\p{M}\p{N}@]+(?:![\p{L}
 _WORDS_HYPHEN = regex.compile(r"[\p{L}\p{M}\p{N}@]+(?:[-‐][\p{L}\p{M}\p{N}@]+)+")
 _BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}@][\p{{L}}\p{{M}}\p{{N}}@!]*)[{HYPHENS}]$")
 _FIRST = regex.compile(r"^[\p{L}\p{M}\p{N}@!]+")
+_TOKEN_ASCII = re.compile(r"(?:(?<!\S)!(?=[a-z]{2}))?[A-Za-z0-9@]+(?:![A-Za-z0-9@]+)*")
+_WHITE = re.compile(r"\s+")
 _DIGITS = regex.compile(r"\d+")
 _SIDE_NUMBER = regex.compile(r"^\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}|\s{2,}(\d{1,4}|[ivxlc]{1,6})\s*$")
 _NUMBER_LINE = regex.compile(r"^[\s\-–—\[(|/.]*(?:\p{L}{1,9}(?:\.\s*|\s+))?(\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|\p{L}{1,4})\s*\d{1,5})?[\s\-–—\])|/.]*$", regex.I)
@@ -49,12 +55,6 @@ _FOLD_CHARS = str.maketrans("e@t!1lo05s69hbgqzI", "caf" + "iii" + "00" + "ss" +
 _LOOKS_DIGIT = {"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "!": "1", "s": "5", "S": "5", "g": "9", "q": "9", "b": "6", "Z": "2", "z": "2", "B": "8"}
 
 
-def clean_lines(lines: DataFrame) -> DataFrame:
-    """One row for each line of each document."""
-    ok = lines.filter(F.col("document_id").isNotNull() & F.col("line_no").isNotNull())
-    return ok.groupBy("document_id", "line_no").agg(F.max("page").alias("page"), F.coalesce(F.max("text"), F.lit("")).alias("text"))
-
-
 def in_blocks(lines: DataFrame) -> DataFrame:
     """Adds ``block``; lines near a block's border also go to the neighbouring block, as its context."""
     b = F.floor(F.col("line_no") / F.lit(BLOCK))
@@ -63,6 +63,32 @@ def in_blocks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("block", F.explode(F.transform(to, lambda x: x.cast("int"))))
 
 
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """(document_id, block, lines array<struct<line_no, page, text>>): the lines of each block and its context in order; repeated rows once."""
+    ok = lines.filter(F.col("document_id").isNotNull() & F.col("line_no").isNotNull())
+    ok = ok.select("document_id", F.col("line_no").cast("int").alias("line_no"), F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_blocks(ok).groupBy("document_id", "block").agg(F.sort_array(F.collect_set(F.struct("line_no", "page", "text"))).alias("lines"))
+
+
+def _block_rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[int], list, list[str]]]:
+    """(row, first and end line number of the block, numbers, pages, texts) of each row of a batch; a line's variants are one: the greatest."""
+    col = b.column(2)
+    off = col.offsets.to_numpy()
+    v = col.values
+    no_all, page_all, text_all = v.field(0).to_numpy(), v.field(1).to_pylist(), v.field(2).to_pylist()
+    for i, block in enumerate(b.column(1).to_pylist()):
+        a, e = int(off[i]), int(off[i + 1])
+        no, page, text = no_all[a:e].tolist(), page_all[a:e], text_all[a:e]
+        if len(set(no)) < len(no):
+            best: dict[int, list] = {}
+            for n, p, t in zip(no, page, text):
+                x = best.setdefault(n, [p, t])
+                x[0] = p if x[0] is None else x[0] if p is None else max(p, x[0])
+                x[1] = max(t, x[1])
+            no, page, text = list(best), [x[0] for x in best.values()], [x[1] for x in best.values()]
+        yield i, block * BLOCK, (block + 1) * BLOCK, no, _fill_pages(page), text
+
+
 def _roman(s: str) -> int:
     total = 0
     for a, b in zip(s, s[1:] + " "):
@@ -89,7 +115,7 @@ def _fold(s: str) -> str:
     s = s.lower()
     for a, b in _FOLD:
         s = s.replace(a, b)
-    return regex.sub(r"\s+", " ", s.translate(_FOLD_CHARS))
+    return _WHITE.sub(" ", s.translate(_FOLD_CHARS))
 
 
 def _fill_pages(page: list) -> list[int]:
@@ -106,202 +132,181 @@ def _fill_pages(page: list) -> list[int]:
     return out
 
 
-EDGE_FEATURES = 16
-_EDGE_SCHEMA = "document_id string, line_no int, page int, text string, zone int, k1 string, k2 string, form string, number int, features array<float>"
-
-
-def _edges(t: pa.Table) -> pa.Table:
-    """Features of the lines of a block that lie near the top (zone 1) or bottom (2) of a page; other lines have zone 0."""
-    order = np.argsort(t.column("line_no").to_numpy(), kind="stable")
-    t = t.take(pa.array(order))
-    no, text, block = t.column("line_no").to_pylist(), t.column("text").to_pylist(), t.column("block")[0].as_py()
-    page = _fill_pages(t.column("page").to_pylist())
-    n = len(no)
-    width = max(20.0, float(np.percentile([len(x) for x in text if x.strip()] or [40], 80)))
-    full = [i for i in range(n) if text[i].strip()]
-    nxt, prv = [None] * n, [None] * n
-    for a, b in zip(full, full[1:]):
-        nxt[a], prv[b] = b, a
-    from_top, from_bottom = [99] * n, [99] * n
-    for seq, out in ((full, from_top), (full[::-1], from_bottom)):
-        last, k = None, 0
-        for i in seq:
-            k = k + 1 if page[i] == last else 0
-            last = page[i]
-            out[i] = k
-    cols: list[list] = [[] for _ in range(10)]
-    doc = t.column("document_id")[0].as_py()
-    for i in range(n):
-        if not block * BLOCK <= no[i] < (block + 1) * BLOCK:
-            continue
-        s = text[i].strip()
-        zone = 0 if not s else 1 if from_top[i] < 2 else 2 if from_bottom[i] < 2 else 0
-        k1 = k2 = form = None
-        number, feats = None, None
-        if zone:
-            core = _SIDE_NUMBER.sub("", text[i]).strip() or s
-            pn = page_number(text[i])
-            if pn:
-                number, form = pn
-            else:
-                m = _SIDE_NUMBER.search(text[i])
-                if m and (m.group(1) or m.group(2)).isdigit():
-                    number, form = int(m.group(1) or m.group(2)), "side"
-            k1 = f"{zone}:{_fold(core)}" if not pn or sum(c.isalpha() for c in s) >= 3 and form != "roman" else None
-            k2 = f"{zone}:{_DIGITS.sub('9', regex.sub(r'\s+', ' ', core))}" if not pn else None
-            a = text[nxt[i]].strip() if nxt[i] is not None else ""
-            b = text[prv[i]].strip() if prv[i] is not None else ""
-            letters = sum(c.isalpha() for c in s)
-            feats = [
-                from_top[i] if zone == 1 else 9, from_bottom[i] if zone == 2 else 9, float(pn is not None), float(form == "side"),
-                float(bool(_TERMINAL.search(s))), float(s[0].islower()), float(a[:1].islower()), float(bool(_TERMINAL.search(b))),
-                len(s) / width, float(len(text[i]) - len(text[i].lstrip()) > 2), float(i + 1 >= n or not text[i + 1].strip()), float(i == 0 or not text[i - 1].strip()),
-                float("·" in s), sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / max(1, letters), float(page[i] == 1),
-            ]
-        for c, v in zip(cols, (doc, no[i], page[i], text[i], zone, k1, k2, form, number, feats)):
-            c.append(v)
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float32())]
-    return pa.table({x.split()[0]: pa.array(c, ty) for x, c, ty in zip(_EDGE_SCHEMA.split(", "), cols, types)})
-
-
-def mark_furniture(lines: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """(document_id, line_no, page, text, furniture) of every line."""
-    e = cut(in_blocks(lines).groupBy("document_id", "block").applyInArrow(_edges, _EDGE_SCHEMA))
-    edge = e.filter("zone > 0")
-
-    def pages(key: str) -> DataFrame:
-        return edge.filter(F.col(key).isNotNull()).groupBy("document_id", key).agg(F.countDistinct("page").cast("int").alias(f"n_{key}"))
-
-    numbered = edge.filter(F.col("number").isNotNull()).withColumn("off", F.col("number") - F.col("page"))
-    seq = numbered.groupBy("document_id", "zone", "form", "off").agg(F.countDistinct("page").cast("int").alias("n_seq"))
-    x = edge.withColumn("off", F.col("number") - F.col("page"))
-    for key in ("k1", "k2"):
-        p = pages(key).withColumnRenamed("document_id", "_d").withColumnRenamed(key, "_k")
-        x = x.join(p, (F.col("document_id") == F.col("_d")) & (F.col(key) == F.col("_k")), "left").drop("_d", "_k")
-    s = seq.toDF("_d", "_z", "_f", "_o", "n_seq")
-    x = x.join(s, (F.col("document_id") == F.col("_d")) & (F.col("zone") == F.col("_z")) & (F.col("form") == F.col("_f")) & (F.col("off") == F.col("_o")), "left").drop("_d", "_z", "_f", "_o")
-    bare_number = F.col("k2").isNull()
-    repeats = F.greatest(F.coalesce("n_k1", F.lit(0)), F.coalesce("n_k2", F.lit(0)))
-    counted = F.coalesce("n_seq", F.lit(0))
+#: Lines at a page's top and bottom that may be furniture.
+EDGE = 2
+EDGE_FEATURES = 23
+_EDGE_SCHEMA = "document_id string, line_no int, page int, zone int, k1 string, k2 string, form string, number int, features array<float>"
+_EDGE_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float32())]
+
+
+def _edges(batches):
+    """Features of the lines of a block that lie near the top (zone 1) or bottom (2) of a page."""
+    for b in batches:
+        out: list[tuple] = []
+        docs = b.column(0).to_pylist()
+        for row, lo, hi, no, page, text in _block_rows(b):
+            full = [i for i, x in enumerate(text) if x and not x.isspace()]
+            if not full:
+                continue
+            width = max(20.0, float(np.percentile([len(text[i]) for i in full], 80)))
+            pages = np.array([page[i] for i in full])
+            turn = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]])
+            size = np.diff(np.r_[turn, len(full)])
+            top = np.arange(len(full)) - np.repeat(turn, size)
+            bottom = np.repeat(size, size) - 1 - top
+            for j in np.flatnonzero((top < EDGE) | (bottom < EDGE)).tolist():
+                i = full[j]
+                if not lo <= no[i] < hi:
+                    continue
+                t = text[i]
+                s = t.strip()
+                zone = 1 if top[j] < EDGE else 2
+                core = _SIDE_NUMBER.sub("", t).strip() or s
+                pn = page_number(t)
+                number, form = pn if pn else (None, None)
+                if not pn:
+                    m = _SIDE_NUMBER.search(t)
+                    if m and (m.group(1) or m.group(2)).isdigit():
+                        number, form = int(m.group(1) or m.group(2)), "side"
+                letters = sum(c.isalpha() for c in s)
+                k1 = f"{zone}:{_fold(core)}" if not pn or letters >= 3 and form != "roman" else None
+                k2 = f"{zone}:{_DIGITS.sub('9', _WHITE.sub(' ', core))}" if not pn else None
+                after = text[full[j + 1]].strip() if j + 1 < len(full) else ""
+                before = text[full[j - 1]].strip() if j else ""
+                feats = [
+                    int(top[j]) if zone == 1 else 9, int(bottom[j]) if zone == 2 else 9, float(pn is not None), float(form == "side"),
+                    float(bool(_TERMINAL.search(s))), float(s[0].islower()), float(after[:1].islower()), float(bool(_TERMINAL.search(before))),
+                    len(s) / width, float(len(t) - len(t.lstrip()) > 2), float(i + 1 >= len(no) or not text[i + 1].strip()), float(i == 0 or not text[i - 1].strip()),
+                    float("·" in s), sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / max(1, letters), float(page[i] == 1), float(form == "9"),
+                ]
+                out.append((docs[row], no[i], page[i], zone, k1, k2, form, number, feats))
+        cols = list(zip(*out)) or [[]] * len(_EDGE_TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, _EDGE_TYPES)], names=[x.split()[0] for x in _EDGE_SCHEMA.split(", ")])
+
+
+def furniture_lines(blocks: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+    """(document_id, line_no) of the lines that are page furniture.
+
+    Lines that recur on several pages of their document, or count its pages, are examples for the classifier; it decides on all.
+    """
+    e = cut(blocks.mapInArrow(_edges, _EDGE_SCHEMA))
+    off = F.col("number") - F.col("page")
+    named = (("1", F.col("k1")), ("2", F.col("k2")), ("s", F.concat_ws(":", F.col("zone").cast("string"), "form", off.cast("string"))))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in named])
+    keys = e.withColumn("x", F.explode(kinds)).select("document_id", "line_no", "page", "number", "x.kind", "x.key").filter(F.col("key").isNotNull() & ((F.col("kind") != "s") | F.col("number").isNotNull()))
+    counts = keys.groupBy("document_id", "kind", "key").agg(F.countDistinct("page").cast("int").alias("n")).toDF("_d", "_k", "_y", "n")
+    got = keys.join(counts, (F.col("document_id") == F.col("_d")) & (F.col("kind") == F.col("_k")) & (F.col("key") == F.col("_y")))
+    per = got.groupBy(F.col("document_id").alias("_d"), F.col("line_no").alias("_l")).agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(f"n{k}") for k in "12s"])
+    x = e.join(per, (F.col("document_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    bare, fits = F.col("k2").isNull(), F.coalesce(off == 0, F.lit(False))
     rest = (F.get("features", F.lit(4)) > 0) & (F.get("features", F.lit(5)) > 0)  # the end of a sentence that ran over the page
-    sure = F.when(bare_number, (counted >= 2) | ((counted >= 1) & (F.col("off") == 0)) | (F.coalesce("n_k1", F.lit(0)) >= 2)).otherwise((repeats >= 2) & ~rest)
-    x = x.withColumn("sure", sure).withColumn("misfit", bare_number & ~sure & (F.col("form") != "roman") & F.col("form").rlike("^9$"))
-    x = cut(x.select("document_id", "line_no", "features", "sure", "misfit"))
-    total = x.count()
-    share = min(1.0, sample_rows / max(1, total))
+    sure = F.when(bare, (zero("ns") >= 2) | ((zero("ns") >= 1) & fits) | (zero("n1") >= 2)).otherwise((F.greatest(zero("n1"), zero("n2")) >= 2) & ~rest)
+    more = F.array(*[F.log1p(zero(c)).cast("float") for c in ("n1", "n2", "ns")], fits.cast("float"), bare.cast("float"), rest.cast("float"))
+    x = cut(x.select("document_id", "line_no", F.concat("features", more).alias("features"), sure.alias("sure")))
+    share = min(1.0, sample_rows / max(1, x.count()))
     got = x.filter(F.pmod(F.xxhash64("document_id", "line_no"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).limit(2 * sample_rows).select("features", "sure").collect()
-    model = Boosted(rounds=50).fit(np.array([r["features"] for r in got], np.float64).reshape(-1, EDGE_FEATURES), np.array([r["sure"] for r in got], np.float64))
-    sent = lines.sparkSession.sparkContext.broadcast(model)
+    model = Boosted(rounds=80, depth=4).fit(np.array([r["features"] for r in got], np.float64).reshape(-1, EDGE_FEATURES), np.array([r["sure"] for r in got], np.float64))
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         for b in batches:
-            f = np.array(b.column(2).to_pylist(), np.float64).reshape(-1, EDGE_FEATURES)
-            p = sent.value.score(f)
-            yes = np.array(b.column(3).to_pylist(), bool) | ((p > 0.5) & ~np.array(b.column(4).to_pylist(), bool))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(yes)], names=["document_id", "line_no", "furniture"])
-
-    judged = x.mapInArrow(judge, "document_id string, line_no int, furniture boolean").filter("furniture")
-    return e.select("document_id", "line_no", "page", "text").join(judged, ["document_id", "line_no"], "left").withColumn("furniture", F.coalesce("furniture", F.lit(False)))
-
-
-_TOKEN_SCHEMA = "document_id string, line_no int, start int, token string, right string, line_no2 int, hyphen string, compound boolean"
-
-
-def _tokens(t: pa.Table) -> pa.Table:
-    """The tokens of a block's body lines; a word broken at a line's end is one row with both parts."""
-    t = t.take(pa.array(np.argsort(t.column("line_no").to_numpy(), kind="stable")))
-    no, text, furn, block = t.column("line_no").to_pylist(), t.column("text").to_pylist(), t.column("furniture").to_pylist(), t.column("block")[0].as_py()
-    body = [i for i in range(len(no)) if text[i].strip() and not furn[i]]
-    rows = []
-    taken: dict[int, int] = {}  # line -> length of the part that belongs to the line before
-    for a, i in enumerate(body):
-        s = text[i].rstrip()
-        core = block * BLOCK <= no[i] < (block + 1) * BLOCK
-        skip = taken.get(i, 0)
-        m = _BROKEN.search(s)
-        if m and a + 1 < len(body):
-            j = body[a + 1]
-            nx = text[j]
-            lead = len(nx) - len(nx.lstrip())
-            r = _FIRST.match(nx.lstrip())
-            if r and m.start() >= skip:
-                taken[j] = lead + r.end()
+            f = b.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, EDGE_FEATURES)
+            yes = pa.array(sent.value.score(f) > 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(yes), b.column(1).filter(yes)], names=["document_id", "line_no"])
+
+    return x.mapInArrow(judge, "document_id string, line_no int")
+
+
+_BROKEN_WORD = "struct<line_no:int,token:string,right:string,line_no2:int,hyphen:string>"
+_TOKEN_SCHEMA = f"document_id string, block int, line_no array<int>, token array<string>, compound array<string>, broken array<{_BROKEN_WORD}>"
+_TOKEN_TYPES = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("line_no", pa.int32()), ("token", pa.string()), ("right", pa.string()), ("line_no2", pa.int32()), ("hyphen", pa.string())]))]
+
+
+def _tokens(batches):
+    """The tokens of a block's body lines; a word broken at a line's end is one entry with both parts."""
+    for b in batches:
+        out: list[tuple] = []
+        docs, furniture, numbers = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist()
+        for row, lo, hi, no, _page, text in _block_rows(b):
+            furn = set(furniture[row] or ())
+            body = [i for i in range(len(no)) if text[i] and no[i] not in furn and not text[i].isspace()]
+            lines, tokens, compounds, broken = [], [], [], []
+            taken: dict[int, int] = {}  # line -> length of the part that belongs to the line before
+            for a, i in enumerate(body):
+                s = text[i].rstrip()
+                core = lo <= no[i] < hi
+                skip = taken.get(i, 0)
+                if s[-1] in HYPHENS and a + 1 < len(body) and (m := _BROKEN.search(s)):
+                    j = body[a + 1]
+                    nx = text[j]
+                    lead = len(nx) - len(nx.lstrip())
+                    r = _FIRST.match(nx.lstrip())
+                    if r and m.start() >= skip:
+                        taken[j] = lead + r.end()
+                        if core:
+                            broken.append({"line_no": no[i], "token": m.group(1), "right": r.group(), "line_no2": no[j], "hyphen": s[-1]})
+                        s = s[: m.start()]
                 if core:
-                    rows.append((no[i], m.start(), m.group(1), r.group(), no[j], s[-1], False))
-                s = s[: m.start()]
-        if core:
-            for w in _TOKEN.finditer(s, skip):
-                rows.append((no[i], w.start(), w.group(), None, None, None, False))
-            for w in _WORDS_HYPHEN.finditer(s, skip):
-                rows.append((no[i], w.start(), w.group(), None, None, None, True))
-    doc = t.column("document_id")[0].as_py()
-    cols = list(zip(*rows)) or [[]] * 7
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
-    names = [x.split()[0] for x in _TOKEN_SCHEMA.split(", ")]
-    return pa.table({"document_id": pa.array([doc] * len(rows), pa.string())} | {k: pa.array(c, ty) for k, c, ty in zip(names[1:], cols, types)})
+                    found = (_TOKEN_ASCII if s.isascii() else _TOKEN).findall(s, skip)
+                    tokens += found
+                    lines += [no[i]] * len(found)
+                    if "-" in s or "‐" in s:
+                        compounds += _WORDS_HYPHEN.findall(s, skip)
+            out.append((docs[row], numbers[row], lines, tokens, compounds, broken))
+        cols = list(zip(*out)) or [[]] * len(_TOKEN_TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, _TOKEN_TYPES)], names=["document_id", "block", "line_no", "token", "compound", "broken"])
 
 
-JOIN_FEATURES = 6
+JOIN_FEATURES = 7
 
 
-def _join_features(joined: int, compound: int, left: int, right: int, soft: bool, small: bool) -> list[float]:
-    return [math.log1p(joined), math.log1p(compound), math.log1p(min(left, right)), math.log1p(joined) - math.log1p(compound), float(soft), float(small)]
+def _join_features(joined: int, compound: int, left: int, right: int, soft: bool, token: str, after: str) -> list[float]:
+    return [math.log1p(joined), math.log1p(compound), math.log1p(min(left, right)), math.log1p(joined) - math.log1p(compound), float(soft), float(not after[:1].isupper() or token.isupper()), float(joined == 0 and compound == 0)]
 
 
-def judge_breaks(tokens: DataFrame, words: DataFrame, compounds: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def judge_breaks(broken: DataFrame, words: DataFrame, compounds: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """(token, right, hyphen, joins): for each pair of parts whether the line's end broke a word (else it is a compound).
 
-    The classifier is fitted on words and compounds of the corpus that are cut here at every place, and at their hyphen.
+    The classifier is fitted on words and compounds of the corpus that are cut here at every place, and at their hyphen; an example counts
+    all occurrences but itself, so that it also learns what pairs are that nobody has seen whole.
     """
-    pairs = tokens.filter(F.col("right").isNotNull()).select("token", "right", "hyphen").distinct()
+    spark = broken.sparkSession
+    pairs = broken.select("token", "right", "hyphen").distinct()
     low = pairs.withColumn("l", F.lower("token")).withColumn("r", F.lower("right"))
-    w = words.select("word", "n")
-    for name, key in (("joined", F.concat("l", "r")), ("left_n", F.col("l")), ("right_n", F.col("r"))):
-        low = low.withColumn("_key", key).join(w.select(F.col("word").alias("_key"), F.col("n").alias(name)), "_key", "left").drop("_key")
-    low = low.withColumn("_key", F.concat_ws("-", "l", "r")).join(compounds.select(F.col("word").alias("_key"), F.col("n").alias("compound")), "_key", "left").drop("_key")
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("word")) for k, c in (("joined", F.concat("l", "r")), ("left_n", F.col("l")), ("right_n", F.col("r")), ("compound", F.concat_ws("-", "l", "r")))])
+    asked = low.withColumn("x", F.explode(keys)).select("token", "right", "hyphen", "x.kind", "x.word")
+    both = words.select("word", "n", F.lit(False).alias("c")).unionByName(compounds.select("word", "n", F.lit(True).alias("c")))
+    hit = asked.join(both, "word", "left").withColumn("n", F.when((F.col("kind") == "compound") == F.col("c"), F.col("n")))
+    low = hit.groupBy("token", "right", "hyphen").agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("joined", "left_n", "right_n", "compound")])
 
     def sample(d: DataFrame) -> dict[str, int]:
-        total = d.count()
-        share = min(1.0, sample_rows / max(1, total))
+        share = min(1.0, sample_rows / max(1, d.count()))
         return {r["word"]: int(r["n"]) for r in d.filter(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).limit(2 * sample_rows).collect()}
 
-    def counts(keys: set[str], d: DataFrame) -> dict[str, int]:
-        """Full counts of the parts of the sampled words."""
-        k = tokens.sparkSession.createDataFrame([(x,) for x in sorted(keys)], "word string")
-        return {r["word"]: int(r["n"]) for r in d.join(k, "word").select("word", "n").collect()}
-
-    cuts = [(w[:i], w[i:], n) for w, n in sorted(sample(words.filter("n >= 3 and length(word) >= 4")).items()) if w.isalpha() for i in range(2, len(w) - 1, 2)]
+    cuts = [(w[:i], w[i:], n) for w, n in sorted(sample(words.filter("length(word) >= 4")).items()) if w.isalpha() for i in range(2, len(w) - 1, 2)]
     halves = [(*w.replace("‐", "-").partition("-")[::2], n) for w, n in sorted(sample(compounds).items())]
     halves = [(l, r, n) for l, r, n in halves if r and l.isalpha() and r.isalpha()]
-    ws = counts({x for l, r, _ in cuts for x in (l, r)} | {x for l, r, _ in halves for x in (l, r, l + r)}, words)
-    cs = counts({f"{l}-{r}" for l, r, _ in cuts}, compounds)
+    # full counts of the parts of the sampled words
+    ask = spark.createDataFrame([(x,) for x in sorted({x for l, r, _ in cuts for x in (l, r)} | {x for l, r, _ in halves for x in (l, r, l + r)} | {f"{l}-{r}" for l, r, _ in cuts})], "word string")
+    full = {(r["word"], r["c"]): int(r["n"]) for r in both.join(ask, "word").collect()}
     x, y = [], []
     for l, r, n in cuts:
         for soft in (False, True):
-            x.append(_join_features(n, cs.get(f"{l}-{r}", 0), ws.get(l, 0), ws.get(r, 0), soft, True))
+            x.append(_join_features(n - 1, full.get((f"{l}-{r}", True), 0), full.get((l, False), 0), full.get((r, False), 0), soft, l, r))
             y.append(1)
     for l, r, n in halves:
-        for _ in range(4):
-            x.append(_join_features(ws.get(l + r, 0), n, ws.get(l, 0), ws.get(r, 0), False, True))
+        for k in range(4):
+            x.append(_join_features(full.get((l + r, False), 0), n - 1, full.get((l, False), 0), full.get((r, False), 0), False, l, r.title() if k % 2 else r))
             y.append(0)
     model = Boosted(rounds=40).fit(np.array(x, np.float64).reshape(-1, JOIN_FEATURES), np.array(y, np.float64))
-    sent = tokens.sparkSession.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)
 
     def judge(batches):
         for b in batches:
             tok, right, hy, joined, left_n, right_n, comp = (c.to_pylist() for c in b.columns)
-            f = [_join_features(j or 0, c or 0, a or 0, z or 0, h in "¬\xad", r[:1].islower()) for j, c, a, z, h, r in zip(joined, comp, left_n, right_n, hy, right)]
-            p = sent.value.score(np.array(f, np.float64).reshape(-1, JOIN_FEATURES))
-            yes = []
-            for q, t, r, j, c, h in zip(p, tok, right, joined, comp, hy):
-                if c and (c or 0) > 3 * (j or 0):
-                    yes.append(False)
-                elif r[:1].isupper() and not t.isupper():
-                    yes.append(False)
-                elif not j and not c:  # neither was seen: a hyphen that only marks line ends, or a plain one within a rare word
-                    yes.append(True)
-                else:
-                    yes.append(bool(q > 0.5))
+            f = [_join_features(j or 0, c or 0, a or 0, z or 0, h in "¬\xad", t, r) for t, r, h, j, a, z, c in zip(tok, right, hy, joined, left_n, right_n, comp)]
+            yes = sent.value.score(np.array(f, np.float64).reshape(-1, JOIN_FEATURES)) > 0.5
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(yes, pa.bool_())], names=["token", "right", "hyphen", "joins"])
 
     return low.select("token", "right", "hyphen", "joined", "left_n", "right_n", "compound").mapInArrow(judge, "token string, right string, hyphen string, joins boolean")
@@ -341,40 +346,95 @@ def align(c: str, w: str, most: int = 2) -> list[tuple[str, str, int]] | None:
     return None
 
 
-RANK_FEATURES = 7
+RANK_FEATURES = 8
 # Pairs that look so much alike that a few words of support count as more; correct first, then as read.
 LOOK_ALIKE_PAIRS = "e:c t:f h:b d:cl u:ii m:rn rn:m in:m ri:n w:vv vv:w cl:d n:ri"
 LOOK_ALIKE_BONUS = 5
+#: Words of at least two characters with a letter; those of digits and letters go by their masks.
+_WORDY = r"\p{L}|@"
 
 
-def misread_words(types: DataFrame, least_count: int = 5, least_ratio: float = 10.0, sample_rows: int = 20_000) -> DataFrame:
-    """(word, correction, places): the word types that are misread forms of commoner words.
-
-    ``types``: (word, n) in lower case. Candidates share q-grams (trigrams, for short words bigrams) with the word and are at least
-    ``least_ratio`` times as common.
-    """
-    t = types.filter((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}|@"))
+def candidates(types: DataFrame, least_count: int, least_ratio: float) -> DataFrame:
+    """(w, c, nw, nc): words and the much commoner ones they share q-grams with (trigrams, for short words bigrams)."""
+    t = types.filter((F.length("word") >= 2) & F.col("word").rlike(_WORDY))
     lex = t.filter((F.col("n") >= least_count) & F.col("word").rlike(r"^[\p{L}\p{M}]+$"))
 
     def grams(d: DataFrame, q: int, short: Column) -> DataFrame:
         p = F.concat(F.lit("#"), F.col("word"), F.lit("#"))
         g = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - q + 1, F.lit(1))), lambda i: F.substring(p, i, q))
-        return d.filter(short).select("word", "n", F.explode(F.array_distinct(g)).alias("g"))
+        return d.filter(short).select("word", "n", F.length("word").alias("len"), F.explode(F.array_distinct(g)).alias("g"))
 
     size = F.length("word")
     shared = []
     for q, of_query, of_lex in ((3, size >= 5, size >= 3), (2, size < 5, size <= 6)):
-        a = grams(t, q, of_query).toDF("w", "nw", "g")
-        b = grams(lex, q, of_lex).toDF("c", "nc", "g")
-        near = a.join(b, "g").filter((F.col("nc") >= least_ratio * F.col("nw")) & (F.abs(F.length("c") - F.length("w")) <= 2))
-        shared.append(near.groupBy("w", "c").agg(F.count("*").alias("k"), F.first("nw").alias("nw"), F.first("nc").alias("nc")))
-    cand = shared[0].unionByName(shared[1]).filter(F.col("k") >= F.greatest(F.lit(1), F.floor((F.length("w") - 5) / 2)))
+        a = grams(t, q, of_query).toDF("w", "nw", "lw", "g").withColumn("lc", F.explode(F.sequence(F.col("lw") - 2, F.col("lw") + 2)))
+        b = grams(lex, q, of_lex).toDF("c", "nc", "lc", "g")
+        near = a.join(b, ["g", "lc"]).filter(F.col("nc") >= least_ratio * F.col("nw"))  # of lengths that two replacements can reach
+        shared.append(near.groupBy("w", "c", "nw", "nc").agg(F.count("*").alias("k")))
+    both = shared[0].unionByName(shared[1]).filter(F.col("k") >= F.greatest(F.lit(1), F.floor((F.length("w") - 5) / 2)))
+    return both.filter(F.levenshtein("w", "c", 4) >= 0).select("w", "c", "nw", "nc")
+
+
+def repaired_masks(types: DataFrame) -> DataFrame:
+    """(w, c, nw, nc, a1, b1, p1, fixed): tokens of digits with one letter that looks like a digit, by their masks, which write 9 for a digit and keep letters.
+
+    ``w`` is the token; counts are those of the masks, so numbers of one form support each other.
+    """
+    schema = "token string, n bigint, mask string, fixed string, fixed_mask string, place int"
+
+    def variants(batches):
+        for b in batches:
+            out = []
+            for tok, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                d = [i for i, c in enumerate(tok) if not c.isdigit()]
+                mask = _DIGITS.sub(lambda m: "9" * len(m.group()), tok)
+                if len(d) == 1 and len(tok) > 1 and tok[d[0]] in _LOOKS_DIGIT:
+                    i = d[0]
+                    out.append((tok, n, mask, tok[:i] + _LOOKS_DIGIT[tok[i]] + tok[i + 1 :], mask[:i] + "9" + mask[i + 1 :], i))
+                else:
+                    out.append((tok, n, mask, None, None, None))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()])], names=[x.split()[0] for x in schema.split(", ")])
+
+    v = types.filter(F.col("token").rlike(r"\d")).select("token", "n").mapInArrow(variants, schema)
+    masks = v.groupBy("mask").agg(F.sum("n").alias("m"))
+    x = v.filter(F.col("fixed").isNotNull()).join(masks.withColumnRenamed("m", "own"), "mask").join(masks.select(F.col("mask").alias("fixed_mask"), F.col("m").alias("other")), "fixed_mask", "left")
+    read = F.substring("token", F.col("place") + 1, F.lit(1))
+    return x.select(F.col("token").alias("w"), F.col("fixed").alias("c"), F.col("own").alias("nw"), F.coalesce("other", F.lit(0)).alias("nc"), F.substring("fixed", F.col("place") + 1, F.lit(1)).alias("a1"), read.alias("b1"), F.col("place").alias("p1"))
+
+
+def repaired_symbols(types: DataFrame) -> DataFrame:
+    """(token, c, nw, nc, a1, b1, p1, stem): words in which one symbol or digit stands among letters, and the word with the letter that it looks like.
+
+    ``stem``: at a word's end or start a digit may also count a word of the corpus, as it does in "model5".
+    """
+    t = types.filter(F.col("token").rlike(r"^[\p{L}@!0-9]+$") & F.col("token").rlike(r"[@!01569]") & (F.col("token").rlike(r"\p{L}") | (F.col("token") == "@")))
+    sym = F.regexp_replace("token", r"[^@!0-9]", "")
+    letters = F.length(F.regexp_replace("token", r"[@!0-9]", ""))
+    place = F.length(F.regexp_extract("token", r"^(\p{L}*)[@!01569]", 1))
+    one = t.filter((F.length(sym) == 1) & ((F.col("token") == "@") | (sym.isin("@", "!") & (letters >= 2)) | (letters >= 4))).select(F.col("token"), F.col("n").alias("nw"), sym.alias("b1"), place.cast("int").alias("p1"))
+    digit = ~F.col("b1").isin("@", "!")
+    rest = F.when(digit & (F.col("p1") == F.length("token") - 1), F.lower(F.expr("left(token, length(token) - 1)"))).when(digit & (F.col("p1") == 0), F.lower(F.expr("substring(token, 2)")))
+    known = types.groupBy(F.lower("token").alias("_w")).agg(F.sum("n").alias("_n"))
+    x = one.withColumn("c", F.translate("token", "@!01569", "aiolsbg")).withColumn("rest", rest)
+    x = x.join(known.select(F.col("_w").alias("rest"), F.lit(True).alias("stem")), "rest", "left").join(known.select(F.col("_w").alias("_c"), F.col("_n").alias("nc")), F.lower("c") == F.col("_c"), "left")
+    return x.select(F.col("token").alias("w"), "c", "nw", F.coalesce("nc", F.lit(0)).alias("nc"), F.translate("b1", "@!01569", "aiolsbg").alias("a1"), "b1", "p1", F.coalesce("stem", F.lit(False)).alias("stem"))
+
+
+def corrections_of(types: DataFrame, least_count: int = 5, least_ratio: float = 10.0, sample_rows: int = 20_000) -> DataFrame:
+    """(token, correction, places): the tokens that are misread, what they should read, and where in the correction that differs.
+
+    ``types``: (token, n). Words are looked up in lower case among words at least ``least_ratio`` times as common; tokens with symbols and
+    digits get a candidate of their own besides. Every candidate shows replacements, how many words of the corpus show
+    the same ones is counted, and the ranking fitted on sure cases decides for the best candidate of each token.
+    """
+    low = types.groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
     schema = "w string, c string, nw bigint, nc bigint, a1 string, b1 string, a2 string, b2 string, p1 int, p2 int"
 
     def aligned(batches):
         for b in batches:
             out = []
-            for w, c, _k, nw, nc in zip(*(x.to_pylist() for x in b.columns)):
+            for w, c, nw, nc in zip(*(x.to_pylist() for x in b.columns)):
                 e = align(c, w)
                 if e:
                     second = e[1] if len(e) > 1 else (None, None, None)
@@ -383,125 +443,117 @@ def misread_words(types: DataFrame, least_count: int = 5, least_ratio: float = 1
             types_ = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(cols, types_)], names=[x.split()[0] for x in schema.split(", ")])
 
-    al = cut(cand.select("w", "c", "k", "nw", "nc").mapInArrow(aligned, schema))
-    # how many word types show this confusion by one replacement, against a much commoner word
-    conf = al.filter(F.col("a2").isNull()).groupBy("a1", "b1").agg(F.countDistinct("w").alias("s"), F.sum("nw").alias("sn"))
-    back = conf.select(F.col("b1").alias("_a"), F.col("a1").alias("_b"), F.col("s").alias("r"))
+    none = F.lit(None).cast("string")
+    al = candidates(low, least_count, least_ratio).mapInArrow(aligned, schema)
+    words = al.select("*", F.lit("word").alias("kind"), F.lit(False).alias("stem"))
+    symbols = repaired_symbols(types).select("w", "c", "nw", "nc", "a1", "b1", none.alias("a2"), none.alias("b2"), "p1", F.lit(None).cast("int").alias("p2"), F.lit("symbol").alias("kind"), "stem")
+    numbers = repaired_masks(types).select("w", "c", "nw", "nc", "a1", "b1", none.alias("a2"), none.alias("b2"), "p1", F.lit(None).cast("int").alias("p2"), F.lit("number").alias("kind"), F.lit(False).alias("stem"))
+    al = cut(words.unionByName(symbols).unionByName(numbers))
+    # how many words show this replacement alone, against a much commoner word; letters read as digits by numbers of a much commoner form
+    shown = al.filter(F.col("a2").isNull() & ((F.col("kind") == "word") | ((F.col("kind") == "number") & (F.col("nc") >= least_ratio * F.col("nw")))))
+    conf = shown.groupBy("a1", "b1").agg(F.countDistinct("w").alias("s"))
     known = F.array(*[F.lit(p) for p in LOOK_ALIKE_PAIRS.split()])
     bonus = F.when(F.array_contains(known, F.concat_ws(":", "a1", "b1")), LOOK_ALIKE_BONUS).otherwise(0)
-    conf = conf.withColumn("s", F.col("s") + bonus)
-    one = conf.select(F.col("a1").alias("_a"), F.col("b1").alias("_b"), "s", "sn")
+    back = conf.select(F.col("b1").alias("_a"), F.col("a1").alias("_b"), F.col("s").alias("_r"))
+    conf = conf.withColumn("s", F.col("s") + bonus).join(back, (F.col("a1") == F.col("_a")) & (F.col("b1") == F.col("_b")), "left")
+    conf = cut(conf.select("a1", "b1", "s", F.when(F.array_contains(known, F.concat_ws(":", "a1", "b1")), 0).otherwise(F.coalesce("_r", F.lit(0))).alias("r")))
     x = al
     for k in ("1", "2"):
-        x = x.join(one.select(F.col("_a").alias(f"_a{k}"), F.col("_b").alias(f"_b{k}"), F.col("s").alias(f"s{k}")), (F.col(f"a{k}") == F.col(f"_a{k}")) & (F.col(f"b{k}") == F.col(f"_b{k}")), "left").drop(f"_a{k}", f"_b{k}")
-        x = x.join(back.select(F.col("_a").alias(f"_a{k}"), F.col("_b").alias(f"_b{k}"), F.col("r").alias(f"r{k}")), (F.col(f"a{k}") == F.col(f"_a{k}")) & (F.col(f"b{k}") == F.col(f"_b{k}")), "left").drop(f"_a{k}", f"_b{k}")
+        x = x.join(conf.toDF(f"_a{k}", f"_b{k}", f"s{k}", f"r{k}"), (F.col(f"a{k}") == F.col(f"_a{k}")) & (F.col(f"b{k}") == F.col(f"_b{k}")), "left").drop(f"_a{k}", f"_b{k}")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     least_s = F.when(F.col("a2").isNull(), zero("s1")).otherwise(F.least(zero("s1"), zero("s2")))
-    opposite = lambda k: F.when(F.array_contains(known, F.concat_ws(":", f"a{k}", f"b{k}")), F.lit(0)).otherwise(zero(f"r{k}"))
-    most_r = F.when(F.col("a2").isNull(), opposite(1)).otherwise(F.greatest(opposite(1), opposite(2)))
-    odd = F.col("w").rlike(r"[@!\d]")
-    f = F.array(F.log1p("nc"), F.log(F.col("nc") / F.col("nw")), F.col("a2").isNotNull().cast("int"), F.log1p(least_s), F.log1p(least_s) - F.log1p(most_r), F.length("w"), F.length("c") - F.length("w"))
-    x = x.withColumn("s", least_s).withColumn("odd", odd & F.col("w").rlike(r"\p{L}")).withColumn("f", F.transform(f, lambda v: v.cast("double")))
-    x = cut(x.select("w", "c", "nw", "nc", "a1", "b1", "a2", "p1", "p2", "s", "odd", "f"))
-    # sure cases: a symbol or digit inside a word is never right; a confusion that hardly ever occurs is never one
-    lab = x.withColumn("y", F.when(F.col("odd") & (F.col("s") >= 8), 1.0).when(~F.col("odd") & (F.col("s") <= 3), 0.0)).filter(F.col("y").isNotNull())
-    n = lab.count()
-    share = min(1.0, sample_rows / max(1, n))
+    most_r = F.when(F.col("a2").isNull(), zero("r1")).otherwise(F.greatest(zero("r1"), zero("r2")))
+    odd = F.col("w").rlike(r"[@!\d]") & (F.col("w").rlike(r"\p{L}") | (F.col("w") == "@"))
+    ratio = F.log((F.col("nc") + 0.5) / F.col("nw"))
+    f = F.array(F.log1p("nc"), ratio, F.col("a2").isNotNull().cast("int"), F.log1p(least_s), F.log1p(least_s) - F.log1p(most_r), F.length("w"), F.length("c") - F.length("w"), F.col("stem").cast("int") + 2 * (F.col("kind") == "number").cast("int"))
+    x = x.withColumn("s", least_s).withColumn("odd", odd).withColumn("f", F.transform(f, lambda v: v.cast("float")))
+    # sure cases: a symbol or digit inside a word is never right, a number is where its form is common; a replacement that hardly any word shows is none
+    number = F.col("kind") == "number"
+    y = F.when(number & (F.col("nc") >= least_ratio * F.col("nw")), 1.0).when(number & (F.col("nc") < F.col("nw")), 0.0).when(F.col("stem"), 0.0)
+    y = y.when(~number & F.col("odd") & ((F.col("s") >= 8) | (F.col("kind") == "symbol")), 1.0).when(~F.col("odd") & (F.col("s") <= 3), 0.0)
+    x = cut(x.select("w", "c", "kind", "p1", "p2", "f", y.alias("y")))
+    lab = x.filter(F.col("y").isNotNull())
+    share = min(1.0, sample_rows / max(1, lab.count()))
     got = lab.filter(F.pmod(F.xxhash64("w", "c"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).limit(2 * sample_rows).select("f", "y").collect()
     model = Boosted(rounds=60).fit(np.array([r["f"] for r in got], np.float64).reshape(-1, RANK_FEATURES), np.array([r["y"] for r in got], np.float64))
     sent = types.sparkSession.sparkContext.broadcast(model)
 
     def rank(batches):
         for b in batches:
-            p = sent.value.score(np.array(b.column(2).to_pylist(), np.float64).reshape(-1, RANK_FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(p)], names=["word", "correction", "p1", "p2", "score"])
-
-    ranked = x.select("w", "c", "f", "p1", "p2").mapInArrow(rank, "word string, correction string, p1 int, p2 int, score double")
-    best = ranked.groupBy("word").agg(F.max_by(F.struct("correction", "p1", "p2", "score"), F.struct("score", "correction")).alias("b"))
-    return best.select("word", "b.correction", F.array_compact(F.array("b.p1", "b.p2")).alias("places"), "b.score").filter("score > 0.5")
-
-
-def misread_numbers(types: DataFrame, least_ratio: float = 10.0) -> DataFrame:
-    """(token, correction, places): tokens of digits in which one letter that looks like a digit stands.
-
-    A token's mask keeps letters and writes 9 for digits; the mask with the letter as a digit must be much commoner.
-    """
-    schema = "token string, n bigint, mask string, fixed string, fixed_mask string, place int"
-
-    def variants(batches):
-        for b in batches:
-            out = []
-            for tok, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mask = _DIGITS.sub(lambda m: "9" * len(m.group()), tok)
-                if not mask.replace("9", ""):
-                    out.append((tok, n, mask, None, None, None))
-                    continue
-                d = [i for i, c in enumerate(tok) if not c.isdigit()]
-                if len(tok) - len(d) >= 1 and len(d) == 1 and tok[d[0]] in _LOOKS_DIGIT:
-                    i = d[0]
-                    out.append((tok, n, mask, tok[:i] + _LOOKS_DIGIT[tok[i]] + tok[i + 1 :], mask[:i] + "9" + mask[i + 1 :], i))
-                elif len(tok) <= 12:
-                    out.append((tok, n, mask, None, None, None))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()])], names=[x.split()[0] for x in schema.split(", ")])
-
-    v = cut(types.filter(F.col("token").rlike(r"\d")).select("token", "n").mapInArrow(variants, schema))
-    masks = v.groupBy("mask").agg(F.sum("n").alias("m"))
-    x = v.filter(F.col("fixed").isNotNull()).join(masks.withColumnRenamed("m", "own"), "mask").join(masks.select(F.col("mask").alias("fixed_mask"), F.col("m").alias("other")), "fixed_mask")
-    return x.filter(F.col("other") >= least_ratio * F.col("own")).select("token", F.col("fixed").alias("correction"), F.array("place").alias("places"))
-
-
-def misread_symbols(types: DataFrame) -> DataFrame:
-    """(token, correction, places): words that no candidate was found for but in which a symbol or a single digit stands among letters.
+            p = sent.value.score(b.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, RANK_FEATURES))
+            yes = pa.array(p > 0.5)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(yes) for i in (0, 1, 3, 4, 5)), pa.array(p[p > 0.5])], names=["w", "c", "p1", "p2", "kind", "score"])
 
-    At the end of a word a digit is only taken for a letter if the rest is no word of the corpus (as it is in "model5").
-    """
-    t = types.filter(F.col("token").rlike(r"^[\p{L}@!0-9]+$") & F.col("token").rlike(r"[@!01569]") & F.col("token").rlike(r"\p{L}"))
-    s = F.regexp_replace("token", r"[^@!0-9]", "")
-    letters = F.length(F.regexp_replace("token", r"[@!0-9]", ""))
-    place = F.length(F.regexp_extract("token", r"^(\p{L}*)[@!01569]", 1))
-    one = t.filter((F.length(s) == 1) & ((s.isin("@", "!") & (letters >= 2)) | (letters >= 4))).select("token", s.alias("s"), place.cast("int").alias("place"))
-    stem = F.when((F.col("place") == F.length("token") - 1) & ~F.col("s").isin("@", "!"), F.lower(F.expr("left(token, length(token) - 1)"))).when((F.col("place") == 0) & ~F.col("s").isin("@", "!"), F.lower(F.expr("substring(token, 2)")))
-    known = types.select(F.lower("token").alias("stem")).distinct()
-    ok = one.withColumn("stem", stem).join(known, "stem", "left_anti")
-    return ok.select("token", F.translate("token", "@!01569", "aiolsbg").alias("correction"), F.array("place").alias("places"))
+    ranked = x.select("w", "c", "f", "p1", "p2", "kind").mapInArrow(rank, "w string, c string, p1 int, p2 int, kind string, score double")
+    ranked = ranked.withColumn("own", F.col("kind") != "word")
+    best = ranked.groupBy("w", "own").agg(F.max_by(F.struct("c", "p1", "p2"), F.struct("score", "c")).alias("b"))
+    found = best.select("w", "own", F.col("b.c").alias("correction"), F.array_compact(F.array("b.p1", "b.p2")).alias("places"))
+    # words were looked up in lower case, the others as they stand; a commoner word goes before a repaired symbol
+    by_word = types.select("token", F.lower("token").alias("w")).join(found.filter("not own").drop("own"), "w").select("token", "correction", "places", F.lit(1).alias("rank"))
+    by_token = found.filter("own").select(F.col("w").alias("token"), "correction", "places", F.lit(0).alias("rank"))
+    both = by_word.unionByName(by_token).groupBy("token").agg(F.max_by(F.struct("correction", "places"), F.struct("rank", "correction")).alias("b"))
+    return both.select("token", "b.correction", "b.places")
 
 
 def scan_findings(lines: DataFrame) -> dict[str, DataFrame]:
-    """lines (with furniture), tokens, breaks (parts of words and whether they join), corrections (by token)."""
-    clean = clean_lines(lines)
-    marked = cut(mark_furniture(clean))
-    tokens = cut(in_blocks(marked).groupBy("document_id", "block").applyInArrow(_tokens, _TOKEN_SCHEMA))
-    plain = tokens.filter(F.col("right").isNull() & ~F.col("compound"))
-    words = cut(plain.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")))
-    compounds = cut(tokens.filter("compound").groupBy(F.regexp_replace(F.lower("token"), "‐", "-").alias("word")).agg(F.count("*").alias("n")))
-    breaks = cut(judge_breaks(tokens, words, compounds))
-    broken = tokens.filter(F.col("right").isNotNull()).join(breaks, ["token", "right", "hyphen"])
-    whole = plain.select("document_id", "line_no", F.col("token"), F.lit(None).cast("int").alias("line_no2"), F.lit(0).alias("cut_at"))
-    joined = broken.filter("joins").select("document_id", "line_no", F.concat("token", "right").alias("token"), "line_no2", F.length("token").alias("cut_at"))
-    parts = broken.filter("not joins").select("document_id", "line_no", "token", F.lit(None).cast("int").alias("line_no2"), F.lit(0).alias("cut_at")).unionByName(
-        broken.filter("not joins").select("document_id", F.col("line_no2").alias("line_no"), F.col("right").alias("token"), F.lit(None).cast("int").alias("line_no2"), F.lit(0).alias("cut_at"))
+    """blocks (lines of each block), tokens (of each block), furniture, broken (parts of words and whether they join), corrections (by token)."""
+    blocks = cut(line_blocks(lines))
+    furniture = cut(furniture_lines(blocks))
+    near = in_blocks(furniture).groupBy("document_id", "block").agg(F.sort_array(F.collect_set("line_no")).alias("furniture"))  # no more than a block's lines
+    tokens = cut(blocks.join(near, ["document_id", "block"], "left").mapInArrow(_tokens, _TOKEN_SCHEMA))
+    whole = cut(tokens.select(F.explode("token").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    words = whole.groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
+    compounds = tokens.select(F.explode("compound").alias("token")).groupBy(F.regexp_replace(F.lower("token"), "‐", "-").alias("word")).agg(F.count("*").alias("n"))
+    split = tokens.select("document_id", "block", F.explode("broken").alias("x")).select("document_id", "block", "x.*")
+    broken = cut(split.join(judge_breaks(split, words, compounds), ["token", "right", "hyphen"]))
+    uses = broken_uses(broken)
+    types = cut(whole.unionByName(uses.groupBy("token").agg(F.count("*").alias("n"))).groupBy("token").agg(F.sum("n").alias("n")))
+    return {"blocks": blocks, "tokens": tokens, "furniture": furniture, "broken": broken, "corrections": cut(corrections_of(types))}
+
+
+def broken_uses(broken: DataFrame) -> DataFrame:
+    """(document_id, line_no, token, line_no2, cut_at) of the words at lines' ends: joined ones as one word, compounds as two."""
+    no = F.lit(None).cast("int")
+    parts = F.when(F.col("joins"), F.array(F.struct(F.col("line_no"), F.concat("token", "right").alias("token"), "line_no2", F.length("token").alias("cut_at")))).otherwise(
+        F.array(F.struct("line_no", "token", no.alias("line_no2"), F.lit(0).alias("cut_at")), F.struct(F.col("line_no2").alias("line_no"), F.col("right").alias("token"), no.alias("line_no2"), F.lit(0).alias("cut_at")))
     )
-    uses = cut(whole.unionByName(joined).unionByName(parts))
-    types = cut(uses.groupBy("token").agg(F.count("*").alias("n")))
-    low = types.groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
-    w = misread_words(low)
-    by_word = types.select("token", F.lower("token").alias("word")).join(w, "word").select("token", "correction", "places")
-    lone = types.filter(F.col("token") == "@").select("token", F.lit("a").alias("correction"), F.array(F.lit(0)).alias("places"))
-    corrections = cut(by_word.unionByName(misread_numbers(types)).unionByName(lone).unionByName(misread_symbols(types)).groupBy("token").agg(F.max_by("correction", "correction").alias("correction"), F.max_by("places", "correction").alias("places")))
-    return {"lines": marked, "tokens": tokens, "breaks": breaks, "broken": broken, "uses": uses, "corrections": corrections}
+    return broken.select("document_id", F.explode(parts).alias("x")).select("document_id", "x.*")
+
+
+def misread_uses(found: dict[str, DataFrame]) -> DataFrame:
+    """(document_id, line_no, token, line_no2, cut_at, correction, places) of every misread word."""
+    pair = F.explode(F.arrays_zip("line_no", "token"))
+    whole = found["tokens"].select("document_id", pair.alias("x")).select("document_id", "x.line_no", "x.token", F.lit(None).cast("int").alias("line_no2"), F.lit(0).alias("cut_at"))
+    return whole.unionByName(broken_uses(found["broken"])).join(found["corrections"], "token")
 
 
 def line_kinds(found: dict[str, DataFrame]) -> DataFrame:
     """(document_id, line_no, kind) of every line that is furniture, ends in a broken word or holds misread characters."""
-    furniture = found["lines"].filter("furniture").select("document_id", "line_no", F.lit("furniture").alias("kind"))
+    furniture = found["furniture"].select("document_id", "line_no", F.lit("furniture").alias("kind"))
     hyphen = found["broken"].filter("joins").select("document_id", "line_no", F.lit("hyphen").alias("kind"))
-    hit = found["uses"].join(found["corrections"], "token").withColumn("place", F.explode("places"))
+    hit = misread_uses(found).withColumn("place", F.explode("places"))
     at = F.when(F.col("line_no2").isNotNull() & (F.col("place") >= F.col("cut_at")), F.col("line_no2")).otherwise(F.col("line_no"))
     misread = hit.select("document_id", at.alias("line_no"), F.lit("misread").alias("kind"))
     return furniture.unionByName(hyphen).unionByName(misread).distinct()
 
 
+def block_lines(found: dict[str, DataFrame]) -> DataFrame:
+    """(document_id, line_no, page, text, furniture) of every line, each once."""
+
+    def own(batches):
+        for b in batches:
+            out: list[tuple] = []
+            docs, furniture = b.column(0).to_pylist(), b.column(3).to_pylist()
+            for row, lo, hi, no, page, text in _block_rows(b):
+                furn = set(furniture[row] or ())
+                out += [(docs[row], n, p, t, n in furn) for n, p, t in zip(no, page, text) if lo <= n < hi]
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()])], names=["document_id", "line_no", "page", "text", "furniture"])
+
+    near = in_blocks(found["furniture"]).groupBy("document_id", "block").agg(F.collect_set("line_no").alias("furniture"))
+    return found["blocks"].join(near, ["document_id", "block"], "left").mapInArrow(own, "document_id string, line_no int, page int, text string, furniture boolean")
+
+
 def _match_case(token: str, correction: str) -> str:
     if token[:1].isupper() and token[1:].upper() == token[1:] and len(token) > 1 and any(c.isalpha() for c in token[1:]):
         return correction.upper()
@@ -607,9 +659,9 @@ def paragraphs(found: dict[str, DataFrame]) -> DataFrame:
     lines, breaks and corrections only, and put together by paragraph, over any number of blocks.
     """
     b = found["broken"].groupBy("document_id", "line_no").agg(F.max("joins").alias("joins"))
-    corr = found["uses"].join(found["corrections"], "token").select("document_id", "line_no", "token", "correction")
+    corr = misread_uses(found).select("document_id", "line_no", "token", "correction")
     fixes = corr.groupBy("document_id", "line_no").agg(F.sort_array(F.collect_set(F.struct("token", "correction"))).alias("fixes"))
-    x = paragraph_starts(found["lines"]).join(b, ["document_id", "line_no"], "left").join(fixes, ["document_id", "line_no"], "left")
+    x = paragraph_starts(block_lines(found)).join(b, ["document_id", "line_no"], "left").join(fixes, ["document_id", "line_no"], "left")
     parts = x.groupBy("document_id", "block").applyInArrow(_parts, _PART_SCHEMA)
     part = F.struct("block", "head", "text", "tail", "joins", "head_fixes", "tail_fixes")
     p = parts.groupBy("document_id", "paragraph").agg(F.max("last_line").alias("last_line"), F.sort_array(F.collect_list(part)).alias("parts"))
