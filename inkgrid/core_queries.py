@@ -27,12 +27,14 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(C("text").isNotNull())
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return store.latest(table(spark, d, "vectors"), "id", "created_at")
+def _vectors(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    v = table(spark, d, "vectors")
+    return store.latest(v.select(*columns) if columns else v, "id", "created_at")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return store.latest(table(spark, d, "chunks"), "id", "created_at")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    c = table(spark, d, "chunks")
+    return store.latest(c.select(*columns) if columns else c, "id", "created_at")
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -41,8 +43,7 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def _search(spark, d, k, tenant="", least=0.18):
-    uploads = store.latest(table(spark, d, "uploads"), "id", "updated_at")
-    r = search.search(_chunks(spark, d), _vectors(spark, d), uploads, _query_vector(spark, d), k, least, tenant)
+    r = search.search(table(spark, d, "chunks"), table(spark, d, "vectors"), table(spark, d, "uploads"), _query_vector(spark, d), k, least, tenant)
     return r.select("chunk_id", "document_id", "document_name", "file_key", "vector_id", C("index").alias("chunk_index"), "similarity", "model_version")
 
 
@@ -56,8 +57,8 @@ def similarity_search_tenant(spark, d):
 
 def similarity_threshold_count(spark, d):
     q = _query_vector(spark, d)
-    v = _vectors(spark, d).filter(search.usable(C("embedding"), C("dimensions")) & (F.size("embedding") == len(q)))
-    s = v.select(F.round(search.cosine(C("embedding"), q), 6).alias("s"))
+    score = F.when(search.usable(C("embedding"), C("dimensions")) & (F.size("embedding") == len(q)), search.cosine(C("embedding"), q))
+    s = store.latest(table(spark, d, "vectors").select("id", "created_at", score.alias("s")), "id", "created_at").filter(C("s").isNotNull())
     return s.select(F.explode(F.array(*[F.lit(x) for x in (0.18, 0.3, 0.5)])).alias("threshold"), "s").groupBy("threshold").agg(F.count_if(C("s") >= C("threshold")).alias("n"))
 
 
@@ -97,8 +98,8 @@ def dedup_semi_join(spark, d):
 
 
 def chunk_dedup(spark, d):
-    c = _chunks(spark, d)
-    v = _vectors(spark, d).filter(C("created_at") < F.lit(SPLIT_TIME).cast("timestamp"))
+    c = _chunks(spark, d, "id", "hash", "document_id", "chunk_index", "created_at")
+    v = _vectors(spark, d, "id", "hash", "created_at").filter(C("created_at") < F.lit(SPLIT_TIME).cast("timestamp"))
     r = dedup.dedup_chunks(c, v, ["document_id", "chunk_index", "id"])
     dups, fresh = dedup.split_duplicates(r)
     return dups.select("id", "known_vector_id", "first_id", F.lit("duplicate").alias("kind")).unionByName(fresh.select("id", "known_vector_id", "first_id", F.lit("embed").alias("kind")))
@@ -115,11 +116,11 @@ def vector_upsert(spark, d):
 
 
 def vector_id_remap(spark, d):
-    return store.surviving_ids(_upserted(spark, d).select("id", "hash"), _chunks(spark, d).select("id", "hash", "vector_id")).select("id", "vector_id")
+    return store.surviving_ids(_upserted(spark, d).select("id", "hash"), _chunks(spark, d, "id", "hash", "vector_id", "created_at").drop("created_at")).select("id", "vector_id")
 
 
 def recent_hashes_topn(spark, d):
-    return dedup.recent_hashes(_vectors(spark, d), 200).select("id", "hash")
+    return dedup.recent_hashes(_vectors(spark, d, "id", "hash", "created_at")).select("id", "hash")
 
 
 def chunk_append_idempotent(spark, d):
@@ -162,7 +163,7 @@ def fnv_hash(spark, d):
 
 def metadata_fields(spark, d):
     m = F.from_json(T.metadata_json(C("metadata")), "struct<document_id:string,language:string,token_count:int,entities:array<string>>")
-    return _chunks(spark, d).select("id", m.alias("m")).select("id", "m.document_id", "m.language", "m.token_count", C("m.entities").isNull().alias("no_entities"))
+    return _chunks(spark, d, "id", "metadata", "created_at").select("id", m.alias("m")).select("id", "m.document_id", "m.language", "m.token_count", C("m.entities").isNull().alias("no_entities"))
 
 
 def recurring_lines_removed(spark, d):

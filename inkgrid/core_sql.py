@@ -63,8 +63,8 @@ _LINES = "(SELECT document_id, line_no, max(page) AS page, coalesce(max(text), '
 def _search_sql(tenant: str) -> str:
     where = f"WHERE c.metadata.tenant_id = '{tenant}' OR d.tenant_id = '{tenant}'" if tenant else ""
     return f"""
-    WITH v AS (SELECT v.id, v.model_version, round(CASE WHEN len(embedding) = len(q) THEN list_cosine_similarity(embedding::DOUBLE[], q) END, 6) AS similarity FROM {_V} v, {_Q} WHERE CASE WHEN {_OK} THEN len(embedding) = len(q) ELSE false END)
-    SELECT c.id AS chunk_id, c.document_id, coalesce(d.name, '') AS document_name, coalesce(d.file_key, '') AS file_key, v.id AS vector_id, c.chunk_index, v.similarity, v.model_version
+    WITH v AS (SELECT v.id, v.model_version, CASE WHEN len(embedding) = len(q) THEN list_cosine_similarity(embedding::DOUBLE[], q) END AS similarity FROM {_V} v, {_Q} WHERE CASE WHEN {_OK} THEN len(embedding) = len(q) ELSE false END)
+    SELECT c.id AS chunk_id, c.document_id, coalesce(d.name, '') AS document_name, coalesce(d.file_key, '') AS file_key, v.id AS vector_id, c.chunk_index, round(v.similarity, 6) AS similarity, v.model_version
     FROM {_C} c JOIN v ON c.vector_id = v.id AND v.similarity >= 0.18 LEFT JOIN {_U} d ON d.id = c.document_id {where}
     ORDER BY v.similarity DESC, c.id LIMIT 10"""
 
@@ -122,7 +122,7 @@ _SHINGLES = f"""
 SQL = {
     "similarity_search": _search_sql(""),
     "similarity_search_tenant": _search_sql("default"),
-    "similarity_threshold_count": f"WITH s AS (SELECT round(CASE WHEN len(embedding) = len(q) THEN list_cosine_similarity(embedding::DOUBLE[], q) END, 6) AS s FROM {_V} v, {_Q} WHERE CASE WHEN {_OK} THEN len(embedding) = len(q) ELSE false END) SELECT threshold, count(*) FILTER (s >= threshold) AS n FROM s, (SELECT unnest([0.18, 0.3, 0.5]::DOUBLE[]) AS threshold) GROUP BY threshold",
+    "similarity_threshold_count": f"WITH s AS (SELECT CASE WHEN len(embedding) = len(q) THEN list_cosine_similarity(embedding::DOUBLE[], q) END AS s FROM {_V} v, {_Q} WHERE CASE WHEN {_OK} THEN len(embedding) = len(q) ELSE false END) SELECT threshold, count(*) FILTER (s >= threshold) AS n FROM s, (SELECT unnest([0.18, 0.3, 0.5]::DOUBLE[]) AS threshold) GROUP BY threshold",
     "similarity_all_pairs_topk": "SELECT query_id, row_id, similarity, rank::INT AS rank FROM (SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS row_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id::VARCHAR) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 5",
     "vector_codec": f"SELECT id, true AS same, len(embedding)::INT AS n FROM {_V} WHERE CASE WHEN {_OK} THEN true ELSE false END",
     "canonical_hash": f"SELECT doc_id, {hashed('text')} AS hash FROM {_DOCS}",
@@ -133,7 +133,7 @@ SQL = {
     "chunk_dedup": f"SELECT id, known_vector_id, first_id, CASE WHEN known_vector_id IS NULL AND first_id = id THEN 'embed' ELSE 'duplicate' END AS kind FROM (SELECT c.id, k.v AS known_vector_id, CASE WHEN length(c.hash) > 0 THEN first_value(c.id) OVER (PARTITION BY c.hash ORDER BY c.document_id, c.chunk_index, c.id) ELSE c.id END AS first_id FROM {_C} c LEFT JOIN (SELECT hash, min(id) AS v FROM {_V} WHERE length(hash) > 0 AND created_at < TIMESTAMPTZ '{SPLIT_TIME}' GROUP BY hash) k ON k.hash = c.hash)",
     "vector_upsert": _UPSERT + " SELECT id, hash, model_version, dimensions, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created FROM up",
     "vector_id_remap": _UPSERT + f" SELECT c.id, coalesce(up.id, c.vector_id) AS vector_id FROM {_C} c LEFT JOIN up ON up.hash = c.hash",
-    "recent_hashes_topn": f"SELECT id, hash FROM {_V} WHERE length(hash) > 0 ORDER BY created_at DESC, hash, id LIMIT 200",
+    "recent_hashes_topn": f"SELECT id, hash FROM {_V} WHERE length(hash) > 0 ORDER BY created_at DESC, hash, id LIMIT 10000",
     "chunk_append_idempotent": f"SELECT id, document_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY created_at, id) AS n FROM chunks) c WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM chunks o WHERE o.created_at < TIMESTAMPTZ '{SPLIT_TIME}' AND o.document_id = c.document_id AND o.chunk_index = c.chunk_index)",
     "document_lookup": "SELECT 'checksum' AS by, (SELECT id FROM uploads WHERE checksum = (SELECT min(checksum) FROM uploads) ORDER BY created_at, id LIMIT 1) AS id UNION ALL SELECT 'id', (SELECT min(id) FROM uploads) UNION ALL SELECT 'file_key', (SELECT id FROM uploads WHERE file_key = (SELECT min(file_key) FROM uploads) LIMIT 1)",
     "strip_control": f"SELECT doc_id, {ctrl('text || chr(13) || chr(7) || ' + chr(39) + 'a' + chr(39) + ' || chr(9) || ' + chr(39) + 'b' + chr(39))} AS clean FROM {_DOCS}",

@@ -19,9 +19,10 @@ def message_key(event_id: Column) -> Column:
     return F.when(hexed.rlike(_UUID), hexed).when(F.length(t) > 0, F.concat(F.lit("raw:"), t))
 
 
-def _order(seq: str, received: str) -> Column:
-    """Delivery time first (a null one comes last), then the arrival number, as a struct that min compares field by field."""
-    return F.struct(F.col(seq).isNull().alias("n"), F.col(seq).alias("s"), F.col(received).alias("r"))
+def _order(seq: str, received: str, content: list[str] | None = None) -> list[Column]:
+    """The arrival number first (a null one comes last), then the time of receipt, as the fields of a struct that min compares one by one; with ``content`` its hash breaks ties."""
+    o = [F.col(seq).isNull().alias("n"), F.col(seq).alias("s"), F.col(received).alias("r")]
+    return o + [F.xxhash64(*[F.col(f"`{c}`") for c in content]).alias("h")] if content else o
 
 
 def first_deliveries(events: DataFrame, id_col: str = "event_id", seq: str = "delivery_seq", received: str = "received_at") -> DataFrame:
@@ -30,7 +31,7 @@ def first_deliveries(events: DataFrame, id_col: str = "event_id", seq: str = "de
     A hash of the key distributes the groups; ``min_by`` combines on the map side, so a message that makes up a
     third of the feed leaves each task as one row. Deliveries without identity are not in the result.
     """
-    keyed = events.select(message_key(F.col(id_col)).alias("message_key"), F.col(seq).alias("_seq"), _order(seq, received).alias("_o")).filter(F.col("message_key").isNotNull())
+    keyed = events.select(message_key(F.col(id_col)).alias("message_key"), F.col(seq).alias("_seq"), F.struct(*_order(seq, received)).alias("_o")).filter(F.col("message_key").isNotNull())
     return keyed.groupBy("message_key").agg(F.min_by("_seq", "_o").alias(seq), F.count("*").alias("deliveries"))
 
 
@@ -43,13 +44,16 @@ def keep_one(events: DataFrame, id_col: str = "event_id", seq: str = "delivery_s
     gives an empty output; columns that the caller added are kept, a column named ``message_key`` is overwritten.
     """
     cols = [c for c in events.columns if c != "message_key"]
-    keyed = events.select(*[F.col(f"`{c}`") for c in cols]).withColumn("message_key", message_key(F.col(id_col)))
-    row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    order = F.struct(F.col(seq).isNull().alias("n"), F.col(seq).alias("s"), F.col(received).alias("r"), F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("h"))
-    kept = keyed.filter(F.col("message_key").isNotNull()).groupBy("message_key").agg(F.min_by(row, order).alias("_row")).select("_row.*", "message_key")
+    keyed = events.select(*[F.col(f"`{c}`") for c in cols]).withColumn("message_key", message_key(F.col(id_col))).withColumn("_o", F.struct(*_order(seq, received, cols)))
+    named = keyed.filter(F.col("message_key").isNotNull())
+    # numbers only: how often each delivery was written, then the first of each message
+    written = named.groupBy("message_key", "_o").agg(F.count("*").alias("_n"))
+    first = written.groupBy("message_key").agg(F.min("_o").alias("_o"), F.min_by("_n", "_o").alias("_n")).select(F.col("message_key").alias("_k"), F.col("_o").alias("_f"), "_n")
+    kept = named.join(first, (F.col("message_key") == F.col("_k")) & F.col("_o").eqNullSafe(F.col("_f")))
+    once = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["message_key"])).select(*[F.col(f"`{c}`") for c in cols], "message_key")
     if not keep_unidentified:
-        return kept
-    return kept.unionByName(keyed.filter(F.col("message_key").isNull()).select(*kept.columns))
+        return once
+    return once.unionByName(keyed.filter(F.col("message_key").isNull()).select(*once.columns))
 
 
 def repeated_deliveries(events: DataFrame, id_col: str = "event_id", seq: str = "delivery_seq", received: str = "received_at") -> DataFrame:

@@ -42,9 +42,12 @@ def document_by_checksum(documents: DataFrame, checksum: str, tenant: str = "")
 
 
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
-    """The latest row of each key, all columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct(F.col(by), F.xxhash64(*[F.col(f"`{c}`").cast("string") if dict(df.dtypes)[c].startswith("struct") or dict(df.dtypes)[c].startswith("array") else F.col(f"`{c}`") for c in df.columns]))).alias("_r")).select("_r.*")
+    """The latest row of each key, of the columns that df has: select what is needed before. Ties are broken by the row's content.
+
+    Rows shrink on the map side, so a key with very many rows leaves each task as one.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return df.groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max_by(F.struct(*cols), F.struct(F.col(f"`{by}`"), F.xxhash64(*cols))).alias("_r")).select("_r.*")
 
 
 def publish(df: DataFrame, path: str, batch_id: int | str) -> str:

@@ -145,7 +145,7 @@ def test_exact_neighbours(spark):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    got = search.exact_neighbours(e.filter("id % 7 = 0"), e, 3, block=4, shards=3).collect()
+    got = search.exact_neighbours(e.filter("id % 7 = 0"), e, 3, block=4, shard_rows=20).collect()
     for q in range(0, 60, 7):
         assert [int(x["row_id"]) for x in sorted((x for x in got if x["query_id"] == str(q)), key=lambda x: x["rank"])] == np.argsort(-s[q])[:3].tolist()
 
