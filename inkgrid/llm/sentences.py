@@ -100,6 +100,8 @@ _NEVER_ENDS = _by_language({x: f"{v} {TITLES if v.isascii() or x in FUNCTION_WOR
 _REFERENCE = _by_language(REFERENCES)
 _MAY_END = frozenset(_plain(w) for w in ENDING_ABBREVIATIONS.split())
 _LETTER_ONLY = frozenset(_plain(w) for w in ("г", "руб"))
+#: Titles, and abbreviations with a full stop inside, mean the same in every language.
+_EVERYWHERE = (frozenset(TITLES.split()) | frozenset(w for w in _NEVER_ENDS[None] if "." in w)) - _MAY_END
 #: Every word that some list has: only where one of these stands does the language matter.
 _LISTED = _NEVER_ENDS[None] | _REFERENCE[None]
 #: Ends of abbreviations that are long enough for the fast path.
@@ -191,9 +193,15 @@ def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool, la
             m = _SHORT_PART.search(text, max(start, before - 8), before)
             if m and (len(word) <= 2 or f"{_plain(m.group(1))}.{word}" in _LISTED):
                 joined = f"{_plain(m.group(1))}.{word}"
+        if joined in _EVERYWHERE or word in _EVERYWHERE:
+            return False
         begins = nxt.isupper() or nxt.isdigit() or not (nxt.islower() or nxt.isalpha())
         lang = None
-        if joined in _LISTED or word in _LISTED or (len(raw) == 1 and raw.isalpha()):
+        if (joined in _REFERENCE[None] or word in _REFERENCE[None]) and nxt.isdigit() and word not in _MAY_END and joined not in _MAY_END:
+            return False  # a number of something, in whatever language
+        initial = len(raw) == 1 and raw.isalpha() and (raw.isupper() or not raw.islower())
+        follows = _NEXT_WORD.match(text, e) if initial or word.isdigit() else None
+        if joined in _LISTED or word in _LISTED or (initial and follows and _plain(follows.group(1)) in _WEIGHT):
             lang = (langs or _Languages(text)).of(start, a, paragraph or (0, len(text)), word)
         if joined in _MAY_END or (joined not in _NEVER_ENDS[lang] and word in _MAY_END):
             return begins and not nxt.isdigit() if word in _LETTER_ONLY else begins or (nxt.isalpha() and not nxt.islower())
@@ -201,13 +209,12 @@ def _full_stop(text: str, start: int, a: int, e: int, nxt: str, closed: bool, la
             return False
         if (joined in _REFERENCE[lang] or word in _REFERENCE[lang]) and (_COUNTED.match(text, e) or (nxt.isalpha() and not nxt.isupper()) or (not nxt and word not in _ORDINARY)):
             return False
-        if len(raw) == 1 and raw.isalpha() and (raw.isupper() or not raw.islower()):  # an initial, unless a sentence clearly begins
-            m = _NEXT_WORD.match(text, e)
-            return bool(_DENSE_CHAR.match(raw)) or bool(m and len(_plain(m.group(1))) > 1 and _plain(m.group(1)) in (_FUNCTION.get(lang, ()) if lang else _WEIGHT))
+        if initial:  # of a name, unless a sentence clearly begins
+            after = _plain(follows.group(1)) if follows else ""
+            return bool(_DENSE_CHAR.match(raw)) or (len(after) > 1 and after in (_FUNCTION.get(lang, ()) if lang else _WEIGHT))
         if word.isdigit() and len(word) <= 3:
             m = _WORD_BEFORE.search(text, max(start, before - LONGEST_TOKEN), before)
-            after = _NEXT_WORD.match(text, e)
-            if m and _plain(m.group(1)) in _ORDINAL or after and _plain(after.group(1)) in _ORDINAL_NEXT:
+            if m and _plain(m.group(1)) in _ORDINAL or follows and _plain(follows.group(1)) in _ORDINAL_NEXT:
                 return False
         if not word:
             return not nxt.islower()

@@ -16,6 +16,9 @@ themselves; with too few documents no length is significant and endings alone de
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -29,30 +32,57 @@ _CUT_MARK = regex.compile(r"[\s]*(?:[\[(<]?[\s]*(?:\.{3,}|…+)[\s]*[\])>]?|[\[(
 _NO_TERMINATORS = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _DIGITS = regex.compile(r"\p{N}+")
+_ASCII_DIGITS = re.compile(r"[0-9]+")
+_PLAIN_ENDS = frozenset(".!?。！？।")
+_TWO_WORDS = re.compile(r"\S+(?:\s+\S+)?")
 _OPENERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")"}
 
 
+def _mask(s: str) -> str:
+    """Numbers as one 9 each."""
+    return (_ASCII_DIGITS if s.isascii() else _DIGITS).sub("9", s)
+
+
+def _terminated(unit: str) -> bool:
+    """Whether a unit ends with a terminator, closing quotes and brackets after it apart."""
+    last = unit[-1]
+    return last in _PLAIN_ENDS or (not last.isalnum() and bool(_TERMINATED.search(unit)))
+
+
+def _unterminated(unit: str) -> str:
+    last = unit[-1:]
+    return unit if last.isalnum() else unit[:-1] if last in _PLAIN_ENDS else _TERMINATED.sub("", unit)
+
+
 def _keys(unit: str) -> tuple[str, str]:
     """Two masks of how a unit begins, the longer one first."""
     m = _MARKER.match(unit)
     item = "L:" if m else ""
-    s = _DIGITS.sub("9", unit[m.end() if m else 0 :][:200])
-    if _DENSE.search(s[:3]):
+    s = _mask(_beginning(unit, m.end() if m else 0))
+    if not s.isascii() and _DENSE.search(s[:3]):
         return item + s[:4], item + s[:2]
     w = s.split(None, 2)
-    return item + " ".join(w[:2])[:60], item + (w[0] if w else "")[:40]
+    return item + " ".join(w[:2]), item + (w[0] if w else "")
+
+
+def _beginning(unit: str, at: int) -> str:
+    """The first two words of a unit, however long they are."""
+    m = _TWO_WORDS.match(unit, at)
+    return m.group() if m else ""
 
 
 def _whole(unit: str) -> str:
-    return _DIGITS.sub("9", unit) if len(unit) <= 80 else ""
+    """The unit itself; a long one by its digest, so that keys stay small."""
+    s = _mask(unit)
+    return s if len(s) <= 80 else hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def _close(unit: str) -> str:
     """How a finished unit ends, without its terminator: two words, or eight characters of a script without spaces."""
-    body = _TERMINATED.sub("", unit)[-80:].rstrip(" »”\"")
-    if _DENSE.search(body[-3:]) or _NO_TERMINATORS.search(body[-3:]):
+    body = _unterminated(unit).rstrip(" »”\"")
+    if not body.isascii() and (_DENSE.search(body[-3:]) or _NO_TERMINATORS.search(body[-3:])):
         return body[-8:]
-    return _DIGITS.sub("9", " ".join(body.split()[-2:]))
+    return _mask(" ".join(body.rsplit(None, 2)[-2:]))
 
 
 def _long(unit: str) -> bool:
@@ -113,7 +143,7 @@ def _scan(batches):
             starts, ends = sentence_spans(body)
             for a, e in zip(starts[:-1], ends[:-1]):
                 u = body[a:e]
-                bare = not _TERMINATED.search(u[-24:])
+                bare = not _terminated(u)
                 k2, k1 = _keys(u)
                 add("2", k2, bare, False)
                 add("1", k1, bare, False)
@@ -125,7 +155,7 @@ def _scan(batches):
                     add("Z", z, False, False)
                     add("Z1", z.rsplit(" ", 1)[-1], False, False)
             u = body[starts[-1] :] if starts else body
-            done = bool(u) and bool(_TERMINATED.search(u[-24:]))
+            done = bool(u) and _terminated(u)
             k2, k1 = _keys(u) if u else ("", "")
             if not done:
                 add("2", k2, True, True)
