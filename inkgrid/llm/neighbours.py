@@ -124,7 +124,6 @@ def search(tree: Tree, proj: np.ndarray, vec: np.ndarray, q_proj: np.ndarray, q_
     p_sorted, v_sorted = proj[tree.order], vec[tree.order]
     p_norm = (p_sorted * p_sorted).sum(1)
     out_q, out_p, out_d = [], [], []
-    passing = 0.0  # share of points that passed the projected test lately
     for s in range(0, len(q_proj), block):
         qp, qv, limit = q_proj[s : s + block], q_vec[s : s + block], bound[s : s + block].astype(np.float32).copy()
         own = skip[s : s + block] if skip is not None else None
@@ -147,21 +146,17 @@ def search(tree: Tree, proj: np.ndarray, vec: np.ndarray, q_proj: np.ndarray, q_
             for a, e in zip(starts, np.r_[starts[1:], len(by)]):
                 g = active[by[a:e]]
                 lo, hi = tree.bounds[leaf[by[a]]]
-                if passing > 0.125:  # most points pass the projected test here: verify the whole leaf by one product
-                    near_ = qv[g] @ v_sorted[lo:hi].T
-                    r, c = np.nonzero(near_ >= (1 - limit[g] / 2)[:, None])
-                    t = np.maximum(2 - 2 * near_[r, c], 0)
-                    ok = slice(None)
-                    passing *= 0.98
+                d2 = qn[g, None] + p_norm[None, lo:hi] - 2 * (qp[g] @ p_sorted[lo:hi].T)
+                hit = d2 <= chi * limit[g, None]
+                r, c = np.nonzero(hit)
+                if not len(r):
+                    continue
+                if 8 * len(r) > hit.size:  # most of the pairs are to be verified: one product costs less than as many single ones
+                    t = np.maximum(2 - 2 * (qv[g] @ v_sorted[lo:hi].T)[r, c], 0)
                 else:
-                    d2 = qn[g, None] + p_norm[None, lo:hi] - 2 * (qp[g] @ p_sorted[lo:hi].T)
-                    r, c = np.nonzero(d2 <= chi * limit[g, None])
-                    passing = 0.8 * passing + 0.2 * len(r) / d2.size
-                    if not len(r):
-                        continue
                     t = np.maximum(2 - 2 * np.einsum("ij,ij->i", qv[g[r]], v_sorted[lo + c]), 0)
-                    ok = t <= limit[g[r]]
-                    t = t[ok]
+                ok = t <= limit[g[r]]
+                t = t[ok]
                 if not len(t):
                     continue
                 new_q.append(g[r[ok]])
@@ -202,6 +197,11 @@ def _matrix(col: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.nda
     return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
 
 
+def _by_key(t: pa.Table) -> pa.Table:
+    """Rows in the order of their digests, so that nothing depends on the order in which they came."""
+    return t.take(pa.array(np.argsort(np.array([*t.column("key").to_pylist(), None], object)[:-1], kind="stable")))
+
+
 def fit_cells(sample: np.ndarray, cells: int) -> list:
     """Splits of the upper tree as nested tuples (dimension, value, left, right) with cell numbers as leaves."""
     counter = iter(range(cells))
@@ -233,8 +233,12 @@ def cell_of(node, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_classes(reps: DataFrame, k: int, confidence: float, m: int, least_similarity: float | None, cell_rows: int, sample_rows: int, most_cells: int = 4096, block_rows: int = 200_000, leaf: int = 256) -> DataFrame:
-    """(model, q, n, d2): for each distinct vector (model, key, vec, proj) its up to k nearest other distinct ones."""
+def nearest_classes(reps: DataFrame, k: int, confidence: float, m: int, least_similarity: float | None, cell_rows: int, sample_rows: int, block_rows: int = 200_000, leaf: int = 256) -> DataFrame:
+    """(model, q, n, d2): for each distinct vector (model, key, vec, proj) its up to k nearest other distinct ones.
+
+    There are as many cells as ``cell_rows`` asks for. The sample gives the upper cuts, at least eight sampled points to a side; where
+    more cells are needed than it can cut, a cell is cut on by ranges of a hash, so that no task grows with the collection.
+    """
     chi = chi_square_quantile(confidence, m)
     far = 4.0 if least_similarity is None else max(0.0, 2 - 2 * least_similarity) + 1e-6
     spark = reps.sparkSession
@@ -242,24 +246,31 @@ def nearest_classes(reps: DataFrame, k: int, confidence: float, m: int, least_si
     trees = {}
     for model, n in sizes.items():
         share = min(1.0, sample_rows / n)
-        rows = reps.filter((F.col("model") == model) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))).select("proj").limit(2 * sample_rows).collect()
-        p = np.frombuffer(b"".join(bytes(r["proj"]) for r in rows), np.float32).reshape(-1, m)
-        trees[model] = fit_cells(p, max(1, min(most_cells, math.ceil(n / cell_rows), max(1, len(p) // 8)))) if len(p) else 0
-    sent_trees = spark.sparkContext.broadcast(trees)  # at most most_cells splits a model
+        rows = reps.filter((F.col("model") == model) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))).select("key", "proj").limit(2 * sample_rows).collect()
+        p = np.frombuffer(b"".join(bytes(r["proj"]) for r in sorted(rows, key=lambda r: bytes(r["key"]))), np.float32).reshape(-1, m)
+        wanted = max(1, math.ceil(n / cell_rows))
+        by_cuts = max(1, min(wanted, len(p) // 8))
+        trees[model] = (fit_cells(p, by_cuts) if len(p) else 0, math.ceil(wanted / by_cuts))
+    sent_trees = spark.sparkContext.broadcast(trees)  # an eighth of the sample's size at most
 
     def assign(batches):
         for b in batches:
             models = b.column(0).to_pylist()
             p = _matrix(b.column(3)) if len(models) else np.zeros((0, m), np.float32)
             cell = np.zeros(len(models), np.int32)
+            keys = b.column(1).to_pylist()
             for x in set(models):
                 at = np.flatnonzero([y == x for y in models])
-                cell[at] = cell_of(sent_trees.value[x], p[at])
+                node, parts = sent_trees.value[x]
+                cell[at] = cell_of(node, p[at]) * parts
+                if parts > 1:
+                    cell[at] += [int.from_bytes(keys[i][:8], "little") % parts for i in at]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["model", "key", "vec", "proj", "cell"])
 
     placed = cut(reps.select("model", "key", "vec", "proj").mapInArrow(assign, "model string, key binary, vec binary, proj binary, cell int"))
 
     def local(t: pa.Table) -> pa.Table:
+        t = _by_key(t)
         p, v = _matrix(t.column("proj")), _matrix(t.column("vec"))
         keys = t.column("key")
         q, r, d = search(Tree(p, leaf), p, v, p, v, np.full(len(p), far, np.float32), k, chi, skip=np.arange(len(p)))
@@ -288,7 +299,7 @@ def nearest_classes(reps: DataFrame, k: int, confidence: float, m: int, least_si
 
     first = cut(placed.groupBy("model", "cell").applyInArrow(local, "model string, cell int, kind byte, q binary, n binary, d2 float"))
     found = first.filter("kind = 0").select("model", "q", "n", "d2")
-    if all(isinstance(x, int) for x in trees.values()):
+    if all(isinstance(x, int) and parts == 1 for x, parts in trees.values()):
         return found
     boxes: dict[str, list] = {}
     for r in first.filter("kind = 2").select("model", "cell", "q", "n").collect():  # one row per cell
@@ -324,6 +335,7 @@ def nearest_classes(reps: DataFrame, k: int, confidence: float, m: int, least_si
         schema = pa.schema([("model", pa.string()), ("q", pa.binary()), ("n", pa.binary()), ("d2", pa.float32())])
         if not guests.num_rows or not hosts.num_rows:
             return schema.empty_table()
+        guests, hosts = _by_key(guests), _by_key(hosts)
         p, w = _matrix(hosts.column("proj")), _matrix(hosts.column("vec"))
         q, r, d = search(Tree(p, leaf), p, w, _matrix(guests.column("proj")), _matrix(guests.column("vec")), guests.column("d2").to_numpy(), k, chi)
         return pa.table({"model": pa.array([hosts.column("h_model")[0].as_py()] * len(q), pa.string()), "q": guests.column("key").take(pa.array(q)), "n": hosts.column("key").take(pa.array(r)), "d2": pa.array(d)}, schema=schema)

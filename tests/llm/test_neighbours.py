@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -62,3 +64,36 @@ def test_least_similarity(spark):
     rows = rows_of(np.array([[1.0, 0], [1, 0.1], [0, 1], [-1, 0]]))
     got = {(r["id"], r["neighbour"]) for r in N.similar_vectors(frame(spark, rows), k=3, least_similarity=0.93, confidence=0.99).filter("similarity >= 0.93").collect()}
     assert got == {("v0000", "v0001"), ("v0001", "v0000")}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="needs the test tables")
+@pytest.mark.parametrize("cell_rows", [16_384, 120])
+def test_recall_of_the_registered_setting(spark, cell_rows):
+    """k = 10 and confidence 0.9, as p4_neighbours has them, against brute force over all usable vectors."""
+    v = spark.read.parquet("/root/testdata/sf0.01/vectors.parquet")
+    rows = {}
+    for r in sorted(v.collect(), key=lambda r: (r["id"], r["created_at"])):
+        e = r["embedding"]
+        if e is None or len(e) != r["dimensions"] or any(x is None or not np.isfinite(x) for x in e) or not any(e):
+            continue
+        rows[r["id"]] = (r["id"], e, f"{r['model_version']}/{len(e)}", len(e))
+    true, got = brute(list(rows.values()), 10), {}
+    for x in N.similar_vectors(v, k=10, confidence=0.9, cell_rows=cell_rows).collect():
+        got.setdefault(x["id"], set()).add(x["neighbour"])
+    assert set(got) == set(true)
+    assert np.mean([len(got[i] & true[i]) / len(true[i]) for i in true if true[i]]) >= 0.9
+
+
+def test_nothing_depends_on_the_order_of_rows_or_the_size_of_the_sample(spark):
+    r = np.random.default_rng(9)
+    rows = rows_of(r.standard_normal((5, 24))[r.integers(0, 5, 500)] + 0.3 * r.standard_normal((500, 24)))
+    lists = []
+    for seed in (1, 2):
+        d = frame(spark, [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]).repartition(3 + seed)
+        lists.append(sorted((x["id"], x["rank"], x["neighbour"]) for x in N.similar_vectors(d, k=5, confidence=0.9, cell_rows=50).collect()))
+    assert lists[0] == lists[1] and len(lists[0]) == 2500
+    # a sample too small for as many cells as are needed: cells are cut on, recall stays
+    true, got = brute(rows, 5), {}
+    for x in N.similar_vectors(frame(spark, rows), k=5, confidence=0.95, cell_rows=40, sample_rows=30).collect():
+        got.setdefault(x["id"], set()).add(x["neighbour"])
+    assert np.mean([len(got[i] & true[i]) / 5 for i in true]) >= 0.9
