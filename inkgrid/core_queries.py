@@ -262,7 +262,7 @@ def chunk_strategies(spark, d):
 
 
 def shingle_jaccard_pairs(spark, d):
-    docs = cut(_docs(spark, d).select("doc_id", "text"))
+    docs = _docs(spark, d).select("doc_id", "text")
     copies = lsh.copy_classes(docs, "doc_id", "text")
     reps = docs.join(copies.filter("id = class_id").select(C("id").alias("doc_id")), "doc_id", "left_semi")
     return lsh.similar_pairs(reps, "doc_id", "text")
@@ -273,7 +273,7 @@ def copy_classes(spark, d):
 
 
 def near_dup_clusters(spark, d):
-    return lsh.near_duplicate_classes(cut(_docs(spark, d).select("doc_id", "text")), "doc_id", "text")
+    return lsh.near_duplicate_classes(_docs(spark, d).select("doc_id", "text"), "doc_id", "text")
 
 
 def minhash_signature(spark, d):
