@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from .core_sql import SQL  # noqa: F401
 from .functions import text as T
 from .operators import dedup, keywords, lines, lsh, messages, metrics, providers, quality, search, segment, store, structure
-from .runtime import cut, table
+from .runtime import cut, shared_folder, table
+from .sources import files
 from .streaming import events as ev
 
 C = F.col
@@ -323,12 +323,14 @@ def health(spark, d):
     return metrics.health(spark).select("status")
 
 
+def _work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for what a query writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stream_dedup_replay(spark, d):
     """The feed as a stream in micro-batches, run twice into the same folders; readers merge the batches."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = (base.removeprefix("file://") if base else "") or tempfile.gettempdir()
-    os.makedirs(base, exist_ok=True)
-    work = tempfile.mkdtemp(prefix="stream-", dir=base)
+    work = _work_folder(spark, "stream")
     e = table(spark, d, "events_in")
     for attempt in range(2):
         s = spark.readStream.schema(e.schema).parquet(f"{d}/events_in.parque[t]")
@@ -336,6 +338,79 @@ def stream_dedup_replay(spark, d):
     return messages.keep_one(spark.read.parquet(f"{work}/out/main"), keep_unidentified=False).select("delivery_seq", "message_key")
 
 
+def retry_until_dead(spark, d):
+    """Some events fail at every delivery until they are dead, others succeed at the third: attempts travel with the pending events."""
+    new = cut(messages.keep_one(table(spark, d, "events_in"), keep_unidentified=False).drop("message_key"))
+
+    def work(df, i):
+        bad = (C("delivery_seq") % 11 == 0) | ((C("delivery_seq") % 7 == 0) & (C("attempt_count") < 2))
+        return df.filter(~bad), df.filter(bad)
+
+    pending, out = None, None
+    for k in range(5):  # as many deliveries as an event gets
+        o = ev.deliver(new if k == 0 else new.limit(0), pending, work, k, now=f"2031-01-01 00:0{k}:30", seconds=2)
+        pending = cut(o.pending)
+        r = o.results.select("event_id", "attempt_count", F.lit("done").alias("outcome")).unionByName(o.dead.select("event_id", "attempt_count", F.lit("dead").alias("outcome")))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def transaction_commit(spark, d):
+    """Vectors and chunks of two batches and of one that broke off before its mark: only the first two are there to read."""
+    work = _work_folder(spark, "commit")
+    v, c = _vectors(spark, d, "id", "hash", "created_at"), _chunks(spark, d, "id", "vector_id", "created_at")
+    old = C("created_at") < F.lit(SPLIT_TIME).cast("timestamp")
+    store.publish_together({"vectors": v.filter(old), "chunks": c.filter(old)}, work, 1)
+    for _ in range(2):  # a replay changes nothing
+        store.publish_together({"vectors": v.filter(~old), "chunks": c.filter(~old)}, work, 2)
+    store.publish(v.withColumn("id", F.concat(F.lit("lost-"), "id")), f"{work}/vectors", 3)
+    both = store.read_together(spark, work, "vectors", "id string, hash string, created_at timestamp").select("id", F.lit("vectors").alias("of"))
+    return both.unionByName(store.read_together(spark, work, "chunks", "id string, vector_id string, created_at timestamp").select("id", F.lit("chunks").alias("of")))
+
+
+def documents_insert(spark, d):
+    """Uploads written to the documents table in two batches, one of them twice, and read back."""
+    work = _work_folder(spark, "documents")
+    u = store.latest(table(spark, d, "uploads"), "id", "updated_at")
+    for part, batch in (("default", 1), ("other", 2), ("other", 2)):
+        files.insert_documents(u.filter((C("tenant_id") == "default") == F.lit(part == "default")), work, batch)
+    return files.read_documents(spark, work).select("id", "tenant_id", "checksum", "file_size")
+
+
+STOP_WORDS = ("the", "of", "and", "to", "in", "is", "was", "that", "for", "with", "on", "as", "by", "from", "der", "die", "und", "los", "las", "que")
+HONORIFICS = ("mr", "mrs", "ms", "dr", "prof", "st", "sr", "sra", "fig", "sec")
+
+
+def quality_score_stop_words(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(quality.quality_score(C("text"), STOP_WORDS), 6).alias("score"))
+
+
+def keywords_stop_words(spark, d):
+    return keywords.top_keywords(_docs(spark, d), "doc_id", "text", 8, STOP_WORDS).select(C("id").alias("doc_id"), "rank", "keyword", F.round("score", 6).alias("score"))
+
+
+def sentence_split_honorifics(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(segment.sentences(C("text"), HONORIFICS)).alias("sentence_no", "sentence"))
+
+
+def chunk_paragraph_production(spark, d):
+    """Paragraphs at the production budget of 450 words with an overlap of 80."""
+    return segment.pack_units(segment.paragraph_units(_lines(spark, d)), 450, 80).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "first_unit", "last_unit", "content", "start_char_offset", "end_char_offset")
+
+
+def chunk_sentence_production(spark, d):
+    return segment.pack_units(segment.sentence_units(_lines(spark, d)), 450, 80).select("document_id", C("chunk_index").cast("bigint").alias("chunk_index"), "first_unit", "last_unit", "content", "start_char_offset", "end_char_offset")
+
+
+def lsh_index_probe(spark, d):
+    """New documents (odd ids) probed against the stored index of the others."""
+    work = _work_folder(spark, "index")
+    rows = lsh.buckets(lsh.signatures(_docs(spark, d).filter("doc_id % 2 = 0"), "doc_id", "text"))
+    path = store.publish(rows, work, 1)
+    new = lsh.buckets(lsh.signatures(_docs(spark, d).filter("doc_id % 2 = 1"), "doc_id", "text"))
+    return lsh.probe(new, spark.read.schema("band int, bucket_key string, id bigint").parquet(path))
+
+
 def p3_found(spark, d):
     return messages.repeated_deliveries(table(spark, d, "events_in"))
 
@@ -357,6 +432,8 @@ QUERIES = {
         token_windows, char_windows, chunk_paragraph, chunk_sentence, chunk_strategies,
         shingle_jaccard_pairs, copy_classes, near_dup_clusters, minhash_signature, lsh_candidates, structure_elements, embed_documents,
         event_parse_dlq, dead_letters, retry_backoff_plan, request_counters, latency_histogram, health, stream_dedup_replay,
+        retry_until_dead, transaction_commit, documents_insert, quality_score_stop_words, keywords_stop_words, sentence_split_honorifics,
+        chunk_paragraph_production, chunk_sentence_production, lsh_index_probe,
         p3_found, p3_kept,
     )
 }

@@ -119,7 +119,45 @@ _SHINGLES = f"""
     x AS (SELECT id, len(sh) AS n, unnest(sh) AS v FROM s),
     pairs AS (SELECT a.id AS id_a, b.id AS id_b, round(count(*) / (a.n + b.n - count(*))::DOUBLE, 6) AS jaccard FROM x a JOIN x b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING round(count(*) / (a.n + b.n - count(*))::DOUBLE, 6) >= 0.8)"""
 
+STOP_WORDS = ("the", "of", "and", "to", "in", "is", "was", "that", "for", "with", "on", "as", "by", "from", "der", "die", "und", "los", "las", "que")
+HONORIFICS = ("mr", "mrs", "ms", "dr", "prof", "st", "sr", "sra", "fig", "sec")
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_TRIMMED = "trim(w, '.,!?;:\"''()[]{}')"
+_STOP_RATIO = f"CASE WHEN w > 0 THEN len(list_filter({words('lower(t)')}, lambda w: list_contains({_STOPS}, {_TRIMMED}))) / w::DOUBLE ELSE 0.0 END"
+
+
+def _strategy_sql(name: str, version: str, chunks: str) -> str:
+    return f"SELECT '{name}' AS strategy, '{version}' AS parser_version, count(*) AS chunks, sum(len({words('content')}))::BIGINT AS tokens FROM ({chunks})"
+
+
+def _token_windows_sql(size: int, step: int) -> str:
+    return f"WITH t AS (SELECT document_id, {words('string_agg(' + _T + ', ' + chr(39) + ' ' + chr(39) + ' ORDER BY line_no)')} AS w FROM {_LINES} GROUP BY document_id), a AS (SELECT document_id, w, {_windows_sql('len(w)', size, step)} AS st FROM t WHERE len(w) > 0) SELECT array_to_string(w[a + 1:a + {size}], ' ') AS content FROM (SELECT document_id, w, unnest(st) AS a FROM a)"
+
+
+def _char_windows_sql(size: int, step: int) -> str:
+    return f"WITH t AS (SELECT document_id, string_agg(text, chr(10) ORDER BY line_no) || chr(10) AS x FROM {_LINES} GROUP BY document_id), a AS (SELECT document_id, x, {_windows_sql('length(x)', size, step)} AS st FROM t) SELECT substring(x, a + 1, {size}) AS content FROM (SELECT x, unnest(st) AS a FROM a)"
+
+
 SQL = {
+    "fnv_hash": f"SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::INT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::HUGEINT)::VARCHAR AS hash FROM {_DOCS}",
+    "retry_until_dead": f"SELECT event_id, CASE WHEN delivery_seq % 11 = 0 THEN 5 WHEN delivery_seq % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS attempt_count, CASE WHEN delivery_seq % 11 = 0 THEN 'dead' ELSE 'done' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY message_key ORDER BY delivery_seq) AS n FROM ({_UUID}) WHERE message_key IS NOT NULL) WHERE n = 1 AND coalesce(trim(document_id), '') <> ''",
+    "transaction_commit": "SELECT DISTINCT id, 'vectors' AS of FROM vectors UNION ALL SELECT DISTINCT id, 'chunks' FROM chunks",
+    "documents_insert": f"SELECT id, tenant_id, checksum, file_size FROM {_U}",
+    "quality_score_stop_words": f"SELECT doc_id, round(CASE WHEN b < 20 OR w < 4 THEN 0.0 WHEN alpha < 0.35 THEN 0.1 WHEN h < 2.2 OR h > 6.8 THEN 0.2 ELSE least(1.0, 0.4 * alpha + 0.4 * ({_STOP_RATIO}) + 0.2 * (h / 7.0)) END, 6) AS score FROM {_SCORED}",
+    "keywords_stop_words": _PHRASES.replace("strlen(w) <= 2", f"strlen(w) <= 2 OR list_contains({_STOPS}, w)") + ", k AS (SELECT DISTINCT doc_id, array_to_string(ws, ' ') AS keyword, ws FROM p), s AS (SELECT k.doc_id, keyword, sum((degree + freq) / freq::DOUBLE) AS score FROM (SELECT doc_id, keyword, unnest(ws) AS word FROM k) k JOIN w ON w.doc_id = k.doc_id AND w.word = k.word GROUP BY ALL) SELECT doc_id, rank::INT AS rank, keyword, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, keyword) AS rank FROM s) WHERE rank <= 8",
+    "sentence_split_honorifics": f"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {trim('x')}), lambda x: x <> '') AS s FROM {_DOCS}), u AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM s), g AS (SELECT *, list_contains([{', '.join(repr(h) for h in HONORIFICS)}], trim(lower(list_last({words('x')})), '.!?,\"')) AS open FROM u), h AS (SELECT *, sum(CASE WHEN prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, coalesce(lag(open) OVER (PARTITION BY doc_id ORDER BY i), false) AS prev FROM g)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS sentence_no, sentence FROM (SELECT doc_id, k, string_agg(x, ' ' ORDER BY i) AS sentence FROM h GROUP BY doc_id, k)",
+    "chunk_paragraph_production": _pack_sql(_PARA_UNITS, 450, 80),
+    "chunk_sentence_production": _pack_sql(_SENT_UNITS, 450, 80),
+    "chunk_strategies": " UNION ALL ".join(
+        _strategy_sql(name, version, chunks)
+        for name, version, chunks in (
+            ("exact", "tiktoken-exact-1.0", _token_windows_sql(450, 370)),
+            ("paragraph", "tiktoken-paragraph-1.0", _pack_sql(_PARA_UNITS, 450, 80)),
+            ("sentence", "tiktoken-sentence-1.0", _pack_sql(_SENT_UNITS, 450, 80)),
+            ("character-based", "character-based-1.0", _char_windows_sql(1800, 1480)),
+            ("other", "tiktoken-paragraph-1.0", _pack_sql(_PARA_UNITS, 450, 80)),
+        )
+    ),
     "similarity_search": _search_sql(""),
     "similarity_search_tenant": _search_sql("default"),
     "similarity_threshold_count": f"WITH s AS (SELECT CASE WHEN len(embedding) = len(q) THEN list_cosine_similarity(embedding::DOUBLE[], q) END AS s FROM {_V} v, {_Q} WHERE CASE WHEN {_OK} THEN len(embedding) = len(q) ELSE false END) SELECT threshold, count(*) FILTER (s >= threshold) AS n FROM s, (SELECT unnest([0.18, 0.3, 0.5]::DOUBLE[]) AS threshold) GROUP BY threshold",

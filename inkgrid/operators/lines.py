@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,16 +12,22 @@ def split_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, page, text): the lines of each text; a form feed begins a page.
 
     Fragments that a form feed leaves blank are dropped; blank lines without one stay, as they end paragraphs. The page is one
-    more than the form feeds before the line, found by a running count inside the row, so nothing is shuffled.
+    more than the form feeds before the line. All is done inside the row, so nothing is shuffled.
     """
     pages = F.split(F.col(f"`{text_col}`"), "\f", -1)
-    page = F.posexplode(pages).alias("_p", "_t")
-    a = df.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.size(pages).alias("_n"), page)
-    b = a.select("id", "_n", "_p", F.size(F.split("_t", "\n", -1)).alias("_m"), F.posexplode(F.split("_t", "\n", -1)).alias("_l", "text"))
-    torn = ((F.col("_l") == 0) & (F.col("_p") > 0)) | ((F.col("_l") == F.col("_m") - 1) & (F.col("_p") < F.col("_n") - 1))
-    kept = b.filter(~(torn & (T.trim_ws(F.col("text")) == "")))
-    w = Window.partitionBy("id").orderBy("_p", "_l")
-    return kept.select("id", F.row_number().over(w).alias("line_no"), (F.col("_p") + 1).alias("page"), "text")
+
+    def lines_of(p: Column, i: Column) -> Column:
+        ls = F.split(p, "\n", -1)
+
+        def keep(x: Column, k: Column) -> Column:
+            torn = ((k == 0) & (i > 0)) | ((k == F.size(ls) - 1) & (i < F.size(pages) - 1))
+            return ~(torn & (T.trim_ws(x) == ""))
+
+        return F.transform(F.filter(ls, keep), lambda x: F.struct((i + 1).alias("page"), x.alias("text")))
+
+    rows = F.flatten(F.transform(pages, lines_of))
+    d = df.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.posexplode(rows).alias("_k", "_x"))
+    return d.select("id", (F.col("_k") + 1).alias("line_no"), F.col("_x.page").alias("page"), F.col("_x.text").alias("text"))
 
 
 def remove_running_lines(lines: DataFrame) -> DataFrame:

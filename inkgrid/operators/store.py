@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,23 @@ def publish(df: DataFrame, path: str, batch_id: int | str) -> str:
     to = f"{path}/batch={batch_id}"
     df.write.mode("overwrite").parquet(to)
     return to
+
+
+def publish_together(tables: dict[str, DataFrame], path: str, batch_id: int | str) -> None:
+    """Writes the batches of several tables as one transaction: readers see all of them or none.
+
+    Every table's rows go to a folder of the batch first; the batch counts once its mark, written last, is there. A replay replaces
+    folders and mark and changes nothing.
+    """
+    for name, df in tables.items():
+        publish(df, f"{path}/{name}", batch_id)
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(str(batch_id), ",".join(sorted(tables)))], "batch string, tables string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_committed_batches/batch={batch_id}")
+
+
+def read_together(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The rows of a table in all batches whose transaction was completed."""
+    rows = spark.read.option("basePath", f"{path}/{name}").schema(schema + ", batch string").parquet(f"{path}/{name}")
+    marks = spark.read.schema("tables string, batch string").option("basePath", f"{path}/_committed_batches").parquet(f"{path}/_committed_batches/batch=*")
+    done = marks.filter(F.array_contains(F.split("tables", ","), name)).select("batch")
+    return rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # one row per batch

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..operators import dedup, keywords, lines, providers, quality, search, segment, store
+from ..operators import dedup, keywords, lines, lsh, providers, quality, search, segment, store
+from ..runtime import cut
 from ..sources import files
 
 
@@ -40,9 +41,9 @@ def process(document_lines: DataFrame, vectors: DataFrame, chunks_stored: DataFr
     c = segment.chunk_documents(clean, cfg.chunk_strategy, cfg.chunk_budget, cfg.chunk_overlap, cfg).withColumn("hash", T.canonical_hash(F.col("content"))).withColumn("created_at", F.lit(at).cast("timestamp"))
     d = dedup.dedup_chunks(c, vectors, ["document_id", "chunk_index"])
     dups, fresh = dedup.split_duplicates(d)
-    good = enrich(fresh.drop("language", "token_count"), cfg)
+    good = cut(enrich(fresh.drop("language", "token_count"), cfg))  # both results read it; no chunk is embedded twice
     text = "normalized" if cfg.embed_on == "normalized" else "content"
-    new_vectors = providers.vector_rows(providers.embed(good, text, dimensions=cfg.embed_dimensions, batch=cfg.embed_batch), model_version)
+    new_vectors = cut(providers.vector_rows(providers.embed(good, text, dimensions=cfg.embed_dimensions, batch=cfg.embed_batch), model_version))
     merged = store.upsert_vectors(vectors.select("id", "hash", "embedding", "model_version", "dimensions", "created_at"), new_vectors)
     cols = ["id", "document_id", "chunk_index", "content", "hash", "created_at", "start_page", "end_page", "language", "parser_version", "token_count", "entities", "keywords"]
     kept = good.withColumn("content", F.col("normalized")).select(*cols).unionByName(dups.select(*[c_ for c_ in cols if c_ not in ("entities", "keywords")]), allowMissingColumns=True)
@@ -50,6 +51,19 @@ def process(document_lines: DataFrame, vectors: DataFrame, chunks_stored: DataFr
     return merged, linked.join(chunks_stored.select("document_id", "chunk_index"), ["document_id", "chunk_index"], "left_anti")
 
 
+def near_duplicates(chunks: DataFrame, index: DataFrame, cfg: EngineConfig, text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(chunks with ``near_id``, bucket rows to append to the index): new chunks probed against the stored index and against each other.
+
+    With ``enrich_duplicates`` unset nothing is probed and ``near_id`` is null.
+    """
+    if not cfg.enrich_duplicates:
+        return chunks.withColumn("near_id", F.lit(None).cast("string")), index.limit(0)
+    rows = cut(lsh.buckets(lsh.signatures(chunks, "id", text, cfg.minhash_count), cfg.minhash_bands))
+    stored, own = lsh.probe(rows, index), lsh.probe(rows)
+    near = stored.select("id", "near_id", F.lit(0).alias("o")).unionByName(own.select("id", "near_id", F.lit(1).alias("o"))).groupBy("id").agg(F.min_by("near_id", "o").alias("near_id"))
+    return chunks.join(near, "id", "left"), rows
+
+
 def answer(query: str, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, cfg: EngineConfig, tenant: str = "", top_k: int | None = None, min_similarity: float | None = None, embedder: str = "default") -> DataFrame:
     """Results of a text query; a blank one is an error."""
     q = query.strip()

@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import text as T
 from ..operators import providers
 from ..operators.lines import split_pages
+from ..operators.store import publish
 
 
 def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -18,8 +19,29 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def write_objects(objects: DataFrame, path: str) -> None:
-    """Stores the content of objects under their key, as a table that :func:`stored_objects` reads; a key is written once."""
-    objects.select("file_key", "content").dropDuplicates(["file_key"]).write.mode("append").parquet(path)
+    """Stores the content of objects under their key, as a table that :func:`stored_objects` reads.
+
+    A key is written once: of repeated ones the content of the least digest, and none that the table has already.
+    """
+    o = objects.filter(F.col("file_key").isNotNull()).groupBy("file_key").agg(F.min_by("content", F.sha2("content", 256)).alias("content"))
+    old = stored_objects(objects.sparkSession, path).select("file_key") if _exists(objects.sparkSession, path) else None
+    (o if old is None else o.join(old, "file_key", "left_anti")).write.mode("append").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def insert_documents(documents: DataFrame, path: str, batch_id: int | str) -> str:
+    """Writes new documents as one batch of the documents table: all of them or none, and a replay of the batch changes nothing."""
+    cols = [f.split()[0] for f in schemas.DOCUMENTS.split(", ")]
+    return publish(documents.select(*cols), path, batch_id)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of all batches."""
+    return spark.read.schema(schemas.DOCUMENTS).parquet(f"{path}/batch=*")
 
 
 def stored_objects(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
@@ -60,6 +82,10 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -
 
 
 def document_events(documents: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """document.created events; with ``chunks`` only for documents that have none (also those whose first event was lost)."""
+    """document.created events; with ``chunks`` only for documents that have none (also those whose first event was lost).
+
+    The trace context of the request (``traceparent``, ``tracestate``) goes along where the documents carry one.
+    """
+    trace = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("traceparent", "tracestate")]
     d = documents if chunks is None else documents.join(chunks.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
-    return d.select(T.stable_id(F.lit("event"), F.col("id")).alias("event_id"), F.lit("document.created").alias("event_type"), F.col("id").alias("document_id"), "tenant_id", "name", "file_key", "file_size", "content_type", F.col("created_at").alias("timestamp"))
+    return d.select(T.stable_id(F.lit("event"), F.col("id")).alias("event_id"), F.lit("document.created").alias("event_type"), F.col("id").alias("document_id"), "tenant_id", "name", "file_key", "file_size", "content_type", F.col("created_at").alias("timestamp"), *trace)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from .. import schemas
 from ..operators import messages
@@ -23,9 +25,11 @@ def route(events: DataFrame, attempts: DataFrame | None = None, max_deliveries:
     """Adds ``target`` (process, skip or dlq) and ``error_reason``.
 
     Undecodable events and those out of attempts are dead; events without a document are successes without work.
-    ``attempts``: event_id, attempt_count of failures so far.
+    ``attempts``: event_id, attempt_count of failures so far; events may bring an ``attempt_count`` of their own.
     """
-    e = events.join(attempts.select("event_id", "attempt_count"), "event_id", "left") if attempts is not None else events.withColumn("attempt_count", F.lit(0).cast("bigint"))
+    if attempts is not None:
+        events = events.drop("attempt_count").join(attempts.select("event_id", "attempt_count"), "event_id", "left")
+    e = events if "attempt_count" in events.columns else events.withColumn("attempt_count", F.lit(0).cast("bigint"))
     n = F.coalesce("attempt_count", F.lit(0))
     corrupt, empty = F.col("_corrupt_record").isNotNull(), F.coalesce(F.trim("document_id"), F.lit("")) == ""
     target = F.when(corrupt | (n >= max_deliveries), "dlq").when(empty, "skip").otherwise("process")
@@ -53,17 +57,64 @@ def deduplicated(stream: DataFrame, ttl: str = "7 days", time_col: str = "timest
     return keyed.withWatermark(time_col, ttl).dropDuplicatesWithinWatermark(["message_key"])
 
 
-def run(stream: DataFrame, process: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Processes a stream in micro-batches. Results and dead letters of a batch replace what an earlier attempt of it wrote, so that
-    a replay after a failure changes nothing; the checkpoint advances only after both are written."""
+Process = Callable[[DataFrame, int], "DataFrame | tuple[DataFrame, DataFrame]"]
+
+
+class Outcome(NamedTuple):
+    """What one delivery of some events came to: results, dead letters and what waits for its next delivery."""
+
+    results: DataFrame
+    dead: DataFrame
+    pending: DataFrame
+
+
+def deliver(new: DataFrame, pending: DataFrame | None, process: Process, batch_id: int = 0, now: str | None = None, key: str = "event_id", max_deliveries: int = 5, seconds: int = 2) -> Outcome:
+    """Delivers new events and the pending ones that are due.
+
+    ``process`` gives its results, or results and failures: rows with ``key``. A failed event waits ``seconds`` times its attempts and goes to
+    the dead letters at the last one; its attempts travel with it in ``pending`` (the event's columns, attempt_count, due).
+    """
+    t = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    fresh = new.withColumn("attempt_count", F.lit(0).cast("bigint"))
+    later = None
+    if pending is not None:
+        fresh = fresh.unionByName(pending.filter(F.col("due") <= t).drop("due"), allowMissingColumns=True)
+        later = pending.filter(F.col("due") > t)
+    routed = route(fresh, max_deliveries=max_deliveries)
+    work = routed.filter("target = 'process'")
+    done = process(work.drop("target", "error_reason"), batch_id)
+    results, failures = done if isinstance(done, tuple) else (done, None)
+    dead = dead_letters(routed, now)
+    cols = [*new.columns, "attempt_count"]
+    if failures is None:
+        waiting = work.limit(0).select(*cols).withColumn("due", t)
+    else:
+        failed = work.join(failures.select(key).distinct(), key, "left_semi").withColumn("attempt_count", F.col("attempt_count") + 1)
+        out = failed.filter(F.col("attempt_count") >= max_deliveries).withColumn("target", F.lit("dlq")).withColumn("error_reason", F.lit("max deliveries"))
+        dead = dead.unionByName(dead_letters(out, now))
+        waiting = failed.filter(F.col("attempt_count") < max_deliveries).select(*cols).withColumn("due", t + F.make_interval(secs=(F.col("attempt_count") * seconds).cast("decimal(18,6)")))
+    return Outcome(results, dead, waiting if later is None else waiting.unionByName(later.select(*waiting.columns)))
+
+
+def run(stream: DataFrame, process: Process, out: str, checkpoint: str, available_now: bool = True, key: str = "event_id", max_deliveries: int = 5, seconds: int = 2) -> StreamingQuery:
+    """Processes a stream in micro-batches. Results, dead letters and the pending events of a batch replace what an earlier attempt of it wrote, so that
+    a replay after a failure changes nothing; the checkpoint advances only after all are written.
+
+    Pending events of the batch before are delivered again when they are due; each batch leaves all that still wait, so only one folder is read.
+    """
 
     def each(df: DataFrame, batch_id: int) -> None:
-        routed = route(df).persist()
+        spark = df.sparkSession
+        schema = StructType([*df.schema.fields, StructField("attempt_count", LongType()), StructField("due", TimestampType())])
+        pending = spark.read.schema(schema).parquet(f"{out}/pending/batch={batch_id - 1}") if batch_id else None
+        df = df.persist()
         try:
-            publish(process(routed.filter("target = 'process'"), batch_id), f"{out}/main", batch_id)
-            publish(dead_letters(routed), f"{out}/dlq", batch_id)
+            o = deliver(df, pending, process, batch_id, key=key, max_deliveries=max_deliveries, seconds=seconds)
+            publish(o.results, f"{out}/main", batch_id)
+            publish(o.dead, f"{out}/dlq", batch_id)
+            publish(o.pending, f"{out}/pending", batch_id)
         finally:
-            routed.unpersist()
+            df.unpersist()
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -233,3 +233,21 @@ def test_stored_objects(spark, tmp_path):
     files.write_objects(o, str(tmp_path / "objects"))
     assert files.stored_objects(spark, str(tmp_path / "objects")).count() == 2
     assert [bytes(r["content"]) for r in files.stored_objects(spark, str(tmp_path / "objects"), o.filter("file_key = 'k2'")).collect()] == [b"y"]
+
+
+def test_batches_of_several_tables_are_read_together_or_not_at_all(spark, tmp_path):
+    a, b = spark.createDataFrame([("a1",), ("a2",)], "id string"), spark.createDataFrame([("b1",)], "id string")
+    for _ in range(2):
+        store.publish_together({"a": a, "b": b}, str(tmp_path), 1)
+    store.publish(a.limit(1), f"{tmp_path}/a", 2)  # a batch that broke off before its mark
+    assert store.read_together(spark, str(tmp_path), "a", "id string").count() == 2
+    assert store.read_together(spark, str(tmp_path), "b", "id string").count() == 1
+
+
+def test_statistics_of_a_text(spark):
+    from inkgrid.functions import text as T
+
+    d = spark.createDataFrame([("  Ab 12 c\u3000\u00e9 ",), ("",), (None,), ("\u5b57" * 3,), ("x" * 100_000,)], "t string")
+    got = [tuple(r["s"]) for r in d.select(T.text_stats(F.col("t")).alias("s")).collect()]
+    assert got[0][:6] == (12, 9, 4, 4, 2, 1) and got[1] == (0, 0, 0, 0, 0, 0, 0.0) and got[2] == (None,) * 7
+    assert got[3] == (9, 3, 1, 3, 0, 0, 0.0) and got[4][1] == 100_000

@@ -25,3 +25,16 @@ def test_from_upload_to_answer(spark):
     c = chunks.withColumn("metadata", F.struct(F.lit("t").alias("tenant_id")))
     hits = pipeline.answer("glossary of terms and the shipping manifest", c, vectors, docs, cfg, min_similarity=0.2).collect()
     assert hits and "glossary" in hits[0]["content"]
+
+
+def test_near_duplicates_of_new_chunks(spark):
+    a = "the night operator counted the tenant settings during the nightly run and the parser stored them all in the archive of the office"
+    c = spark.createDataFrame([("c1", a), ("c2", a + " again"), ("c3", "something else that nobody has written before in any of these many texts")], "id string, content string")
+    index = spark.createDataFrame([], "band int, bucket_key string, id string")
+    off, none = pipeline.near_duplicates(c, index, EngineConfig())
+    assert off.filter("near_id is not null").count() == 0 and none.count() == 0
+    cfg = EngineConfig(enrich_duplicates=True)
+    first, rows = pipeline.near_duplicates(c, index, cfg)
+    assert {r["id"]: r["near_id"] for r in first.collect()} == {"c1": None, "c2": "c1", "c3": None} and rows.count() == 3 * 16
+    again, _ = pipeline.near_duplicates(spark.createDataFrame([("n1", a)], "id string, content string"), rows, cfg)
+    assert again.first()["near_id"] == "c1"

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,43 @@ def test_upload_sources(spark, tmp_path):
     assert sorted(r["reason"] for r in bad.collect()) == ["file is required", "name is required"]
     files.write_events(files.document_events(ok.withColumn("created_at", F.lit("2030-01-01").cast("timestamp"))), str(tmp_path / "ev"))
     assert files.read_events(spark, str(tmp_path / "ev")).select("event_type", "document_id").first()["event_type"] == "document.created"
+
+
+def test_a_failing_event_is_delivered_again_until_it_is_dead(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(4):
+        (src / f"{k}.json").write_text(json.dumps({"event_id": f"e{k}", "document_id": "bad" if k in (0, 3) else "d"}))
+        os.utime(src / f"{k}.json", (1_900_000_000 + k, 1_900_000_000 + k))  # files come in the order of their times
+    s = files.stream_events(spark, str(src), 1)
+    q = ev.run(s, lambda df, i: (df.filter("document_id = 'd'"), df.filter("document_id = 'bad'")), str(tmp_path / "out"), str(tmp_path / "state"), max_deliveries=3, seconds=0)
+    q.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out/main")).collect()) == ["e1", "e2"]
+    dead = spark.read.parquet(str(tmp_path / "out/dlq")).collect()
+    assert [(r["event_id"], r["attempt_count"], r["error_reason"]) for r in dead] == [("e0", 3, "max deliveries")]
+    left = spark.read.parquet(str(tmp_path / "out/pending/batch=3")).collect()
+    assert [(r["event_id"], r["attempt_count"]) for r in left] == [("e3", 1)]
+
+
+def test_pending_events_wait_until_they_are_due(spark):
+    new = spark.createDataFrame([("a", "d"), ("b", "d")], "event_id string, document_id string").withColumn("_corrupt_record", F.lit(None).cast("string"))
+    for c in ("event_type", "tenant_id", "name", "file_key", "content_type"):
+        new = new.withColumn(c, F.lit(None).cast("string"))
+    new = new.withColumn("file_size", F.lit(1).cast("bigint")).withColumn("timestamp", F.lit("2030-01-01").cast("timestamp"))
+    fail_a = lambda df, i: (df.filter("event_id <> 'a'"), df.filter("event_id = 'a'"))
+    o = ev.deliver(new, None, fail_a, now="2030-01-01 00:00:00")
+    assert [r["event_id"] for r in o.results.collect()] == ["b"] and [(r["attempt_count"], str(r["due"])[-8:]) for r in o.pending.collect()] == [(1, "00:00:02")]
+    early = ev.deliver(new.limit(0), o.pending, fail_a, now="2030-01-01 00:00:01")
+    assert early.results.count() == 0 and early.pending.count() == 1 and early.dead.count() == 0
+    late = ev.deliver(new.limit(0), o.pending, lambda df, i: df, now="2030-01-01 00:00:02")
+    assert [(r["event_id"], r["attempt_count"]) for r in late.results.collect()] == [("a", 1)] and late.pending.count() == 0
+
+
+def test_objects_are_written_once_and_events_carry_their_trace(spark, tmp_path):
+    o = spark.createDataFrame([("k1", bytearray(b"b")), ("k1", bytearray(b"a")), (None, bytearray(b"x"))], "file_key string, content binary")
+    for _ in range(2):
+        files.write_objects(o, str(tmp_path / "obj"))
+    assert files.stored_objects(spark, str(tmp_path / "obj")).count() == 1
+    d = spark.createDataFrame([("d", "t", "n", "k", 1, "pdf", "00-abc-01", None)], "id string, tenant_id string, name string, file_key string, file_size bigint, content_type string, traceparent string, tracestate string").withColumn("created_at", F.lit("2030-01-01").cast("timestamp"))
+    r = files.document_events(d).first()
+    assert (r["traceparent"], r["tracestate"]) == ("00-abc-01", None) and files.document_events(d.drop("traceparent", "tracestate")).first()["traceparent"] is None
