@@ -5,7 +5,8 @@ time; of equally strong cuts the rightmost wins. The next piece begins the overl
 
 Defined results: a null content gives no piece; an empty or blank one, or one within the limits, gives a single piece
 (of the whole text) only if asked for with ``all_rows``; a longer text of white space only gives one empty piece; a text without any boundary is cut at the last code point that
-is allowed, never between a base and its combining mark. Repeated rows of one id give one result.
+is allowed, never between a base and its combining mark. Of repeated rows of one id the latest above a limit counts (by ``created_at`` where
+there is one, then by content), and only it.
 """
 
 from __future__ import annotations
@@ -52,13 +53,13 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: the rightmost position of the maximum of any range."""
+    """Sparse table: the rightmost position of the maximum of any range of at most ``longest`` places."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, longest: int):
         row = values * (1 << 32) + np.arange(len(values))
         self.rows = [row]
         k = 1
-        while 2 * k <= len(values):
+        while 2 * k <= min(len(values), longest):
             row = np.maximum(row[:-k], row[k:])
             self.rows.append(row)
             k *= 2
@@ -98,7 +99,7 @@ def split_text(text: str, max_tokens: int, max_chars: int, overlap_tokens: int,
         return [(0, n, len(words), 0)]
     if not words:
         return [(0, 0, 0, 0)]
-    table = RangeMax(strengths(text))
+    table = RangeMax(strengths(text), max_chars + 1)
     out, a, back, past = [], int(w_start[0]) if len(w_start) else 0, 0, 0
     n_end = int(w_end[-1]) if len(w_end) else n
     while True:
@@ -134,6 +135,14 @@ def split_text(text: str, max_tokens: int, max_chars: int, overlap_tokens: int,
         a, back = nxt, count(nxt, end)
 
 
+def _latest(big: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of the latest version of each id. Only ids, times and hashes are compared; rows that are equal in them all stay."""
+    at = F.col("created_at") if "created_at" in big.columns else F.lit(None).cast("timestamp")
+    keyed = big.withColumn("_v", F.struct(at.alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
+    last = keyed.groupBy(F.col(f"`{id_col}`").alias("_k")).agg(F.max("_v").alias("_m"))
+    return keyed.join(last, F.col(f"`{id_col}`").eqNullSafe(F.col("_k")) & F.col("_v").eqNullSafe(F.col("_m"))).drop("_v", "_k", "_m")
+
+
 def oversized_pieces(chunks: DataFrame, max_tokens: int, max_chars: int, overlap_tokens: int, id_col: str = "id", text_col: str = "content", least: float = 0.5) -> DataFrame:
     """(id, n_chars, piece_no, start_char, end_char, token_count, overlap_tokens, piece) of each item above a limit.
 
@@ -141,7 +150,7 @@ def oversized_pieces(chunks: DataFrame, max_tokens: int, max_chars: int, overlap
     shuffled but the finished pieces, which make repeated rows one.
     """
     text = F.col(f"`{text_col}`")
-    big = chunks.filter((F.length(text) > max_chars) | (F.size(F.split(F.trim(text), r"(?U)\s+")) > max_tokens)).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    big = _latest(chunks.filter((F.length(text) > max_chars) | (F.size(F.split(F.trim(text), r"(?U)\s+")) > max_tokens)), id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     schema = "id string, n_chars int, piece_no int, start_char int, end_char int, token_count int, overlap_tokens int, piece string"
 
     def pieces(batches):
@@ -172,8 +181,9 @@ def chunk_pieces(chunks: DataFrame, documents: DataFrame, size_limits: DataFrame
     """
     max_tokens, overlap, max_chars = limits(size_limits, "chunk")
     p = oversized_pieces(chunks, max_tokens, max_chars, overlap)
-    meta = chunks.select("id", "document_id", F.col("metadata.start_char_offset").alias("a"), F.col("metadata.end_char_offset").alias("e"), F.length("content").alias("n"), "content")
-    meta = meta.filter((F.col("n") > max_chars) | (F.size(F.split(F.trim("content"), r"(?U)\s+")) > max_tokens)).dropDuplicates(["id"])
+    big = _latest(chunks.filter((F.length("content") > max_chars) | (F.size(F.split(F.trim("content"), r"(?U)\s+")) > max_tokens)), "id", "content")
+    meta = big.select("id", "document_id", F.col("metadata.start_char_offset").alias("a"), F.col("metadata.end_char_offset").alias("e"), F.length("content").alias("n"), "content")
+    meta = meta.groupBy("id").agg(F.max(F.struct("document_id", "a", "e", "n", "content")).alias("m")).select("id", "m.*")
     trusted = F.col("e") - F.col("a") == F.col("n")
     lost = meta.filter(~F.coalesce(trusted, F.lit(False))).select("id", "document_id", "content")
     texts = documents.select(F.col("document_id"), F.col("text")).filter(F.col("text").isNotNull())

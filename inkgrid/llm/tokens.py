@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import base64
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..operators.segment import load_bpe
+
 #: Where the vocabularies of the public tokenizers lie; a parameter of every operator that sizes texts.
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
-#: Fixed value: the pattern that this vocabulary's tokenizer splits text by before merging.
-SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _cache: dict[int, object] = {}
 
 
@@ -21,10 +19,7 @@ def encoder(ranks: bytes):
     """The tokenizer of a rank file's bytes, made once in each worker process."""
     k = hash(ranks)
     if k not in _cache:
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _cache[k] = tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=table, special_tokens={})
+        _cache[k] = load_bpe(ranks)
     return _cache[k]
 
 

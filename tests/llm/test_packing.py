@@ -153,3 +153,14 @@ def test_a_tiny_source_does_not_shrink_the_mixture(spark):
 def test_quotas(size):
     q = M.quotas([50.0, 500.0, 30.0], [0.2, 0.5, 0.3], size)
     assert sum(q) == pytest.approx(min(size, 580)) and all(a <= c + 1e-9 for a, c in zip(q, [50, 500, 30]))
+
+
+def test_versions_of_an_item_do_not_mix(spark):
+    old, new = "Old words here. " * 200, "New words there. " * 300
+    rows = [("a", old, "2030-01-01"), ("a", new, "2030-01-02"), ("a", new, "2030-01-02"), ("b", old, None), ("b", new, None)]
+    c = spark.createDataFrame(rows, "id string, content string, at string").withColumn("created_at", F.col("at").cast("timestamp"))
+    got = {}
+    for r in oversized_pieces(c, 450, 1800, 80).orderBy("id", "piece_no").collect():
+        got.setdefault(r["id"], []).append(r["piece"])
+    assert len(got["a"]) == len(split_text(new, 450, 1800, 80)) and all(x.startswith(("New", "words", "there")) and "Old" not in x for x in got["a"])
+    assert len({"Old" in x for x in got["b"]}) == 1
