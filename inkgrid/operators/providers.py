@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pdf import pdf_text
+
 # Frequent function words by language, for the default language provider.
 FUNCTION_WORDS = {
     "en": "the of and to in is was for that with on by not this from or are",
@@ -83,8 +85,8 @@ def default_entities(texts: list[str]) -> list[list[tuple[str, str]]]:
 
 
 def default_extract(contents: list[bytes]) -> list[str]:
-    """Text files as they are; pages are separated by form feeds. Bytes that are not UTF-8 are replaced."""
-    return [c.decode("utf-8", "replace") for c in contents]
+    """The text of PDF files, and text files as they are (bytes that are not UTF-8 are replaced); pages are separated by form feeds."""
+    return [pdf_text(c) if b"%PDF-" in c[:1024] else c.decode("utf-8", "replace") for c in map(bytes, contents)]
 
 
 _REGISTRY: dict[tuple[str, str], Callable] = {

@@ -96,10 +96,12 @@ def pack_ranges(tokens: Column, budget: int, overlap: int) -> Column:
 def pack_units(units: DataFrame, budget: int = 450, overlap: int = 80) -> DataFrame:
     """(document_id, chunk_index, content, start_page, end_page, start_char_offset, end_char_offset, first_unit, last_unit).
 
-    Offsets add up the UTF-8 lengths of the chunks before, overlap included.
+    Budgets count the column ``tokens`` of the units where there is one, else words. Offsets add up the UTF-8 lengths of the chunks before,
+    overlap included.
     """
-    g = units.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "text", "start_page", "end_page"))).alias("u"))
-    tok = F.transform("u", lambda x: T.word_count(x["text"]).cast("bigint"))
+    counted = ["tokens"] if "tokens" in units.columns else []
+    g = units.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "text", "start_page", "end_page", *counted))).alias("u"))
+    tok = F.transform("u", lambda x: (x["tokens"] if counted else T.word_count(x["text"])).cast("bigint"))
     r = g.withColumn("r", pack_ranges(tok, budget, overlap)).select("document_id", "u", F.posexplode("r").alias("chunk_index", "r"))
     part = F.slice("u", F.col("r.s"), F.col("r.e") - F.col("r.s") + 1)
     c = r.select("document_id", "chunk_index", F.array_join(F.transform(part, lambda x: x["text"]), "\n\n").alias("content"), F.get(part, F.lit(0))["start_page"].alias("start_page"), F.element_at(part, -1)["end_page"].alias("end_page"), F.col("r.s").alias("first_unit"), F.col("r.e").alias("last_unit"))
@@ -141,6 +143,21 @@ def load_bpe(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=BPE_PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def with_bpe_tokens(df: DataFrame, text_col: str, ranks: bytes, out: str = "tokens") -> DataFrame:
+    """Adds the number of tokens of a byte-pair vocabulary; a null text has none."""
+    cols = [c for c in df.columns if c != out]
+    at = cols.index(text_col)
+
+    def count(batches):
+        enc = load_bpe(ranks)
+        for b in batches:
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32())], names=[*cols, out])
+
+    d = df.select(*[F.col(f"`{c}`") for c in cols])
+    return d.mapInArrow(count, ", ".join(f"`{c}` {t}" for c, t in [*d.dtypes, (out, "int")]))
+
+
 def bpe_windows(lines: DataFrame, ranks: bytes, budget: int = 450, overlap: int = 80) -> DataFrame:
     """As :func:`token_windows` with the tokens of a byte-pair vocabulary; a character cut by a window's end is replaced.
 
@@ -177,7 +194,8 @@ def chunk_documents(lines: DataFrame, strategy: str = "paragraph", budget: int =
     """Chunks of lines by a strategy (exact, paragraph, sentence, character-based; any letter case, others are paragraph).
 
     Adds id (derived from document and index), language, parser_version and token_count. Limits that are not positive become the defaults.
-    With ``ranks_file`` exact windows count the tokens of that vocabulary; if it cannot be loaded, paragraphs are chunked instead.
+    With ``ranks_file`` budgets of exact, paragraph and sentence chunks and token_count count the tokens of that vocabulary; if it cannot be
+    loaded, paragraphs are chunked by words instead.
     """
     cfg = config or EngineConfig()
     budget = budget if budget > 0 else cfg.chunk_budget
@@ -186,7 +204,7 @@ def chunk_documents(lines: DataFrame, strategy: str = "paragraph", budget: int =
     s = s if s in PARSER_VERSIONS else "paragraph"
     version = PARSER_VERSIONS[s]
     ranks = None
-    if s == "exact" and ranks_file:
+    if s != "character-based" and ranks_file:
         try:
             ranks = Path(ranks_file).read_bytes()
             load_bpe(ranks)
@@ -197,5 +215,7 @@ def chunk_documents(lines: DataFrame, strategy: str = "paragraph", budget: int =
     elif s == "character-based":
         c = char_windows(lines, budget, overlap, cfg.chars_per_token)
     else:
-        c = pack_units(paragraph_units(lines) if s == "paragraph" else sentence_units(lines), budget, overlap).drop("first_unit", "last_unit")
-    return c.withColumn("id", T.stable_id(F.col("document_id"), F.col("chunk_index"))).withColumn("language", F.lit(cfg.default_language)).withColumn("parser_version", F.lit(version)).withColumn("token_count", T.word_count(F.col("content")))
+        units = paragraph_units(lines) if s == "paragraph" else sentence_units(lines)
+        c = pack_units(with_bpe_tokens(units, "text", ranks) if ranks else units, budget, overlap).drop("first_unit", "last_unit")
+    c = with_bpe_tokens(c, "content", ranks, "token_count") if ranks else c.withColumn("token_count", T.word_count(F.col("content")))
+    return c.withColumn("id", T.stable_id(F.col("document_id"), F.col("chunk_index"))).withColumn("language", F.lit(cfg.default_language)).withColumn("parser_version", F.lit(version))
