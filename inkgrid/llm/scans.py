@@ -44,11 +44,11 @@ _BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}@][\p{{L}}\p{{M}}\p{{N}}@!]*)[{HYPHEN
 _FIRST = regex.compile(r"^[\p{L}\p{M}\p{N}@!]+")
 _TOKEN_ASCII = re.compile(r"(?:(?<!\S)!(?=[a-z]{2}))?[A-Za-z0-9@]+(?:![A-Za-z0-9@]+)*")
 _WHITE = re.compile(r"\s+")
-_DIGITS = regex.compile(r"\d+")
-_SIDE_NUMBER = regex.compile(r"^\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}|\s{2,}(\d{1,4}|[ivxlc]{1,6})\s*$")
-_NUMBER_LINE = regex.compile(r"^[\s\-–—\[(|/.]*(?:\p{L}{1,9}(?:\.\s*|\s+))?(\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|\p{L}{1,4})\s*\d{1,5})?[\s\-–—\])|/.]*$", regex.I)
+_DIGITS = re.compile(r"\d+")
+_SIDE_NUMBER = re.compile(r"^\s*(\d{1,4}|[ivxlc]{1,6})\s{2,}|\s{2,}(\d{1,4}|[ivxlc]{1,6})\s*$")
+_NUMBER_LINE = re.compile(r"^[\s\-–—\[(|/.]*(?:[^\W\d_]{1,9}(?:\.\s*|\s+))?(\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|[^\W\d_]{1,4})\s*\d{1,5})?[\s\-–—\])|/.]*$", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-_TERMINAL = regex.compile(r"[.!?:;][\"'”’»)\]]*$")
+_TERMINAL = re.compile(r"[.!?:;][\"'”’»)\]]*$")
 # What scanning confuses most often, only used to compare running headers with each other.
 _FOLD = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ri", "n"), ("in", "m")]
 _FOLD_CHARS = str.maketrans("e@t!1lo05s69hbgqzI", "caf" + "iii" + "00" + "ss" + "b" + "g" + "bb" + "gg" + "2i")
@@ -103,7 +103,7 @@ def page_number(text: str) -> tuple[int, str] | None:
     if not m:
         return None
     s = m.group(1)
-    form = _DIGITS.sub("9", regex.sub(r"\s+", " ", text.strip()))
+    form = _DIGITS.sub("9", _WHITE.sub(" ", text.strip()))
     if s.isdigit():
         return int(s), form
     if s.islower() and set(s) <= set(_ROMAN):
@@ -161,14 +161,13 @@ def _edges(batches):
                 t = text[i]
                 s = t.strip()
                 zone = 1 if top[j] < EDGE else 2
-                core = _SIDE_NUMBER.sub("", t).strip() or s
+                side = _SIDE_NUMBER.search(t)
+                core = (_SIDE_NUMBER.sub("", t).strip() or s) if side else s
                 pn = page_number(t)
                 number, form = pn if pn else (None, None)
-                if not pn:
-                    m = _SIDE_NUMBER.search(t)
-                    if m and (m.group(1) or m.group(2)).isdigit():
-                        number, form = int(m.group(1) or m.group(2)), "side"
-                letters = sum(c.isalpha() for c in s)
+                if not pn and side and (side.group(1) or side.group(2)).isdigit():
+                    number, form = int(side.group(1) or side.group(2)), "side"
+                letters = sum(map(str.isalpha, s))
                 k1 = f"{zone}:{_fold(core)}" if not pn or letters >= 3 and form != "roman" else None
                 k2 = f"{zone}:{_DIGITS.sub('9', _WHITE.sub(' ', core))}" if not pn else None
                 after = text[full[j + 1]].strip() if j + 1 < len(full) else ""
@@ -177,7 +176,7 @@ def _edges(batches):
                     int(top[j]) if zone == 1 else 9, int(bottom[j]) if zone == 2 else 9, float(pn is not None), float(form == "side"),
                     float(bool(_TERMINAL.search(s))), float(s[0].islower()), float(after[:1].islower()), float(bool(_TERMINAL.search(before))),
                     len(s) / width, float(len(t) - len(t.lstrip()) > 2), float(i + 1 >= len(no) or not text[i + 1].strip()), float(i == 0 or not text[i - 1].strip()),
-                    float("·" in s), sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / max(1, letters), float(page[i] == 1), float(form == "9"),
+                    float("·" in s), sum(map(str.isdigit, s)) / len(s), sum(map(str.isupper, s)) / max(1, letters), float(page[i] == 1), float(form == "9"),
                 ]
                 out.append((docs[row], no[i], page[i], zone, k1, k2, form, number, feats))
         cols = list(zip(*out)) or [[]] * len(_EDGE_TYPES)
@@ -288,7 +287,8 @@ def judge_breaks(broken: DataFrame, words: DataFrame, compounds: DataFrame, samp
     halves = [(*w.replace("‐", "-").partition("-")[::2], n) for w, n in sorted(sample(compounds).items())]
     halves = [(l, r, n) for l, r, n in halves if r and l.isalpha() and r.isalpha()]
     # full counts of the parts of the sampled words
-    ask = spark.createDataFrame([(x,) for x in sorted({x for l, r, _ in cuts for x in (l, r)} | {x for l, r, _ in halves for x in (l, r, l + r)} | {f"{l}-{r}" for l, r, _ in cuts})], "word string")
+    asked_words = sorted({x for l, r, _ in cuts for x in (l, r)} | {x for l, r, _ in halves for x in (l, r, l + r)} | {f"{l}-{r}" for l, r, _ in cuts})
+    ask = spark.createDataFrame(pa.table({"word": pa.array(asked_words, pa.string())}))  # bounded by the samples
     full = {(r["word"], r["c"]): int(r["n"]) for r in both.join(ask, "word").collect()}
     x, y = [], []
     for l, r, n in cuts:
