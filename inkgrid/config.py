@@ -25,6 +25,7 @@ class EngineConfig:
     embed_parallelism: int = 8
     embed_attempts: int = 3
     embed_dimensions: int = 64
+    embed_timeout_seconds: int = 30
     write_batch: int = 400
     search_top_k: int = 10
     search_min_similarity: float = 0.18

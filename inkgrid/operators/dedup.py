@@ -62,3 +62,9 @@ def within_ttl(index: DataFrame, at: str, days: int = 7, seen: str = "created_at
     """The entries of an index seen within the last days before a moment; older ones have expired. A null time has expired."""
     t = F.lit(at).cast("timestamp")
     return index.filter((F.col(seen) > t - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(seen) <= t))
+
+
+def refresh(index: DataFrame, seen: DataFrame, at: str, key: str = "hash", time: str = "created_at") -> DataFrame:
+    """(key, time): the index with the entries seen now renewed or added, each once with its latest time. Null and empty keys are no entries."""
+    now = seen.select(key, F.lit(at).cast("timestamp").alias(time))
+    return index.select(key, time).unionByName(now).filter(F.length(key) > 0).groupBy(key).agg(F.max(time).alias(time))

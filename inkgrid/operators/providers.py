@@ -7,6 +7,7 @@ and then fail the task, which Spark retries.
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable
 
@@ -38,11 +39,16 @@ def default_tokens(texts: list[str]) -> list[int]:
 def default_embedding(texts: list[str], dimensions: int = 64) -> list[list[float]]:
     """Signed feature hashing of words, of unit length: the same text has the same vector everywhere."""
     out = []
+    known: dict[str, tuple[int, float]] = {}
     for t in texts:
-        v = np.zeros(dimensions)
+        v = [0.0] * dimensions
         for w in t.lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            v[h % dimensions] += 1.0 if h >> 63 else -1.0
+            if w not in known:
+                h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                known[w] = (h % dimensions, 1.0 if h >> 63 else -1.0)
+            i, sign = known[w]
+            v[i] += sign
+        v = np.array(v)
         n = np.linalg.norm(v)
         out.append((v / n if n else v).astype(np.float32).tolist())
     return out
@@ -122,11 +128,12 @@ _TYPES = {
 }
 
 
-def call_with_retry(fn: Callable, batch: list, attempts: int = 3, pause: float = 0.1) -> list:
-    """The provider's answer, which must have one item for each input; retried with a growing pause."""
+def call_with_retry(fn: Callable, batch: list, attempts: int = 3, pause: float = 0.1, timeout: float | None = None) -> list:
+    """The provider's answer, which must have one item for each input; retried with a growing pause. A call that takes longer than ``timeout``
+    seconds counts as failed."""
     for n in range(1, attempts + 1):
         try:
-            got = fn(batch)
+            got = fn(batch) if timeout is None else _within(timeout, fn, batch)
             if len(got) != len(batch):
                 raise ValueError(f"{len(got)} answers for {len(batch)} inputs")
             return got
@@ -137,7 +144,28 @@ def call_with_retry(fn: Callable, batch: list, attempts: int = 3, pause: float =
     return []
 
 
-def apply_provider(df: DataFrame, kind: str, input_col: str, out: str, name: str = "default", batch: int = 16, attempts: int = 3) -> DataFrame:
+def _within(seconds: float, fn: Callable, batch: list) -> list:
+    """fn(batch) on a thread of its own, which is left behind when the time is over."""
+    box: list = []
+
+    def call() -> None:
+        try:
+            box.append((fn(batch), None))
+        except Exception as e:  # noqa: BLE001
+            box.append((None, e))
+
+    t = threading.Thread(target=call, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not box:
+        raise TimeoutError(f"no answer within {seconds} seconds")
+    got, error = box[0]
+    if error is not None:
+        raise error
+    return got
+
+
+def apply_provider(df: DataFrame, kind: str, input_col: str, out: str, name: str = "default", batch: int = 16, attempts: int = 3, timeout: float | None = None) -> DataFrame:
     """Adds the provider's output for each row, in calls of at most ``batch`` inputs; a null input gives null without a call."""
     fn = provider(kind, name)
     ddl, arrow = _TYPES[kind]
@@ -151,7 +179,7 @@ def apply_provider(df: DataFrame, kind: str, input_col: str, out: str, name: str
             res: list = [None] * len(values)
             for s in range(0, len(at), batch):
                 part = at[s : s + batch]
-                for i, r in zip(part, call_with_retry(fn, [values[i] for i in part], attempts)):
+                for i, r in zip(part, call_with_retry(fn, [values[i] for i in part], attempts, timeout=timeout)):
                     res[i] = [{"text": x, "category": y} for x, y in r] if kind == "entities" else r
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(res, arrow)], names=[*cols, out])
 
@@ -159,10 +187,13 @@ def apply_provider(df: DataFrame, kind: str, input_col: str, out: str, name: str
     return d.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*d.dtypes, (out, ddl)]))
 
 
-def embed(df: DataFrame, text_col: str, name: str = "default", dimensions: int = 64, batch: int = 16, parallelism: int | None = None) -> DataFrame:
-    """Rows with embedding and dimensions; remote providers are limited to ``parallelism`` concurrent tasks."""
-    d = df.coalesce(parallelism) if parallelism else df
-    e = apply_provider(d, "embedder", text_col, "embedding", name, batch)
+def embed(df: DataFrame, text_col: str, name: str = "default", dimensions: int = 64, batch: int = 16, parallelism: int | None = None, timeout: float | None = None) -> DataFrame:
+    """Rows with embedding and dimensions.
+
+    With ``parallelism`` no more tasks than that call a remote provider at once; rows move there, so what comes before keeps its own tasks.
+    """
+    d = df.repartition(parallelism) if parallelism else df
+    e = apply_provider(d, "embedder", text_col, "embedding", name, batch, timeout=timeout)
     return e.withColumn("dimensions", F.when(F.col("embedding").isNotNull(), F.when(F.size("embedding") > 0, F.size("embedding")).otherwise(F.lit(dimensions))))
 
 

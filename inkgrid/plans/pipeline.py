@@ -43,7 +43,7 @@ def process(document_lines: DataFrame, vectors: DataFrame, chunks_stored: DataFr
     dups, fresh = dedup.split_duplicates(d)
     good = cut(enrich(fresh.drop("language", "token_count"), cfg))  # both results read it; no chunk is embedded twice
     text = "normalized" if cfg.embed_on == "normalized" else "content"
-    new_vectors = cut(providers.vector_rows(providers.embed(good, text, dimensions=cfg.embed_dimensions, batch=cfg.embed_batch), model_version))
+    new_vectors = cut(providers.vector_rows(providers.embed(good, text, dimensions=cfg.embed_dimensions, batch=cfg.embed_batch, timeout=cfg.embed_timeout_seconds), model_version))
     merged = store.upsert_vectors(vectors.select("id", "hash", "embedding", "model_version", "dimensions", "created_at"), new_vectors)
     cols = ["id", "document_id", "chunk_index", "content", "hash", "created_at", "start_page", "end_page", "language", "parser_version", "token_count", "entities", "keywords"]
     kept = good.withColumn("content", F.col("normalized")).select(*cols).unionByName(dups.select(*[c_ for c_ in cols if c_ not in ("entities", "keywords")]), allowMissingColumns=True)
@@ -71,5 +71,5 @@ def answer(query: str, chunks: DataFrame, vectors: DataFrame, documents: DataFra
         raise ValueError("query is required")
     if not q.lower().startswith(cfg.query_prefix.strip().lower()):
         q = cfg.query_prefix + q
-    vec = providers.call_with_retry(providers.provider("embedder", embedder), [q], cfg.embed_attempts)[0]
+    vec = providers.call_with_retry(providers.provider("embedder", embedder), [q], cfg.embed_attempts, timeout=cfg.embed_timeout_seconds)[0]
     return search.search(chunks, vectors, documents, vec, top_k or cfg.search_top_k, min_similarity or cfg.search_min_similarity, tenant)

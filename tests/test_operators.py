@@ -251,3 +251,19 @@ def test_statistics_of_a_text(spark):
     got = [tuple(r["s"]) for r in d.select(T.text_stats(F.col("t")).alias("s")).collect()]
     assert got[0][:6] == (12, 9, 4, 4, 2, 1) and got[1] == (0, 0, 0, 0, 0, 0, 0.0) and got[2] == (None,) * 7
     assert got[3] == (9, 3, 1, 3, 0, 0, 0.0) and got[4][1] == 100_000
+
+
+def test_index_entries_are_renewed_when_seen(spark):
+    index = spark.createDataFrame([("a", "2030-01-01"), ("b", "2030-01-01")], "hash string, t string").select("hash", F.col("t").cast("timestamp").alias("created_at"))
+    seen = spark.createDataFrame([("a",), ("a",), ("c",), ("",), (None,)], "hash string")
+    got = {r["hash"]: str(r["created_at"])[:10] for r in dedup.refresh(index, seen, "2030-01-07 00:00:00").collect()}
+    assert got == {"a": "2030-01-07", "b": "2030-01-01", "c": "2030-01-07"}
+    assert {r["hash"] for r in dedup.within_ttl(dedup.refresh(index, seen, "2030-01-07 00:00:00"), "2030-01-09 00:00:00").collect()} == {"a", "c"}
+
+
+def test_a_slow_provider_fails_in_time():
+    import time
+
+    with pytest.raises(TimeoutError):
+        providers.call_with_retry(lambda b: time.sleep(5) or b, [1], attempts=2, pause=0.01, timeout=0.05)
+    assert providers.call_with_retry(lambda b: b, [1, 2], timeout=5) == [1, 2]
