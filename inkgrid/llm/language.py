@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import providers
 from ..runtime import table
 from .letters import TO_LATIN
 from .sentences import sentence_spans
@@ -483,6 +484,18 @@ def language_cases(records: DataFrame) -> DataFrame:
     return once.select("rec_id", F.explode("segments").alias("s")).select("rec_id", F.col("s.start").alias("seg_start"), F.col("s.lang").alias("lang"))
 
 
+def register(model: WordScores, name: str = "trained") -> None:
+    """Makes the model a language provider of the core: the main language of each text, ``und`` where it is not known."""
+    providers.register("language", name, lambda texts: [main_language(t, model) for t in texts])
+
+
+def main_language(text: str, model: WordScores) -> str:
+    size: Counter = Counter()
+    for a, e, x, _ in segments(text, model):
+        size[x] += e - a
+    return min(size, key=lambda x: (-size[x], x)) if size else UNKNOWN
+
+
 def _records(spark, d):
     docs, chunks = table(spark, d, "documents"), table(spark, d, "chunks")
     model = fit_languages(docs)

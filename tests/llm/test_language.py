@@ -102,3 +102,11 @@ def test_a_language_outside_the_sample_is_unknown(large_model, spark):
     assert [x[2] for x in L.segments(text("de", 40) + ".", model)] == ["de"]
     d = spark.createDataFrame([("1", other, "de"), ("2", "12 - 34", "de")], "id string, t string, lang string")
     assert [(r["rec_id"], r["lang"]) for r in L.language_cases(L.language_segments(d, model, "id", "t", "lang")).collect()] == [("1", "und")]
+
+
+def test_the_model_is_a_provider_of_the_core(spark, model):
+    from inkgrid.operators import providers
+
+    L.register(model)
+    d = spark.createDataFrame([(EN[0],), (DE[0],), ("",), (None,)], "t string")
+    assert [r["lang"] for r in providers.apply_provider(d, "language", "t", "lang", "trained").collect()] == ["en", "de", "und", None]
