@@ -138,7 +138,30 @@ def _char_windows_sql(size: int, step: int) -> str:
     return f"WITH t AS (SELECT document_id, string_agg(text, chr(10) ORDER BY line_no) || chr(10) AS x FROM {_LINES} GROUP BY document_id), a AS (SELECT document_id, x, {_windows_sql('length(x)', size, step)} AS st FROM t) SELECT substring(x, a + 1, {size}) AS content FROM (SELECT x, unnest(st) AS a FROM a)"
 
 
+# The default language provider's words and scripts.
+_FUNCTION_WORDS = {
+    "de": "der die das und in den zu mit von für ist auf nicht ein eine am",
+    "en": "the of and to in is was for that with on by not this from or are",
+    "es": "el la los las de y en que un una por con para del se al",
+    "fr": "le la les des et du en une est pour que dans par sur pas au",
+    "it": "il la le di e in che un una per con non del della gli",
+    "nl": "de het een van en in is dat op te voor met niet zijn",
+    "pt": "o a os as de e em que um uma por com para do da não",
+}
+_LANGUAGE_SCRIPTS = {"ja": r"\p{Hiragana}\p{Katakana}", "zh": r"\p{Han}", "ko": r"\p{Hangul}", "ru": r"\p{Cyrillic}", "ar": r"\p{Arabic}", "hi": r"\p{Devanagari}", "th": r"\p{Thai}", "el": r"\p{Greek}", "he": r"\p{Hebrew}"}
+
+
+def _language_sql() -> str:
+    by_script = " ".join(f"WHEN {count('text', c)} > 0.3 * letters THEN '{k}'" for k, c in _LANGUAGE_SCRIPTS.items())
+    hits = ", ".join(f"len(list_filter(w, lambda x: list_contains(string_split('{v}', ' '), x))) AS {k}_" for k, v in _FUNCTION_WORDS.items())
+    best = "greatest(" + ", ".join(f"{k}_" for k in _FUNCTION_WORDS) + ")"
+    by_words = f"WHEN {best} = 0 THEN 'en' " + " ".join(f"WHEN {k}_ = {best} THEN '{k}'" for k in _FUNCTION_WORDS)
+    return f"SELECT doc_id, CASE {by_script} {by_words} END AS language FROM (SELECT *, {hits} FROM (SELECT doc_id, text, greatest(1, {count('text', chr(92) + 'p{L}')}) AS letters, {words('lower(text)')} AS w FROM {_DOCS}))"
+
+
 SQL = {
+    "language_id": _language_sql(),
+    "embed_documents": f"SELECT doc_id, 64 AS dimensions, CASE WHEN len({words('text')}) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM {_DOCS}",
     "fnv_hash": f"SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::INT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::HUGEINT)::VARCHAR AS hash FROM {_DOCS}",
     "retry_until_dead": f"SELECT event_id, CASE WHEN delivery_seq % 11 = 0 THEN 5 WHEN delivery_seq % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS attempt_count, CASE WHEN delivery_seq % 11 = 0 THEN 'dead' ELSE 'done' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY message_key ORDER BY delivery_seq) AS n FROM ({_UUID}) WHERE message_key IS NOT NULL) WHERE n = 1 AND coalesce(trim(document_id), '') <> ''",
     "transaction_commit": "SELECT DISTINCT id, 'vectors' AS of FROM vectors UNION ALL SELECT DISTINCT id, 'chunks' FROM chunks",
