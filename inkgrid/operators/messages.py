@@ -44,13 +44,14 @@ def keep_one(events: DataFrame, id_col: str = "event_id", seq: str = "delivery_s
     gives an empty output; columns that the caller added are kept, a column named ``message_key`` is overwritten.
     """
     cols = [c for c in events.columns if c != "message_key"]
-    keyed = events.select(*[F.col(f"`{c}`") for c in cols]).withColumn("message_key", message_key(F.col(id_col))).withColumn("_o", F.struct(*_order(seq, received, cols)))
+    o, k, f, n = (next(x for i in range(len(cols) + 1) if (x := f"_{base}{i}") not in cols) for base in ("order", "key", "first", "written"))  # names that the events do not have
+    keyed = events.select(*[F.col(f"`{c}`") for c in cols]).withColumn("message_key", message_key(F.col(id_col))).withColumn(o, F.struct(*_order(seq, received, cols)))
     named = keyed.filter(F.col("message_key").isNotNull())
     # numbers only: how often each delivery was written, then the first of each message
-    written = named.groupBy("message_key", "_o").agg(F.count("*").alias("_n"))
-    first = written.groupBy("message_key").agg(F.min("_o").alias("_o"), F.min_by("_n", "_o").alias("_n")).select(F.col("message_key").alias("_k"), F.col("_o").alias("_f"), "_n")
-    kept = named.join(first, (F.col("message_key") == F.col("_k")) & F.col("_o").eqNullSafe(F.col("_f")))
-    once = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["message_key"])).select(*[F.col(f"`{c}`") for c in cols], "message_key")
+    written = named.groupBy("message_key", o).agg(F.count("*").alias(n))
+    first = written.groupBy("message_key").agg(F.min(o).alias(f), F.min_by(n, o).alias(n)).withColumnRenamed("message_key", k)
+    kept = named.join(first, (F.col("message_key") == F.col(k)) & F.col(o).eqNullSafe(F.col(f)))
+    once = kept.filter(F.col(n) == 1).unionByName(kept.filter(F.col(n) > 1).dropDuplicates(["message_key"])).select(*[F.col(f"`{c}`") for c in cols], "message_key")
     if not keep_unidentified:
         return once
     return once.unionByName(keyed.filter(F.col("message_key").isNull()).select(*once.columns))

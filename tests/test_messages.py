@@ -31,3 +31,10 @@ def test_hot_message(spark):
     d = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(U)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("event_id"), F.lit("d").alias("document_id"), F.col("id").alias("delivery_seq"), F.lit(None).cast("timestamp").alias("received_at"))
     assert messages.keep_one(d).count() == 20_001
     assert messages.repeated_deliveries(d).count() == 9_999
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(U, 1, "2030-01-01", "x", 1, 2, 3, 4), (U.upper(), 2, "2030-01-02", "y", 5, 6, 7, 8), (U, 1, "2030-01-01", "x", 1, 2, 3, 4)]
+    d = spark.createDataFrame(rows, "event_id string, delivery_seq bigint, received_at string, _o string, _order0 int, _key0 int, _first0 int, _written0 int")
+    got = messages.keep_one(d).collect()
+    assert len(got) == 1 and (got[0]["_o"], got[0]["_order0"], got[0]["_key0"], got[0]["_first0"], got[0]["_written0"]) == ("x", 1, 2, 3, 4)
