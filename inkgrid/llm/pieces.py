@@ -135,12 +135,12 @@ def split_text(text: str, max_tokens: int, max_chars: int, overlap_tokens: int,
         a, back = nxt, count(nxt, end)
 
 
-def _latest(big: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of the latest version of each id. Only ids, times and hashes are compared; rows that are equal in them all stay."""
+def _latest(big: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """id, text and more columns of the latest version of each id. Only ids, times and hashes are compared; rows that are equal in them all stay."""
     at = F.col("created_at") if "created_at" in big.columns else F.lit(None).cast("timestamp")
-    keyed = big.withColumn("_v", F.struct(at.alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
-    last = keyed.groupBy(F.col(f"`{id_col}`").alias("_k")).agg(F.max("_v").alias("_m"))
-    return keyed.join(last, F.col(f"`{id_col}`").eqNullSafe(F.col("_k")) & F.col("_v").eqNullSafe(F.col("_m"))).drop("_v", "_k", "_m")
+    keyed = big.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *more, F.struct(at.alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")).alias("_v"))
+    last = keyed.groupBy(F.col("id").alias("_k")).agg(F.max("_v").alias("_m"))
+    return keyed.join(last, F.col("id").eqNullSafe(F.col("_k")) & F.col("_v").eqNullSafe(F.col("_m"))).drop("_v", "_k", "_m")
 
 
 def oversized_pieces(chunks: DataFrame, max_tokens: int, max_chars: int, overlap_tokens: int, id_col: str = "id", text_col: str = "content", least: float = 0.5) -> DataFrame:
@@ -150,7 +150,7 @@ def oversized_pieces(chunks: DataFrame, max_tokens: int, max_chars: int, overlap
     shuffled but the finished pieces, which make repeated rows one.
     """
     text = F.col(f"`{text_col}`")
-    big = _latest(chunks.filter((F.length(text) > max_chars) | (F.size(F.split(F.trim(text), r"(?U)\s+")) > max_tokens)), id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    big = _latest(chunks.filter((F.length(text) > max_chars) | (F.size(F.split(F.trim(text), r"(?U)\s+")) > max_tokens)), id_col, text_col)
     schema = "id string, n_chars int, piece_no int, start_char int, end_char int, token_count int, overlap_tokens int, piece string"
 
     def pieces(batches):
@@ -181,8 +181,8 @@ def chunk_pieces(chunks: DataFrame, documents: DataFrame, size_limits: DataFrame
     """
     max_tokens, overlap, max_chars = limits(size_limits, "chunk")
     p = oversized_pieces(chunks, max_tokens, max_chars, overlap)
-    big = _latest(chunks.filter((F.length("content") > max_chars) | (F.size(F.split(F.trim("content"), r"(?U)\s+")) > max_tokens)), "id", "content")
-    meta = big.select("id", "document_id", F.col("metadata.start_char_offset").alias("a"), F.col("metadata.end_char_offset").alias("e"), F.length("content").alias("n"), "content")
+    big = _latest(chunks.filter((F.length("content") > max_chars) | (F.size(F.split(F.trim("content"), r"(?U)\s+")) > max_tokens)), "id", "content", "document_id", "metadata")
+    meta = big.select("id", "document_id", F.col("metadata.start_char_offset").alias("a"), F.col("metadata.end_char_offset").alias("e"), F.length("text").alias("n"), F.col("text").alias("content"))
     meta = meta.groupBy("id").agg(F.max(F.struct("document_id", "a", "e", "n", "content")).alias("m")).select("id", "m.*")
     trusted = F.col("e") - F.col("a") == F.col("n")
     lost = meta.filter(~F.coalesce(trusted, F.lit(False))).select("id", "document_id", "content")

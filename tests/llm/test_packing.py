@@ -158,7 +158,7 @@ def test_quotas(size):
 def test_versions_of_an_item_do_not_mix(spark):
     old, new = "Old words here. " * 200, "New words there. " * 300
     rows = [("a", old, "2030-01-01"), ("a", new, "2030-01-02"), ("a", new, "2030-01-02"), ("b", old, None), ("b", new, None)]
-    c = spark.createDataFrame(rows, "id string, content string, at string").withColumn("created_at", F.col("at").cast("timestamp"))
+    c = spark.createDataFrame(rows, "id string, content string, at string").withColumn("created_at", F.col("at").cast("timestamp")).withColumn("_k", F.lit(1)).withColumn("_v", F.lit(2)).withColumn("text", F.lit("other"))
     got = {}
     for r in oversized_pieces(c, 450, 1800, 80).orderBy("id", "piece_no").collect():
         got.setdefault(r["id"], []).append(r["piece"])
