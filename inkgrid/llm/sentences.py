@@ -125,6 +125,7 @@ class _Languages:
 
     def __init__(self, text: str):
         self.text, self.known = text, {}
+        self.last: tuple[int, int, str | None, bool] = (-1, 0, None, False)  # start of a sentence, where it was asked, answer, whether it was the sentence's own
 
     def of(self, start: int, at: int, paragraph: tuple[int, int], word: str) -> str | None:
         """The language whose lists hold for word at text[..at] in the sentence that began at start: that of its alphabet, else that of the
@@ -132,14 +133,20 @@ class _Languages:
         for lang, letters in _ALPHABETS:
             if letters.search(word):
                 return lang
+        s, asked, lang, own = self.last
+        if s == start and (own or at - asked < LANGUAGE_WINDOW // 2):
+            return lang
         a, e = paragraph
+        begin = max(start, at - LANGUAGE_WINDOW)
         stop = self.text.find(". ", at + 1, min(e, at + LANGUAGE_WINDOW))
-        for span in ((max(start, at - LANGUAGE_WINDOW), at), (max(start, at - LANGUAGE_WINDOW), stop if stop >= 0 else min(e, at + LANGUAGE_WINDOW)), (a, e), (0, len(self.text))):
+        lang = _language_of(self.text[begin:at]) or _language_of(self.text[begin : stop if stop >= 0 else min(e, at + LANGUAGE_WINDOW)])
+        own = lang is not None
+        for span in () if own else ((a, e), (0, len(self.text))):
             if span not in self.known:
                 self.known[span] = _language_of(self.text[span[0] : span[1]])
-            if self.known[span]:
-                return self.known[span]
-        return None
+            lang = lang or self.known[span]
+        self.last = (start, at, lang, own)
+        return lang
 
 
 def _language_of(text: str) -> str | None:

@@ -76,3 +76,15 @@ def test_frame(spark):
     got = {r["id"]: r["starts"] for r in sentence_units(d).collect()}
     assert got == {"a": [0, 5], "b": [], "c": [], None: [0]}
     assert sentence_units(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["p. ", "Sra. ", "A. ", "no. The ", "“ A b. ", "(a. ", "„«‹「x. Y” ", '" A. B'])
+def test_repetitive_texts_take_time_in_proportion(piece):
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        t = time.process_time()
+        sentence_spans(piece * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 40 * max(took[0], 0.01)
