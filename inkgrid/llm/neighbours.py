@@ -151,12 +151,15 @@ def search(tree: Tree, proj: np.ndarray, vec: np.ndarray, q_proj: np.ndarray, q_
                 r, c = np.nonzero(hit)
                 if not len(r):
                     continue
-                if 8 * len(r) > hit.size:  # most of the pairs are to be verified: one product costs less than as many single ones
-                    t = np.maximum(2 - 2 * (qv[g] @ v_sorted[lo:hi].T)[r, c], 0)
+                if 8 * len(r) > hit.size:  # most of the pairs pass: one product verifies all of the leaf at less cost, and those the test would miss
+                    near_ = qv[g] @ v_sorted[lo:hi].T
+                    r, c = np.nonzero(near_ >= (1 - limit[g] / 2)[:, None])
+                    t = np.maximum(2 - 2 * near_[r, c], 0)
+                    ok = slice(None)
                 else:
                     t = np.maximum(2 - 2 * np.einsum("ij,ij->i", qv[g[r]], v_sorted[lo + c]), 0)
-                ok = t <= limit[g[r]]
-                t = t[ok]
+                    ok = t <= limit[g[r]]
+                    t = t[ok]
                 if not len(t):
                     continue
                 new_q.append(g[r[ok]])
